@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding, licenses, mixing, quality, secretscan, simhash, urlfilter
+from . import chat, decontaminate, embedding, licenses, mixing, quality, secretscan, simhash, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.col("places")["label"]
@@ -66,7 +71,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_chat_format, op4_decontaminate, op5_simhash, op6_secrets, op8_licenses, op9_mix, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_chat_format, op4_decontaminate, op5_simhash, op6_secrets, op7_substrings, op8_licenses, op9_mix, op10_embeddings)}
 
 _URL_SQL = r"""
 WITH parsed AS (
