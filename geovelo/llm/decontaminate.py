@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces
 
@@ -208,14 +209,19 @@ def _search(docs: DataFrame, index, schema: str) -> DataFrame:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((n, pa.float64()) for n in ("score", "question_overlap", "answer_overlap"))])
 
 
+def _free_of(index):
+    """A column function: text -> whether none of the index's items is in it."""
+
+    @F.arrow_udf(T.BooleanType())
+    def free(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([not hits for at in range(0, len(batch), 256) for hits in index.value.hits(batch[at : at + 256].to_pylist())], pa.bool_())
+
+    return free
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no test item is found."""
     for index in indexes(benchmark):
-
-        @F.arrow_udf("boolean")
-        def clean(texts: Iterator[pa.Array], index=index) -> Iterator[pa.Array]:
-            for batch in texts:
-                yield pa.array([not hits for at in range(0, len(batch), 256) for hits in index.value.hits(batch[at : at + 256].to_pylist())], pa.bool_())
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_free_of(index)("text"))
     return docs
