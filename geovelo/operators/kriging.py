@@ -122,10 +122,10 @@ def correct(points: DataFrame, sites: DataFrame, model: str) -> DataFrame:
     dealt = points.withColumns({"_cx": cell("easting"), "_cy": cell("northing"), "_salt": F.pmod(F.xxhash64("point_id"), F.lit(SALTS)).cast("int")})
     spread = rows.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = spread.select(*rows.columns, (cell("easting") + F.col("_dx")).alias("_cx"), (cell("northing") + F.col("_dy")).alias("_cy"), "_salt")
-    names = points.columns
+    names, site_names = points.columns, rows.columns
 
     def meet(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return _solve(p[names], s[rows.columns].to_numpy(float), None, model, length)
+        return _solve(p[names], s[site_names].to_numpy(float), None, model, length)
 
     keys = ["_cx", "_cy", "_salt"]
     return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, schema)

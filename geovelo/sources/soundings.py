@@ -50,7 +50,8 @@ def read_profile(spark: SparkSession, path: str, layered: bool = False) -> DataF
 
 def _in_order(*columns: tuple[str, str]) -> list[Column]:
     rows = F.array_sort(F.collect_list(F.struct("pos", *[c for c, _ in columns])))
-    return [F.transform(rows, lambda r, c=c: r[c]).alias(n) for c, n in columns]
+    field = lambda c: lambda r: r[c]
+    return [F.transform(rows, field(c)).alias(n) for c, n in columns]
 
 
 def cpt_to_json(soundings: DataFrame) -> DataFrame:

@@ -1,0 +1,28 @@
+"""Every query of the library against the same question in SQL, on the smallest driver tables."""
+
+import duckdb
+import pytest
+
+from geovelo.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _rows(table, columns):
+    value = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) else str(v)
+    return sorted((tuple(value(v) for v in r) for r in table[columns].astype(object).itertuples(index=False)), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got)
+    if name in ORACLE_SQL:
+        db = duckdb.connect()
+        for t in TABLES:
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = db.execute(ORACLE_SQL[name]).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        columns = sorted(got.columns)
+        assert _rows(got, columns) == _rows(want, columns)
