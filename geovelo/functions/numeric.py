@@ -43,3 +43,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def require(ok: Column, value: Column, message: str) -> Column:
     """value, or an error where ok is false. The column must be used, or column pruning drops the check with it."""
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def significant(x: Column, digits: int = 4, unit: float = 1.0) -> Column:
+    """x / unit rounded to that many significant digits, for display; 0 and null stay."""
+    y = x / unit
+    power = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(y))) - digits)
+    return F.when(y == 0, 0.0).otherwise(F.floor(y / power + 0.5) * power)

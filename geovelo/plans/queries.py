@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spt_correlations as sc
 from ..functions import vs30_correlations as v30
+from ..functions.numeric import significant
 from ..operators import cluster, cpt, ensemble, kriging, models, profile, raster, spatial, spt
 from ..sources import sites as site_sources
 from . import fixtures as fx
@@ -312,6 +313,32 @@ def profile_average(spark, sf):
     return curve.select("grp", "point", _r("depth"), _r("vs", 4), _r("vs_sd"))
 
 
+@query("SELECT n_name AS key, r_name AS kind, " + _s("n_nationkey / 100.0::DOUBLE * (r_regionkey + 1)", "weight", 9) + " FROM nation JOIN region ON r_regionkey = n_regionkey")
+def section_weights(spark, sf):
+    sections = fx.read(spark, sf, "region").select(F.col("r_name").alias("kind"), (F.col("r_regionkey") + 1).cast("double").alias("weight"))
+    region = fx.read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("n_regionkey"))
+    keys = fx.read(spark, sf, "nation").join(region, "n_regionkey").select(F.col("n_name").alias("key"), F.col("r_name").alias("kind"), (F.col("n_nationkey") / 100.0).alias("weight"))
+    return ensemble.section_weights(sections, keys).select("key", "kind", _r("weight", 9))
+
+
+@query("WITH s AS (SELECT s_suppkey AS id, (1 + s_suppkey * 7919 % 99991) / 7.0::DOUBLE AS x FROM supplier), p AS (SELECT *, power(10::DOUBLE, ceil(log10(abs(x))) - 4) AS w FROM s) SELECT id, " + _s("floor(x / w + 0.5) * w", "shown") + " FROM p")
+def display_rounding(spark, sf):
+    k = F.col("s_suppkey")
+    return fx.read(spark, sf, "supplier").select(k.alias("id"), _r(significant((1 + k * 7919 % 99991) / 7.0), name="shown"))
+
+
+@query(_with(*NATIVE_SQL, "a AS (SELECT *, avg(vs) FILTER (depth BETWEEN 2.5 AND 3.5) OVER (PARTITION BY cpt_id, vs_correlation) AS m FROM t)") + f"SELECT cpt_id, vs_correlation, pos, {_s('CASE WHEN depth <= 3 THEN m ELSE vs END', 'vs', 4)} FROM a")
+def shallow_average(spark, sf):
+    return profile.truncate(_profiles(spark, sf), KEYS, average_shallow=True).select(*KEYS, "pos", _r("vs", 4))
+
+
+@query(_with(*NATIVE_SQL) + "SELECT DISTINCT cpt_id || '_' || vs_correlation AS label FROM t UNION ALL SELECT CAST(s_suppkey AS VARCHAR) FROM supplier")
+def profile_labels(spark, sf):
+    named = profile.truncate(_profiles(spark, sf), KEYS).select(ensemble.label(F.col("cpt_id").cast("string"), F.col("vs_correlation")).alias("label")).distinct()
+    plain = fx.read(spark, sf, "supplier").select(ensemble.label(F.col("s_suppkey").cast("string"), F.lit(None).cast("string")).alias("label"))
+    return named.unionAll(plain)
+
+
 # --- category models -------------------------------------------------------------------------------------------------
 
 
@@ -480,6 +507,13 @@ def mvn_neighbours(spark, sf):
     return pairs.select("point_id", F.col("s_site_id").alias("site_id"), _r("distance", 3))
 
 
+@query(_with(fx.POINTS_SQL, fx.SITES_SQL, "n AS (SELECT point_id, site_id, sqrt(power(p.easting - s.easting, 2) + power(p.northing - s.northing, 2)) AS d FROM pt p, site s)", "k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, site_id) AS k FROM n WHERE d <= 15000)")
+       + f"SELECT point_id, site_id, {_s('d', 'distance', 3)} FROM k WHERE k = 1")
+def nearest_site(spark, sf):
+    near = spatial.nearest(fx.points(spark, sf).select("point_id", "easting", "northing"), fx.sites(spark, sf), 15_000.0)
+    return near.select("point_id", F.col("s_site_id").alias("site_id"), _r("distance", 3))
+
+
 def _prior(spark, rows: DataFrame) -> DataFrame:
     return models.assign(rows, models.table(spark, "geology", "posterior_paper"), "gid", "geology")
 
