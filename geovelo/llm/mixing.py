@@ -53,7 +53,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     return levels.withColumn("at", level).select("key", "source", "total", F.coalesce(F.least("most", F.col("at") * F.col("weight")), F.col("most")).alias("target"))
 
 
-def tilts(counts: DataFrame, sources: DataFrame, cap: float = CAP, max_rounds: int = 80) -> DataFrame:
+def _small(sources: DataFrame, n_sources: int) -> DataFrame:
+    """One row a source, to be broadcast while there are few; the other side never is."""
+    return F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources.hint("merge")
+
+
+def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, cap: float = CAP, max_rounds: int = 80) -> DataFrame:
     """sources plus lam and mean: safeguarded Newton steps on log(words at lam) = log(target), all sources at once.
 
     counts: key, size, n. A round joins the sources' state to counts, sums words and their slope per source and
@@ -77,7 +82,7 @@ def tilts(counts: DataFrame, sources: DataFrame, cap: float = CAP, max_rounds: i
         rate = F.exp(F.least(F.lit(top), F.greatest(F.lit(-700.0), F.col("lam") * z)))
         words = F.col("n") * F.col("size") * rate
         slope = F.when(F.col("lam") * z < top, words * z).otherwise(0.0)
-        sums = counts.join(state.where("NOT done").select("key", "lam", "mean"), "key").groupBy("key").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+        sums = counts.join(_small(state.where("NOT done").select("key", "lam", "mean"), n_sources), "key").groupBy("key").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
         off = F.log("words") - F.log("target")
         lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - off * F.col("words") / F.when(F.col("slope") > 0, F.col("slope"))
@@ -121,13 +126,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     slim = stored(with_sizes(docs.select("doc_id", "text", "source")).select("doc_id", "source", "key", "size"), "sizes")
     counts = stored(slim.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "size-counts")
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
-    state = tilts(counts.select("key", "size", "n"), cut(targets(sources, weights, cap)), cap)
-    n = state.count()
+    aims = cut(targets(sources, weights, cap))
+    n = aims.count()
+    state = cut(tilts(counts.select("key", "size", "n"), aims, n, cap))
     drawn = attach(slim.drop("source"), state, n).withColumns(_draws(cap))
     # words by how far a document leans to its extra copy, in BINS bins a source; the threshold is the edge at which the sum comes nearest the target
     bins = drawn.groupBy("key", F.floor((F.col("lean") + 1) * (BINS / 2)).alias("bin")).agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
     run = Window.partitionBy("key").orderBy("bin")
-    edges = bins.withColumns({"upto": F.sum("words").over(run), "sure": F.sum("sure").over(Window.partitionBy("key"))}).join(state.select("key", "target"), "key")
+    edges = bins.withColumns({"upto": F.sum("words").over(run), "sure": F.sum("sure").over(Window.partitionBy("key"))}).join(_small(state.select("key", "target"), n), "key")
     none = F.abs(F.col("sure") - F.col("target"))
     best = edges.groupBy("key").agg(F.min_by((F.col("bin") + 1) * (2.0 / BINS) - 1, F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("edge"), F.min(F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("off"), F.first(none).alias("none"))
     final = cut(state.join(best, "key").select("key", F.col("total").alias("source_size"), "target", "lam", "mean", F.when(F.col("none") <= F.col("off"), -2.0).otherwise(F.col("edge")).alias("threshold")))

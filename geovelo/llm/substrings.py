@@ -75,14 +75,14 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Hashes()
     for part in pieces(batches):
         at, value, ends = [], [], [0]
-        for text in utf8(part.column(1)):
-            words = (text or b"").split()
+        for text in utf8(part.column(2)):
+            words = text.split()
             spots, hashes = anchors(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))) if len(words) >= WINDOW else ((), np.zeros(0, np.uint64))
             at.append(np.asarray(spots, np.int32))
             value.append(hashes.view(np.int64))
             ends.append(ends[-1] + len(spots))
         items = pa.StructArray.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(at))], ["phrase", "at"])
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["cid", "anchors"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["key", "doc_id", "anchors"])
 
 
 def located(texts: list[bytes], phrases: list[list[int]], size: int = PHRASE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
@@ -129,19 +129,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(np.full(len(starts), cid[k])), pa.array(np.full(len(starts), low[k])), pa.array(starts.astype(np.int32))], ["w1", "w2", "cid", "low", "start"])
 
 
+def _key():
+    """A text's MD5, so that equal texts are one class."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, low, starts) for every distinct text: key is the text's MD5, low its smallest doc_id, starts the first words of its windows that a document with a doc_id below low holds too."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    classes = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("low")).withColumn("cid", F.monotonically_increasing_id()), "text-classes")
-    one = keyed.join(classes.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    texts = stored(one.select("cid", "low", "text"), "distinct-texts")
-    spots = stored(texts.select("cid", "text").mapInArrow(_anchored, "cid bigint, anchors array<struct<phrase:bigint,at:int>>").where("size(anchors) > 0").join(classes.select("cid", "low"), "cid").select("cid", "low", F.explode("anchors").alias("a")).select("cid", "low", "a.*"), "anchors")
-    recurring = spots.where("low IS NOT NULL").groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase")
-    own = spots.join(recurring, "phrase").groupBy("cid").agg(F.collect_list("at").alias("at"))
-    met = texts.join(own, "cid").select("cid", "low", "text", "at")
+    """(key, low, starts) for every distinct text: key is the text's MD5, low its smallest doc_id, starts the first words of its windows that a document with a doc_id below low holds too.
+
+    Texts are shuffled once, to meet the places of their recurring phrases.
+    """
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key().alias("key"))
+    prints = stored(keyed.select("key", "doc_id", "text").mapInArrow(_anchored, "key binary, doc_id bigint, anchors array<struct<phrase:bigint,at:int>>"), "anchors")
+    classes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("low")).withColumn("cid", F.monotonically_increasing_id()), "text-classes")
+    own_rows = (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("low"))
+    spots = prints.where("size(anchors) > 0").join(classes.withColumnRenamed("key", "_key"), own_rows).select("cid", F.explode("anchors").alias("a")).select("cid", "a.*")
+    spots = stored(spots, "phrases")
+    recurring = spots.groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase")
+    places = spots.join(recurring, "phrase").groupBy("cid").agg(F.collect_set("at").alias("at")).join(classes, "cid").select(F.col("key").alias("_key"), "cid", "low", "at")
+    met = keyed.join(places, own_rows).select("cid", "low", "text", "at")
     windows = stored(met.mapInArrow(_windows, "w1 bigint, w2 bigint, cid bigint, low bigint, start int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
-    removed = windows.join(first, ["w1", "w2"]).where("first < low").groupBy("cid").agg(F.array_sort(F.array_distinct(F.collect_list("start"))).alias("starts"))
+    removed = windows.join(first, ["w1", "w2"]).where("first < low").groupBy("cid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     return classes.join(removed, "cid", "left").select("key", "low", "starts")
 
 
@@ -181,8 +190,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     found = repeats(docs)
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    told = keyed.join(found.select(F.col("key").alias("_key"), F.col("low").alias("_low"), F.col("starts").alias("_starts")), "_key", "left")
+    told = docs.withColumn("_key", _key())
+    told = told.join(found.select(F.col("key").alias("_key"), F.col("low").alias("_low"), F.col("starts").alias("_starts")), "_key", "left")
     starts = F.when(F.col("doc_id").eqNullSafe(F.col("_low")), F.col("_starts"))
     cut = told.withColumn("_cut", _cut("text", starts, F.coalesce(F.col("doc_id") > F.col("_low"), F.lit(False))))
     return cut.withColumn("text", F.col("_cut.kept")).select(*docs.columns, F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"))
