@@ -3,8 +3,8 @@
 Each window of 50 words is represented by its phrase of 16 words with the smallest hash (a minimizer), so two equal
 windows share a phrase. Phrases that stand in two different documents recur. Documents then meet the
 recurring phrases they hold: each task compiles automata over its documents' phrases, a bounded number
-in each, and streams the documents through to find every occurrence. Windows around the occurrences are counted by a
-128-bit hash, and those that a smaller doc_id holds are cut out.
+in each, and streams the documents through to find every occurrence. Windows whose own minimizer recurs are counted by a
+128-bit hash, and those that a smaller doc_id holds are cut out. Whole texts are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, stored, utf8
+from .common import packed, pieces, stored, unpacked, utf8
 
 WINDOW, PHRASE = 50, 16
 #: Phrases of one automaton at most, documents that share automata, words whose hashes a task remembers.
@@ -57,13 +57,18 @@ def _over(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
+def _phrases(hashes: np.ndarray, phrase: int = PHRASE) -> np.ndarray:
+    """Hash of each phrase, the same wherever it stands. hashes: of the words, uint64, at least phrase of them."""
+    n = len(hashes)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * _powers(_BASE, n), dtype=np.uint64)))
+    return _mixed((sums[phrase:] - sums[:-phrase]) * _powers(_BACK, n - phrase + 1))
+
+
 def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the phrases that are the smallest of some window; of equal phrases in a window each one. hashes: of the words, uint64."""
-    n = len(hashes)
-    if n < window:
+    if len(hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * _powers(_BASE, n), dtype=np.uint64)))
-    phrases = _mixed((sums[phrase:] - sums[:-phrase]) * _powers(_BACK, n - phrase + 1))
+    phrases = _phrases(hashes, phrase)
     wide = window - phrase + 1
     least = _over(phrases, wide, np.minimum)
     edge = np.zeros(wide - 1, np.uint64)
@@ -111,17 +116,21 @@ def located(texts: list[bytes], phrases: list[list[int]], size: int = PHRASE) ->
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w1, w2, cid, low, start): a window's hash and where it starts, for each window that holds a recurring phrase."""
+    """Rows (w1, w2, cid, low, start): a window's hash and where it starts, for each window whose minimizer is a recurring phrase. Windows that equal one of another text are among them."""
     from xxhash import xxh3_128_digest
 
+    memo = _Hashes()
     for part in pieces(batches, SHARD_DOCS):
         cid, low = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for k, at, spaces, padded in located(utf8(part.column(2)), part.column(3).to_pylist()):
-            n = len(spaces) - 1
-            change = np.zeros(n + 2, np.int32)
-            np.add.at(change, np.maximum(0, at - (WINDOW - PHRASE)), 1)
-            np.add.at(change, at + 1, -1)
-            starts = np.flatnonzero(np.cumsum(change)[: max(0, n - WINDOW + 1)] > 0)
+        for k, at, spaces, padded in located(unpacked(part.column(2)), part.column(3).to_pylist()):
+            words = padded.split()
+            if len(words) < WINDOW or not len(at):
+                continue
+            phrases = _phrases(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+            recurring = np.full(len(phrases), np.iinfo(np.uint64).max)
+            recurring[at] = phrases[at]
+            wide = WINDOW - PHRASE + 1
+            starts = np.flatnonzero(_over(recurring, wide, np.minimum) == _over(phrases, wide, np.minimum))
             if not len(starts):
                 continue
             cuts = map(slice, spaces[starts].tolist(), spaces[starts + WINDOW].tolist())
@@ -140,6 +149,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, to meet the places of their recurring phrases.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key().alias("key"))
+    squeezed = keyed.select("doc_id", "key", packed("text").alias("packed"))
     prints = stored(keyed.select("key", "doc_id", "text").mapInArrow(_anchored, "key binary, doc_id bigint, anchors array<struct<phrase:bigint,at:int>>"), "anchors")
     classes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("low")).withColumn("cid", F.monotonically_increasing_id()), "text-classes")
     own_rows = (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("low"))
@@ -147,7 +157,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spots = stored(spots, "phrases")
     recurring = spots.groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase")
     places = spots.join(recurring, "phrase").groupBy("cid").agg(F.collect_set("at").alias("at")).join(classes, "cid").select(F.col("key").alias("_key"), "cid", "low", "at")
-    met = keyed.join(places, own_rows).select("cid", "low", "text", "at")
+    met = squeezed.join(places, own_rows).select("cid", "low", "packed", "at")
     windows = stored(met.mapInArrow(_windows, "w1 bigint, w2 bigint, cid bigint, low bigint, start int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
     removed = windows.join(first, ["w1", "w2"]).where("first < low").groupBy("cid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
@@ -159,7 +169,7 @@ def _cut(texts: pa.Array, starts: pa.Array, copies: pa.Array) -> pa.Array:
     kept, sizes, gone = [], [], []
     for lo in range(0, len(texts), 256):
         part = slice(lo, lo + 256)
-        for text, spots, copy in zip(utf8(texts[part]), starts[part].to_pylist(), copies[part].to_pylist(), strict=True):
+        for text, spots, copy in zip(unpacked(texts[part]), starts[part].to_pylist(), copies[part].to_pylist(), strict=True):
             words = (text or b"").split()
             n = len(words)
             if copy and n >= WINDOW:
@@ -190,8 +200,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     found = repeats(docs)
-    told = docs.withColumn("_key", _key())
+    told = docs.withColumns({"_key": _key(), "_packed": packed("text")}).drop("text")
     told = told.join(found.select(F.col("key").alias("_key"), F.col("low").alias("_low"), F.col("starts").alias("_starts")), "_key", "left")
     starts = F.when(F.col("doc_id").eqNullSafe(F.col("_low")), F.col("_starts"))
-    cut = told.withColumn("_cut", _cut("text", starts, F.coalesce(F.col("doc_id") > F.col("_low"), F.lit(False))))
+    cut = told.withColumn("_cut", _cut("_packed", starts, F.coalesce(F.col("doc_id") > F.col("_low"), F.lit(False))))
     return cut.withColumn("text", F.col("_cut.kept")).select(*docs.columns, F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"))
