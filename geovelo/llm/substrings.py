@@ -156,10 +156,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     spots = prints.where("size(anchors) > 0").join(classes.withColumnRenamed("key", "_key"), own_rows).select("cid", F.explode("anchors").alias("a")).select("cid", "a.*")
     spots = stored(spots, "phrases")
     recurring = spots.groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase")
+    recurring = stored(recurring, "recurring")  # a plain side of the join, so that AQE can split a phrase that very many texts hold
     places = spots.join(recurring, "phrase").groupBy("cid").agg(F.collect_set("at").alias("at")).join(classes, "cid").select(F.col("key").alias("_key"), "cid", "low", "at")
     met = squeezed.join(places, own_rows).select("cid", "low", "packed", "at")
     windows = stored(met.mapInArrow(_windows, "w1 bigint, w2 bigint, cid bigint, low bigint, start int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
+    first = stored(first, "first-windows")  # as above
     removed = windows.join(first, ["w1", "w2"]).where("first < low").groupBy("cid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     return classes.join(removed, "cid", "left").select("key", "low", "starts")
 
