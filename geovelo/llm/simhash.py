@@ -2,8 +2,8 @@
 
 Fingerprints are cut into shards by a small vantage-point tree over a bounded sample. A fingerprint
 lives in one shard; where the triangle inequality allows a neighbour on the far side of a ball it is
-also sent there as a query. Each shard prunes further with its own vantage points, so every pair
-within the radius is met, and gives out a spanning forest instead of all pairs.
+also sent there as a query. A shard that holds many is compared in tiles of bounded size. Each tile prunes
+further with its own vantage points, so every pair within the radius is met, and gives out a spanning forest instead of all pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
 PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 16
+#: What a fingerprint is in a tile: compared with all others there, only asking those that live there, or only asked.
+BOTH, ASKS, ASKED = 0, 1, 2
 _STEP = 1 << 15
 #: Where the counts of each of a hash's eight bytes begin, and the bits of each byte value.
 _PLACE, _BITS = 256 * np.arange(8), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -128,30 +130,78 @@ def _linked(home: np.ndarray, query: np.ndarray, prints: np.ndarray, radius: int
             yield np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def _shard_links(shard: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
-    shard = shard.sort_values(["live", "fp"], ascending=[False, True])
-    prints = shard["fp"].to_numpy(np.int64).view(np.uint64)
-    found = list(_linked(np.arange(int(shard["live"].sum())), np.arange(len(prints)), prints, radius))
+class Tiles:
+    """Tiles of shards: a shard's residents and queries are cut by hash into parts of about most rows, and each part of the residents meets each other one and each part of the queries."""
+
+    def __init__(self, sizes: dict[tuple[int, bool], int], most: int):
+        self.parts: dict[int, tuple[int, int, int]] = {}  # by shard: its first tile, parts of its residents, parts of its queries
+        first = 0
+        for shard in sorted({s for s, _ in sizes}):
+            lives, asks = (max(1, -(-sizes.get((shard, k), 0) // most)) for k in (True, False))
+            self.parts[shard] = (first, lives, asks)
+            first += lives * (lives + asks)
+
+    def deal(self, shard: int, prints: np.ndarray, live: bool) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(tile, positions in prints, what they are there). Queries of the first part share the tiles in which a part of the residents meets itself."""
+        first, lives, asks = self.parts[shard]
+        wide = lives + asks
+        part = (prints * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % (lives if live else asks)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            if live:
+                yield first + p * wide + p, at, BOTH
+                yield from ((first + p * wide + q, at, ASKED) for q in (*range(p + 1, lives), *range(lives + 1, wide)))
+                yield from ((first + q * wide + p, at, ASKS) for q in range(p))
+            else:
+                yield from ((first + q * wide + (lives + p if p else q), at, ASKS) for q in range(lives))
+
+
+def _tile_links(tile: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
+    tile = tile.sort_values(["role", "fp"])
+    prints, role = tile["fp"].to_numpy(np.int64).view(np.uint64), tile["role"].to_numpy()
+    found = list(_linked(np.flatnonzero(role != ASKS), np.flatnonzero(role != ASKED), prints, radius))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
     values = prints.view(np.int64)
     return pd.DataFrame({"a": values[pairs[:, 0]], "b": values[pairs[:, 1]]})
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly what links within radius connect. prints: distinct column fp."""
+    """Edges (a, b) between distinct fingerprints that connect exactly what links within radius connect. prints: distinct column fp.
+
+    Two counts a shard reach the driver; no task gets more than about 2 * PER_SHARD rows, however many fingerprints lie close together.
+    """
     n = prints.count()
     shards = min(MAX_SHARDS, max(1, -(-n // PER_SHARD)))
     sample = [x[0] for x in bounded_ids(prints, "fp", shards * SAMPLE).collect()] if shards > 1 else []
     router = Router(np.array(sample, np.int64).view(np.uint64), shards)
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, bool], int] = {}
+        for batch in batches:
+            for shard, at, live in router.route(_unsigned(batch), radius):
+                total[shard, live] = total.get((shard, live), 0) + len(at)
+        yield pa.RecordBatch.from_pylist([{"shard": s, "live": k, "n": x} for (s, k), x in total.items()], schema=pa.schema([("shard", pa.int32()), ("live", pa.bool_()), ("n", pa.int64())]))
+
+    if shards > 1:
+        sums = prints.select("fp").mapInArrow(counted, "shard int, live boolean, n bigint").groupBy("shard", "live").agg(F.sum("n").alias("n"))
+        sizes = {(r["shard"], r["live"]): r["n"] for r in sums.collect()}
+    else:
+        sizes = {(0, True): n}
+    tiles = Tiles(sizes, PER_SHARD)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for shard, at, live in router.route(values.view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(values[at]), pa.array(np.full(len(at), live))], ["shard", "fp", "live"])
+            values = _unsigned(batch)
+            for shard, at, live in router.route(values, radius):
+                for tile, own, role in tiles.deal(shard, values[at], live):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tile)), pa.array(values[at[own]].view(np.int64)), pa.array(np.full(len(own), role, np.int8))], ["tile", "fp", "role"])
+
+    met = prints.select("fp").mapInArrow(dealt, "tile bigint, fp bigint, role tinyint")
+    return met.groupBy("tile").applyInPandas(lambda x: _tile_links(x, radius), "a bigint, b bigint")
+
 
-    dealt = prints.select("fp").mapInArrow(routed, "shard int, fp bigint, live boolean")
-    return dealt.groupBy("shard").applyInPandas(lambda x: _shard_links(x, radius), "a bigint, b bigint")
+def _unsigned(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -101,7 +101,8 @@ def test_simhash_against_brute_force(spark, rng):
     assert simhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
-def test_sharded_vantage_points_find_every_pair(monkeypatch):
+@pytest.mark.parametrize("most", [10_000, 150])
+def test_sharded_vantage_points_find_every_pair(most):
     draw = np.random.default_rng(2)
     base = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
     near = base[:1500] ^ (np.uint64(1) << draw.integers(0, 64, 1500, dtype=np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 1500, dtype=np.uint64))
@@ -111,12 +112,17 @@ def test_sharded_vantage_points_find_every_pair(monkeypatch):
     assert router.leaves > 4
     import pandas as pd
 
-    shards = defaultdict(list)
+    sizes, tiles = defaultdict(int), defaultdict(list)
     for shard, at, live in router.route(prints, 2):
-        shards[shard].append(pd.DataFrame({"fp": prints[at].view(np.int64), "live": live}))
-    lives = sum(int(x.live.sum()) for v in shards.values() for x in v)
-    assert lives == len(prints)
-    edges = [e for v in shards.values() for e in simhash._shard_links(pd.concat(v)).itertuples(index=False)]
+        sizes[shard, live] += len(at)
+    assert sum(n for (_, live), n in sizes.items() if live) == len(prints)
+    cut = simhash.Tiles(sizes, most)
+    for shard, at, live in router.route(prints, 2):
+        for tile, own, role in cut.deal(shard, prints[at], live):
+            tiles[tile].append(pd.DataFrame({"fp": prints[at[own]].view(np.int64), "role": role}))
+    tiles = {k: pd.concat(v) for k, v in tiles.items()}
+    assert max(map(len, tiles.values())) <= 3 * most
+    edges = [e for v in tiles.values() for e in simhash._tile_links(v).itertuples(index=False)]
     root = {int(x): int(x) for x in prints.view(np.int64)}
 
     def find(x):
