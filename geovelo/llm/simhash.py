@@ -23,7 +23,11 @@ from .components import components
 RADIUS = 2
 SHINGLE = 3
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
-PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 16
+PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 64
+#: Residents, and as many queries, that one task compares at most, about; shards that hold more are cut into tiles.
+PER_TILE = 32_768
+#: Sampled fingerprints that are tried as a ball's vantage point; least share of the sample on either side of it.
+TRIED, SIDE = 16, 0.3
 #: What a fingerprint is in a tile: compared with all others there, only asking those that live there, or only asked.
 BOTH, ASKS, ASKED = 0, 1, 2
 _STEP = 1 << 15
@@ -66,21 +70,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class Router:
     """Vantage-point tree whose leaves are shards: inner nodes (vantage point, ball radius, inside, outside)."""
 
-    def __init__(self, sample: np.ndarray, shards: int):
-        self.leaves = 0
+    def __init__(self, sample: np.ndarray, shards: int, radius: int = RADIUS):
+        self.leaves, self.radius = 0, radius
         self.root = self._grow(np.unique(sample), shards)
 
     def _grow(self, sample: np.ndarray, shards: int):
-        if shards > 1 and len(sample) > 2:
-            apart = np.bitwise_count(sample ^ sample[0])
-            ball = int(np.median(apart[1:]))
-            inside = apart <= ball
-            if not inside.all():
-                near = max(1, shards // 2)
-                return (sample[0], ball, self._grow(sample[inside], near), self._grow(sample[~inside], shards - near))
+        cut = self._ball(sample) if shards > 1 and len(sample) > 2 else None
+        if cut:
+            vantage, ball = cut
+            inside = np.bitwise_count(sample ^ vantage) <= ball
+            near = min(shards - 1, max(1, round(shards * float(inside.mean()))))
+            return (vantage, ball, self._grow(sample[inside], near), self._grow(sample[~inside], shards - near))
         self.leaves += 1
         return self.leaves - 1
 
+    def _ball(self, sample: np.ndarray) -> tuple[np.uint64, int] | None:
+        """The vantage point and ball with the fewest sampled fingerprints near the border, on either side of which SIDE of the sample lies; None if there is no such ball."""
+        best, found = len(sample) + 1, None
+        for vantage in sample[:: max(1, len(sample) // TRIED)]:
+            upto = np.cumsum(np.bincount(np.bitwise_count(sample ^ vantage), minlength=65))
+            beyond, below = np.full(self.radius, upto[-1]), np.zeros(self.radius, int)
+            border = np.concatenate((upto[self.radius :], beyond)) - np.concatenate((below, upto[: len(upto) - self.radius]))
+            border[np.minimum(upto, upto[-1] - upto) < SIDE * len(sample)] = len(sample) + 1
+            if border.min() < best:
+                best, found = int(border.min()), (vantage, int(border.argmin()))
+        return found
+
     def route(self, prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(shard, positions in prints, whether they live there or only ask there)."""
 
@@ -168,12 +183,12 @@ def _tile_links(tile: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect exactly what links within radius connect. prints: distinct column fp.
 
-    Two counts a shard reach the driver; no task gets more than about 2 * PER_SHARD rows, however many fingerprints lie close together.
+    Two counts a shard reach the driver; no task gets more than about 2 * PER_TILE rows, however many fingerprints lie close together.
     """
     n = prints.count()
     shards = min(MAX_SHARDS, max(1, -(-n // PER_SHARD)))
     sample = [x[0] for x in bounded_ids(prints, "fp", shards * SAMPLE).collect()] if shards > 1 else []
-    router = Router(np.array(sample, np.int64).view(np.uint64), shards)
+    router = Router(np.array(sample, np.int64).view(np.uint64), shards, radius)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, bool], int] = {}
@@ -187,7 +202,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         sizes = {(r["shard"], r["live"]): r["n"] for r in sums.collect()}
     else:
         sizes = {(0, True): n}
-    tiles = Tiles(sizes, PER_SHARD)
+    tiles = Tiles(sizes, PER_TILE)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
