@@ -69,6 +69,19 @@ def unpacked(column: pa.Array) -> list[bytes | None]:
     return [None if x is None else spread(x) for x in column.to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name behind as many underscores as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """All columns of df as one struct, so that names made on the way can't clash; without: names in lower case to leave out."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in without])
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z lower-cased, all other characters unchanged."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

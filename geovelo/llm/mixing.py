@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, stored
+from .common import WORD, cut, stored, whole_row
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
@@ -119,10 +119,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     Size is the number of words; a null or empty text has size 0 and rate 1. A null source is a source of its own, the
     last one. Repeated rows are documents of their own with equal draws. Ties need no order: the draw is a hash of doc_id
     and all that lean below their source's threshold get the extra copy. An empty table gives an empty result. Columns of
-    docs with the names made here are replaced.
+    docs with the names of the six new ones are replaced, all others are kept.
     """
-    made = ["size", "key", "total", "source_size", "target", "rate", "copies", "taken", "lam", "mean", "whole", "lean", "threshold", "salt"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    made = ("size", "source_size", "target", "rate", "copies", "taken")
     slim = stored(with_sizes(docs.select("doc_id", "text", "source")).select("doc_id", "source", "key", "size"), "sizes")
     counts = stored(slim.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "size-counts")
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
@@ -137,6 +136,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     none = F.abs(F.col("sure") - F.col("target"))
     best = edges.groupBy("key").agg(F.min_by((F.col("bin") + 1) * (2.0 / BINS) - 1, F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("edge"), F.min(F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("off"), F.first(none).alias("none"))
     final = cut(state.join(best, "key").select("key", F.col("total").alias("source_size"), "target", "lam", "mean", F.when(F.col("none") <= F.col("off"), -2.0).otherwise(F.col("edge")).alias("threshold")))
-    whole = attach(with_sizes(docs), final, n).withColumns(_draws(cap))
+    rows = with_sizes(docs.select("doc_id", "text", "source", whole_row(docs, *made).alias("row"))).select("doc_id", "key", "size", "row")
+    whole = attach(rows, final, n).withColumns(_draws(cap))
     copies = F.when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.col("whole") + (F.col("lean") < F.col("threshold")).cast("int")).cast("long")
-    return whole.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, "size", "source_size", "target", "rate", "copies", "taken")
+    return whole.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("row.*", *made)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, pieces, stored, utf8
+from .common import bounded_ids, pieces, stored, unused, utf8
 from .components import components
 
 RADIUS = 2
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id, once. Rows without a doc_id go where any document of their group has one."""
-    kept = near_duplicates(docs, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    marked = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "_kept")
+    kept = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    marked = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     return marked.dropDuplicates(["doc_id"])

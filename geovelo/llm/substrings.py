@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, pieces, stored, unpacked, utf8
+from .common import packed, pieces, stored, unpacked, utf8, whole_row
 
 WINDOW, PHRASE = 50, 16
 #: Phrases of one automaton at most, documents that share automata, words whose hashes a task remembers.
@@ -202,8 +202,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     found = repeats(docs)
-    told = docs.withColumns({"_key": _key(), "_packed": packed("text")}).drop("text")
-    told = told.join(found.select(F.col("key").alias("_key"), F.col("low").alias("_low"), F.col("starts").alias("_starts")), "_key", "left")
-    starts = F.when(F.col("doc_id").eqNullSafe(F.col("_low")), F.col("_starts"))
-    cut = told.withColumn("_cut", _cut("_packed", starts, F.coalesce(F.col("doc_id") > F.col("_low"), F.lit(False))))
-    return cut.withColumn("text", F.col("_cut.kept")).select(*docs.columns, F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"))
+    told = docs.select(whole_row(docs, "text").alias("row"), _key().alias("key"), packed("text").alias("packed")).join(found, "key", "left")
+    starts = F.when(F.col("row.doc_id").eqNullSafe(F.col("low")), F.col("starts"))
+    cut = told.select("row", _cut("packed", starts, F.coalesce(F.col("row.doc_id") > F.col("low"), F.lit(False))).alias("cut"))
+    whole = [(F.col("cut.kept") if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    return cut.select(*whole, "cut.n_words", "cut.n_removed")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -108,7 +108,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame =
             found = [tree.match(h, p) or (None, otherwise) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return parsed.withColumn("_found", matched("host", "path")).select(*parsed.columns, F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict"))
+    name = unused(parsed, "_found")
+    return parsed.withColumn(name, matched("host", "path")).select(*parsed.columns, F.col(name)["rule"].alias("rule"), F.col(name)["verdict"].alias("verdict"))
 
 
 def _joined(parsed: DataFrame, rules: DataFrame, otherwise: str) -> DataFrame:
@@ -117,8 +118,9 @@ def _joined(parsed: DataFrame, rules: DataFrame, otherwise: str) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
     asked = pairs.withColumn("rule_host", F.explode(suffixes))
-    told = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("told"))
+    name = unused(parsed, "told")
+    told = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias(name))
     fits = asked.join(told, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    rank = Window.partitionBy("host", "path").orderBy(F.length("rule_host").desc(), F.length("rule_path").desc(), F.col("told").desc())
-    best = fits.withColumn("n", F.row_number().over(rank)).where("n = 1").select("host", "path", F.concat("rule_host", "rule_path").alias("rule"), "told")
-    return parsed.join(best, ["host", "path"], "left").select(*parsed.columns, "rule", F.coalesce("told", F.lit(otherwise)).alias("verdict"))
+    rank = Window.partitionBy("host", "path").orderBy(F.length("rule_host").desc(), F.length("rule_path").desc(), F.col(name).desc())
+    best = fits.withColumn("n", F.row_number().over(rank)).where("n = 1").select("host", "path", F.concat("rule_host", "rule_path").alias("rule"), name)
+    return parsed.join(best, ["host", "path"], "left").select(*parsed.columns, "rule", F.coalesce(name, F.lit(otherwise)).alias("verdict"))

@@ -512,3 +512,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert all(r.copies > 0 and r.text == told[4][r.doc_id].text for r in kept[5])
     whole = corpus_pipeline.run(spark, SF)
     assert json.dumps(sorted((r.doc_id, r.copies) for r in whole.collect())) == json.dumps(sorted((r.doc_id, r.copies) for r in kept[5]))
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    names = ["_kept", "key", "packed", "row", "cut", "low", "starts", "_found", "told", "mean", "salt", "whole"]
+    texts = [(1, "one two three"), (2, "one two three"), (3, None)]
+    docs = spark.createDataFrame([(d, t, "a", f"http://x.net/{d}", *[f"{n}{d}" for n in names]) for d, t in texts], "doc_id long, text string, source string, url string, " + ", ".join(f"{n} string" for n in names))
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    for done in (simhash.drop_near_duplicates(docs), substrings.dedup(docs), mixing.mix(docs), urlfilter.judge(docs), urlfilter._joined(docs.selectExpr("*", "'x.net' AS host", "'/' AS path"), rules, "allow")):
+        rows = done.collect()
+        assert rows and set(docs.columns) <= set(done.columns)
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
