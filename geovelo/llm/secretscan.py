@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_ids, pieces
+from .common import pieces
 
 KINDS = ("assign", "access", "hex", "markov")
 # The base patterns.
@@ -27,8 +27,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that the Markov models judge: no shorter ones, and only such as mix digits and letters.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Documents that give ordinary tokens to the training, at most: those whose doc_id has the smallest hash.
-FIT_DOCS = 2_000
 #: Random strings made for training.
 FIT_RANDOM = 4_000
 SMOOTH = 0.5
@@ -118,11 +116,9 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["pair", "n"])
 
 
-def train(docs: DataFrame, labelled: list[tuple[str, int]] | None = None, fit_docs: int = FIT_DOCS) -> Model:
-    """Models from labelled tokens (samples() if none are given) and the ordinary words of at most fit_docs documents. The bigram sums, 16,384 rows at most, are added up on the executors."""
-    chosen = bounded_ids(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", fit_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
-    rows = texts.mapInArrow(_bigrams, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+def train(docs: DataFrame, labelled: list[tuple[str, int]] | None = None) -> Model:
+    """Models from labelled tokens (samples() if none are given) and the ordinary words of all documents. The bigram sums, 16,384 rows at most, are added up on the executors."""
+    rows = docs.select("text").mapInArrow(_bigrams, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(128 * 128)
     for r in rows:
         counts[r["pair"]] = r["n"]

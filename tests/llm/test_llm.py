@@ -302,6 +302,19 @@ def test_markov_models_on_held_out_samples():
     assert sum(model.score(t) > model.cut for t, y in fresh if y) >= 0.98 * 2000 and sum(model.score(t) > model.cut for t, y in fresh if not y) <= 0.02 * 2000
 
 
+def test_markov_model_counts_the_words_of_all_documents(spark, rng):
+    texts = [(None if d % 100 == 0 else d, " ".join("".join(rng.choices("abcdeXYZ", k=6)) for _ in range(5))) for d in range(2600)]
+    want = np.zeros((128, 128))
+    for _, t in texts:
+        for w in t.split():
+            for a, b in zip(w, w[1:]):
+                want[ord(a), ord(b)] += 1
+    made = secretscan.samples()
+    want *= min(1.0, sum(len(t) for t, y in made if not y) / want.sum())
+    model, whole = secretscan.train(_docs(spark, texts).repartition(3)), secretscan.fit(want, made)
+    assert np.allclose(model.ratio, whole.ratio) and model.cut == pytest.approx(whole.cut)
+
+
 # --- substrings ------------------------------------------------------------------------------------------------------
 
 
