@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_ids, pieces, stored, unused, utf8
 from .components import components
@@ -67,6 +68,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 
+@F.arrow_udf(T.LongType())
+def _print(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(x) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])], np.uint64).view(np.int64))
+
+
 class Router:
     """Vantage-point tree whose leaves are shards: inner nodes (vantage point, ball radius, inside, outside)."""
 
@@ -239,8 +245,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id, once. Rows without a doc_id go where any document of their group has one."""
-    name = unused(docs, "_kept")
-    kept = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    marked = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return marked.dropDuplicates(["doc_id"])
+    """docs with exactly one row of each near-duplicate group: the one with the smallest doc_id. Rows without a doc_id go where any document of their group has one; one of them stays in a group without any.
+
+    Rows are told apart by a number of their own, so doc_ids may be null or stand on several texts.
+    """
+    row, fp = unused(docs, "_row"), unused(docs, "_fp")
+    each = stored(docs.withColumn(fp, _print("text")).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("best")
+    classes = stored(each.groupBy(F.col(fp).alias("fp")).agg(best), "fingerprint-classes")
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    kept = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return each.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -101,6 +101,13 @@ def test_simhash_against_brute_force(spark, rng):
     assert simhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark, rng):
+    one, two, three, four, five = (" ".join(rng.choices("abcdefghij", k=40)) for _ in range(5))
+    texts = [(None, one), (None, one), (None, two), (None, three), (7, three), (8, four), (8, five), (9, five), (8, four)]
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(_docs(spark, texts).repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(None, one), (None, two), (7, three), (8, four), (8, five)], key=str)
+
+
 @pytest.mark.parametrize("most", [10_000, 150])
 def test_sharded_vantage_points_find_every_pair(most):
     draw = np.random.default_rng(2)
