@@ -23,6 +23,8 @@ from .components import components
 
 RADIUS = 2
 SHINGLE = 3
+#: For the corpus pipeline, which has no digest to agree with: words of a shingle, least Jaccard similarity, bits in which each of the two SimHashes of a similar pair may differ.
+NEAR = {"size": 5, "similarity": 0.8, "radius": 18}
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
 PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 64
 #: Residents, and as many queries, that one task compares at most, about; shards that hold more are cut into tiles.
@@ -69,8 +71,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(T.LongType())
-def _print(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(x) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])], np.uint64).view(np.int64))
+def _print(texts: pa.Array, size: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(x, size[0].as_py()) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])], np.uint64).view(np.int64))
 
 
 class Router:
@@ -244,13 +246,142 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def sketch(text: bytes | None, size: int) -> tuple[int, int, int, bytes]:
+    """Of a text's distinct shingles: two independent 64-bit SimHashes, their number, and 16 bytes that are equal for equal sets."""
+    from xxhash import xxh3_128_digest
+
+    found = _shingles(text, size)
+    if not len(found):
+        return 0, 0, 0, b""
+    mixed = found ^ (found >> np.uint64(30))
+    mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    first, second = (_majority(x) for x in (found, mixed ^ (mixed >> np.uint64(31))))
+    return first, second, len(found), xxh3_128_digest(found.tobytes())
+
+
+def _shingles(text: bytes | None, size: int) -> np.ndarray:
+    """The sorted distinct XXH64 values of a text's shingles of size words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").decode("utf-8", "replace").lower().encode().split()
+    told = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    return np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in told), np.uint64, len(told)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STEP):
+        seen = np.bincount((hashes[at : at + _STEP].view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
+        ones += (seen.reshape(8, 256) @ _BITS).ravel()
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _near(tile: pd.DataFrame, radius: int, similarity: float, every: bool) -> pd.DataFrame:
+    """Pairs (a, b) of nodes both of whose SimHashes differ in at most radius bits and whose sizes allow the similarity: all pairs of
+    different labels if every is set, else for each node one close node of each block of residents, the smallest."""
+    tile = tile.sort_values("node")
+    node, label, role = (tile[c].to_numpy() for c in ("node", "label", "role"))
+    one, two, n = tile["fp"].to_numpy(np.int64).view(np.uint64), tile["more"].to_numpy(np.int64).view(np.uint64), tile["n"].to_numpy(np.int64)
+    home, query = np.flatnonzero(role != ASKS), np.flatnonzero(role != ASKED)
+    found = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(home), 512):
+        h = home[at : at + 512]
+        for of in range(0, len(query), 4096):
+            q = query[of : of + 4096]
+            y, x = np.nonzero(np.bitwise_count(one[q][:, None] ^ one[h][None, :]) <= radius)
+            y, x = q[y], h[x]
+            close = (np.bitwise_count(two[y] ^ two[x]) <= radius) & (label[y] != label[x])
+            close &= np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9
+            y, x = y[close], x[close]
+            if not every:  # rows come by query, then by resident in the order of nodes
+                y, at_first = np.unique(y, return_index=True)
+                x = x[at_first]
+            found.append(np.stack((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])), 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _confirmed(nodes: DataFrame, texts: DataFrame, size: int, radius: int, similarity: float, every: bool) -> DataFrame:
+    """Edges (a, b) between nodes (node, fp, more, n, label) that _near() finds and whose Jaccard similarity of shingles, counted on the texts (node, text), reaches similarity.
+
+    Nodes are dealt by size: similar ones are in the same band or in neighbouring ones. A band with many is cut into tiles. The number of nodes of each band reaches the driver, some hundred numbers at most.
+    """
+    banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / -float(np.log(similarity)) * (1 - 1e-9)).cast("int"))
+    counts = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    tiles = Tiles({(b + k, not k): x for b, x in counts.items() for k in (0, 1)}, PER_TILE)
+    kept = ["node", "fp", "more", "n", "label"]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, fp = batch.column(5).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for b in np.unique(band).tolist():
+                own = np.flatnonzero(band == b)
+                for k in (0, 1):
+                    for tile, at, role in tiles.deal(b + k, fp[own], not k):
+                        part = batch.take(pa.array(own[at]))
+                        yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(np.full(len(at), tile, np.int64)), pa.array(np.full(len(at), role, np.int8))], [*kept, "tile", "role"])
+
+    met = banded.select(*kept, "band").mapInArrow(dealt, "node bigint, fp bigint, more bigint, n bigint, label bigint, tile bigint, role tinyint")
+    near = met.groupBy("tile").applyInPandas(lambda x: _near(x, radius, similarity, every), "a bigint, b bigint")
+    pairs = stored(near.distinct(), "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    told = stored(texts.join(ends, "node", "left_semi"), "near-texts")
+    both = pairs.join(told.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in pieces([b])):
+            held = []
+            for x, y in zip(utf8(part.column(2)), utf8(part.column(3)), strict=True):
+                s, t = _shingles(x, size), _shingles(y, size)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                held.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(held, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(checked, "a bigint, b bigint")
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in (("fp", T.LongType()), ("more", T.LongType()), ("n", T.LongType()), ("digest", T.BinaryType()))]))
+def _sketches(texts: pa.Array, size: pa.Array) -> pa.Array:
+    rows = [sketch(x, size[0].as_py()) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])]
+    one, two, n, digest = zip(*rows, strict=True) if rows else ((),) * 4
+    prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+    return pa.StructArray.from_arrays([*prints, pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["fp", "more", "n", "digest"])
+
+
+def drop_similar(docs: DataFrame, similarity: float, size: int, radius: int) -> DataFrame:
+    """docs with exactly one row of each group that links of similarity connect, chosen as drop_near_duplicates() does.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles of size lower-cased words reaches similarity. Candidates are pairs whose two SimHashes differ
+    in at most radius bits each; every candidate is checked on the whole texts. Texts with equal sets are one node, wordless ones among them. A first round checks
+    one close node for each; the second all close pairs that the first left apart, so a large group of near copies is not compared pair by pair.
+    """
+    row, told = unused(docs, "_row"), unused(docs, "_sketch")
+    each = stored(docs.withColumn(told, _sketches("text", F.lit(size))).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("best")
+    sets = each.groupBy(*[F.col(told)[c].alias(c) for c in ("fp", "more", "n", "digest")]).agg(best)
+    nodes = stored(sets.select(F.col("best.row").alias("node"), "fp", "more", "n", "best"), "shingle-sets")
+    texts = each.select(F.col(row).alias("node"), "text")
+    # sets of so few shingles are similar only if they are equal
+    wide = nodes.where(F.col("n") > int(similarity / (1 - similarity) - 1e-6)).select("node", "fp", "more", "n") if similarity < 1 else nodes.where("false").select("node", "fp", "more", "n")
+    first = stored(_confirmed(wide.withColumn("label", F.col("node")), texts, size, radius, similarity, False), "near-edges")
+    roots = components(first)
+    labelled = stored(wide.join(roots, "node", "left").select("node", "fp", "more", "n", F.coalesce("root", "node").alias("label")), "near-labels")
+    edges = first.unionAll(_confirmed(labelled, texts, size, radius, similarity, True))
+    kept = nodes.join(components(edges), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return each.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs with exactly one row of each near-duplicate group: the one with the smallest doc_id. Rows without a doc_id go where any document of their group has one; one of them stays in a group without any.
 
     Rows are told apart by a number of their own, so doc_ids may be null or stand on several texts.
+    Groups are those of near_duplicates() with shingles of size words; if similarity is given, those of drop_similar().
     """
+    if similarity is not None:
+        return drop_similar(docs, similarity, size, radius)
     row, fp = unused(docs, "_row"), unused(docs, "_fp")
-    each = stored(docs.withColumn(fp, _print("text")).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    each = stored(docs.withColumn(fp, _print("text", F.lit(size))).withColumn(row, F.monotonically_increasing_id()), "numbered")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("best")
     classes = stored(each.groupBy(F.col(fp).alias("fp")).agg(best), "fingerprint-classes")
     roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")

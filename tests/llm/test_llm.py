@@ -108,6 +108,31 @@ def test_one_row_of_each_group_stays_whatever_its_doc_id(spark, rng):
     assert sorted(got, key=str) == sorted([(None, one), (None, two), (7, three), (8, four), (8, five)], key=str)
 
 
+@pytest.mark.parametrize("most", [32_768, 7])
+def test_pipeline_drops_near_copies_of_similarity_08(spark, rng, monkeypatch, most):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "PER_TILE", most)
+    texts = _odd(rng)
+    for d in range(100, 150):  # copies with one to ten words changed, on both sides of 0.8
+        if d % 5 == 0:
+            base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(60, 300))]
+        words = list(base)
+        for _ in range(rng.randint(1, 10)):
+            words[rng.randrange(len(words))] = "Zz"
+        texts.append((d, " ".join(words)))
+    told = lambda t: (lambda w: frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())((t or "").lower().split())
+    sets = {t: told(t) for _, t in texts}
+    order = sorted(set(sets.values()), key=sorted)
+    group = _groups(range(len(order)), lambda a, b: len(order[a] & order[b]) >= 0.8 * len(order[a] | order[b]))
+    lows = defaultdict(list)
+    for d, t in texts:
+        lows[group[order.index(sets[t])]].append((d is None, d))
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, _docs(spark, texts).repartition(3), SF).collect()]
+    assert sorted(kept, key=str) == sorted((min(v, key=lambda x: (x[0], x[1] or 0))[1] for v in lows.values()), key=str)
+    assert corpus_pipeline.near_dedup(spark, _docs(spark, []), SF).count() == 0
+
+
 @pytest.mark.parametrize("most", [10_000, 150])
 def test_sharded_vantage_points_find_every_pair(most):
     draw = np.random.default_rng(2)
