@@ -21,11 +21,13 @@ from .components import components
 COSINE = 0.95
 #: Distinct vectors of a tile at most, tiles that the split plans at most, sampled vectors a tile, leading axes that tiles are cut and boxed by.
 PER_TILE, MAX_TILES, SAMPLE, AXES = 16_384, 4096, 64, 4
+#: Numbers of a tile's vectors at most, so that long vectors make smaller tiles.
+TILE_NUMBERS = 1 << 21
 #: Leading coordinates after which bounds are taken.
 STEPS = (16, 32)
 #: Room for rounding in single-precision bounds; exact cosines decide.
 SLACK = 1e-4
-_ROWS = 1024
+_ROWS, _HITS = 512, 1 << 18
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -88,21 +90,20 @@ class Tiles:
         return out
 
 
-def _close(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of pairs with an exact cosine of at least least; of one tile with itself each pair once. a, b: unit vectors."""
+def _close(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of pairs with an exact cosine of at least least, some at a time; of one tile with itself each pair once. a, b: unit vectors. Single precision only in bounds."""
     ra, rb = (a @ axes).astype(np.float32), (b @ axes).astype(np.float32)
     rest = lambda r, k: np.sqrt((r[:, k:].astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)
     steps = [k for k in STEPS if k < a.shape[1]] or [a.shape[1]]
     # the suffix norms as one more coordinate: the product is then the bound itself
     lead_a, lead_b = (np.concatenate((r[:, : steps[0]], rest(r, steps[0])[:, None]), axis=1) for r in (ra, rb))
     tails = [(k, rest(ra, k), rest(rb, k)) for k in steps[1:]]
-    found = []
     for at in range(0, len(a), _ROWS):
         from_ = at if same else 0
         bound = lead_a[at : at + _ROWS] @ lead_b[from_:].T
         hit = np.flatnonzero(bound.ravel() >= least - SLACK)
-        for lo in range(0, len(hit), 1 << 18):
-            i, j = np.divmod(hit[lo : lo + (1 << 18)], bound.shape[1])
+        for lo in range(0, len(hit), _HITS):
+            i, j = np.divmod(hit[lo : lo + _HITS], bound.shape[1])
             i, j = i + at, j + from_
             if same:
                 i, j = i[j > i], j[j > i]
@@ -110,95 +111,106 @@ def _close(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, least: fl
                 keep = np.einsum("ij,ij->i", ra[i, :k], rb[j, :k]) + ta[i] * tb[j] >= least - SLACK
                 i, j = i[keep], j[keep]
             exact = np.einsum("ij,ij->i", a[i], b[j]) >= least
-            found.append((i[exact], j[exact]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            if exact.any():
+                yield i[exact], j[exact]
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n positions the smallest one that it reaches over the pairs (i, j)."""
-    low = np.arange(n)
+def _merged(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """low, the smallest position known to be reachable, after links between the positions i and j are added."""
+    a, b = low[i], low[j]
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return low
+    root = np.arange(len(low))
     while True:
-        new = low.copy()
-        least = np.minimum(low[i], low[j])
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
+        new = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
         new = new[new]
-        if (new == low).all():
-            return low
-        low = new
+        if (new == root).all():
+            return root[low]
+        root = new
 
 
 def _compare(pair: pd.DataFrame, axes: np.ndarray, least: float) -> pd.DataFrame:
-    """Rows (a, b, links): a's vector linked to those of class b (links null: an edge of the forest), or links of class a found here (b null)."""
+    """Rows (a, b, links): a's vector linked to those of class b (links null: an edge of the forest), or links of class a found here (b null). Links are added up as they are found and never held."""
     sides = [pair[pair["side"] == s] for s in (0, 1)]
     a, b = (_unit(np.array(x["embedding"].tolist(), np.float64)) if len(x) else np.zeros((0, len(axes))) for x in sides)
     same = not len(b)
-    i, j = _close(a, a if same else b, same, axes, least)
     ids = np.concatenate([x["cid"].to_numpy() for x in sides])
     n = np.concatenate([x["n"].to_numpy() for x in sides])
-    j = j if same else j + len(a)
-    links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-    low = _forest(i, j, len(ids))
+    links, low = np.zeros(len(ids)), np.arange(len(ids))
+    for i, j in _close(a, a if same else b, same, axes, least):
+        j = j if same else j + len(a)
+        links += np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+        low = _merged(low, i, j)
     edge, some = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(links)
     return pd.DataFrame({"a": np.concatenate((ids[edge], ids[some])), "b": pd.array([*ids[low[edge]], *[None] * len(some)], "Int64"), "links": np.concatenate((np.zeros(len(edge)), links[some])).astype(np.int64)})
 
 
-def _pairs(boxes: list, least: float, per_tile: int) -> tuple[dict[int, tuple[int, int]], dict[int, list[tuple[int, int]]]]:
-    """Parts of each tile (first number, how many) and, for each part, the pairs it takes part in: (pair, side)."""
-    parts, spans, total = {}, [], 0
-    for row in boxes:
-        k = max(1, -(-row["rows"] // per_tile))
-        parts[row["tile"]] = (total, k)
-        spans += [(row["lo"], row["hi"])] * k
-        total += k
-    low, high = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
-    member: dict[int, list[tuple[int, int]]] = {p: [] for p in range(total)}
-    number = 0
-    for p in range(total):
-        gap = np.maximum(0, np.maximum(low[p:] - high[p], low[p] - high[p:]))
-        for q in p + np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * least + 1e-9):
-            member[p].append((number, 0))
-            if q != p:
-                member[int(q)].append((number, 1))
-            number += 1
-    return parts, member
+class Boxes:
+    """The tiles' boxes and parts: a tile of more than per_tile rows has several parts, all with its box. Some 100 bytes a part."""
+
+    def __init__(self, rows: list, least: float, per_tile: int):
+        self.least, self.first, self.parts = least, {}, {}
+        low, high = [], []
+        for row in rows:
+            k = max(1, -(-row["rows"] // per_tile))
+            self.first[row["tile"]], self.parts[row["tile"]] = len(low), k
+            low += [row["lo"]] * k
+            high += [row["hi"]] * k
+        self.low, self.high = np.array(low, float), np.array(high, float)
+
+    def met(self, part: int) -> Iterator[tuple[int, int]]:
+        """(pair, side) of each pair of parts that part takes part in: those whose boxes come close enough."""
+        gap = np.maximum(0, np.maximum(self.low - self.high[part], self.low[part] - self.high))
+        for other in np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * self.least + 1e-9).tolist():
+            yield min(part, other) * len(self.low) + max(part, other), int(part > other)
 
 
 def _links(classes: DataFrame, dim: int, least: float, per_tile: int) -> DataFrame:
-    """(a, b, links) as _compare gives them, over all classes (cid, n, embedding) of one dimension."""
+    """(a, b, links) as _compare gives them, over all classes (cid, n, embedding) of one dimension. A few numbers a sampled vector and a tile reach the driver."""
     axes = principal_axes(classes, dim)
+    per_tile = min(per_tile, max(256, TILE_NUMBERS // dim))
     tiles = min(MAX_TILES, max(1, -(-classes.count() // per_tile)))
     wide = min(AXES, dim)
+
+    def leads(column: pa.Array) -> np.ndarray:
+        return _unit(_matrix(column, dim)) @ axes[:, :wide]
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in leads(batch.column(0)).T.copy()], [f"x{k}" for k in range(wide)])
+
     sample = np.zeros((0, wide))
     if tiles > 1:
-        chosen = bounded_ids(classes.select("cid"), "cid", tiles * SAMPLE)
-        rows = classes.join(F.broadcast(chosen), "cid").select("embedding").collect()
-        sample = _unit(np.array([r[0] for r in rows], np.float64)) @ axes[:, :wide]
+        chosen = classes.join(F.broadcast(bounded_ids(classes.select("cid"), "cid", tiles * SAMPLE)), "cid").select("embedding")
+        told = chosen.mapInArrow(projected, ", ".join(f"x{k} double" for k in range(wide))).toArrow()
+        sample = np.stack([c.to_numpy() for c in told.columns], axis=1)
+        sample = sample[np.lexsort(sample.T)]
     cuts = Tiles(sample, tiles)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead = _unit(_matrix(batch.column(2), dim)) @ axes[:, :wide]
+            lead = leads(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts.place(lead)), pa.array(list(lead), pa.list_(pa.float64()))], ["cid", "n", "embedding", "tile", "lead"])
 
-    dealt = stored(classes.select("cid", "n", "embedding").mapInArrow(placed, "cid bigint, n bigint, embedding array<float>, tile bigint, lead array<double>"), "tiles")
+    dealt = stored(classes.select("cid", "n", "embedding").mapInArrow(placed, "cid bigint, n bigint, embedding array<double>, tile bigint, lead array<double>"), "tiles")
     edge = lambda f: F.array(*[f(F.col("lead")[k]) for k in range(wide)])
-    boxes = dealt.groupBy("tile").agg(F.count("*").alias("rows"), edge(F.min).alias("lo"), edge(F.max).alias("hi")).orderBy("tile").collect()
-    parts, member = _pairs(boxes, least, per_tile)
+    boxes = Boxes(dealt.groupBy("tile").agg(F.count("*").alias("rows"), edge(F.min).alias("lo"), edge(F.max).alias("hi")).orderBy("tile").collect(), least, per_tile)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, tile = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-            first, many = (np.array([parts[t][k] for t in tile.tolist()], np.int64) for k in (0, 1))
+            first, many = (np.array([x[t] for t in tile.tolist()], np.int64) for x in (boxes.first, boxes.parts))
             part = first + cid % many
             for p in np.unique(part).tolist():
                 own = batch.filter(pa.array(part == p)).select([0, 1, 2])
-                for pair, side in member[p]:
+                for pair, side in boxes.met(p):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, pair)), pa.array(np.full(own.num_rows, side)), *own.columns], ["pair", "side", "cid", "n", "embedding"])
 
-    met = dealt.mapInArrow(paired, "pair bigint, side bigint, cid bigint, n bigint, embedding array<float>")
+    met = dealt.mapInArrow(paired, "pair bigint, side bigint, cid bigint, n bigint, embedding array<double>")
     return met.groupBy("pair").applyInPandas(lambda x: _compare(x, axes, least), "a bigint, b bigint, links bigint")
 
 
@@ -209,12 +221,12 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, per_tile: int = P
     kept: vec_id = component_id. Null and zero vectors and those with null or non-finite components link with nothing, and
     so do vectors of different lengths with each other. Equal vectors are one class that is compared once, so copies are
     counted, not expanded. A null vec_id counts as a link of others; where no vec_id is reachable component_id is null and the row is kept.
-    An empty table gives an empty result; other columns are ignored.
+    Repeated rows link like others; vectors of any finite size are compared in double precision. An empty table gives an empty result; other columns are ignored.
     """
     x = F.col("embedding")
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).withColumn("key", F.when(sound, F.xxhash64("embedding")))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("key", F.when(sound, F.xxhash64("embedding")))
     classes = rows.where("key IS NOT NULL").groupBy("key", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     dims = sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect())
@@ -230,6 +242,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, per_tile: int = P
     rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     told = rooted.join(lows, "root").join(links, "cid", "left").select("key", "embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    whole = rows.join(told, ["key", "embedding"], "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    whole = rows.where("key IS NOT NULL").join(told, ["key", "embedding"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("key IS NULL").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = whole.unionByName(alone)
+    return every.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
