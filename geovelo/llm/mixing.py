@@ -62,7 +62,7 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, cap: float = CA
     """sources plus lam and mean: safeguarded Newton steps on log(words at lam) = log(target), all sources at once.
 
     counts: key, size, n. A round joins the sources' state to counts, sums words and their slope per source and
-    checkpoints one row a source. A source at its cap (or without words) needs no step.
+    checkpoints one row a source. A source at its cap (or without words) needs no step. Sources that are not settled in max_rounds raise an error.
     """
     top = math.log(cap)
     scale = counts.where("size > 0").groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
@@ -89,11 +89,14 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, cap: float = CA
         inside = (step > F.col("to_lo")) & (step < F.col("to_hi"))
         state = state.join(sums, "key", "left").withColumns({"to_lo": lo, "to_hi": hi})
         moved = F.when(F.coalesce(inside, F.lit(False)), step).otherwise((F.col("to_lo") + F.col("to_hi")) / 2)
-        settled = F.col("done") | F.coalesce(F.abs(off) < TOLERANCE, F.lit(True))
+        narrow = (F.col("to_hi") - F.col("to_lo")) * F.col("mean") < 1e-9
+        settled = F.col("done") | F.coalesce((F.abs(off) < TOLERANCE) | narrow, F.lit(True))
         state = state.select("key", "source", "total", "target", "mean", "least", settled.alias("done"), F.when(settled, F.col("lam")).otherwise(moved).alias("lam"), F.coalesce("to_lo", "lo").alias("lo"), F.coalesce("to_hi", "hi").alias("hi"))
         state = cut(state)
         if not state.where("NOT done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {max_rounds} rounds")
     # sums of doubles may differ in the last place from run to run; the documents' rates must not
     return state.select("key", "source", "total", "target", "mean", F.round("lam", 7).alias("lam"))
 
@@ -117,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     """docs plus size, source_size, target, rate, copies and taken (copies * size).
 
     Size is the number of words; a null or empty text has size 0 and rate 1. A null source is a source of its own, the
-    last one. Repeated rows are documents of their own with equal draws. Ties need no order: the draw is a hash of doc_id
+    last one. Very long texts count whole. Repeated rows are documents of their own with equal draws. Ties need no order: the draw is a hash of doc_id
     and all that lean below their source's threshold get the extra copy. An empty table gives an empty result. Columns of
     docs with the names of the six new ones are replaced, all others are kept.
     """
@@ -134,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     run = Window.partitionBy("key").orderBy("bin")
     edges = bins.withColumns({"upto": F.sum("words").over(run), "sure": F.sum("sure").over(Window.partitionBy("key"))}).join(_small(state.select("key", "target"), n), "key")
     none = F.abs(F.col("sure") - F.col("target"))
-    best = edges.groupBy("key").agg(F.min_by((F.col("bin") + 1) * (2.0 / BINS) - 1, F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("edge"), F.min(F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("off"), F.first(none).alias("none"))
+    best = edges.groupBy("key").agg(F.min_by((F.col("bin") + 1) * (2.0 / BINS) - 1, F.struct(F.abs(F.col("sure") + F.col("upto") - F.col("target")), F.col("bin"))).alias("edge"), F.min(F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("off"), F.min(none).alias("none"))
     final = cut(state.join(best, "key").select("key", F.col("total").alias("source_size"), "target", "lam", "mean", F.when(F.col("none") <= F.col("off"), -2.0).otherwise(F.col("edge")).alias("threshold")))
     rows = with_sizes(docs.select("doc_id", "text", "source", whole_row(docs, *made).alias("row"))).select("doc_id", "key", "size", "row")
     whole = attach(rows, final, n).withColumns(_draws(cap))
