@@ -24,9 +24,11 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Tokens that the Markov models judge: no shorter ones, and only such as mix digits and letters.
+#: Tokens that the Markov models judge: no shorter ones, and only such as mix digits and letters or are long.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+DIGIT, LETTER, LONG = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), 32
+#: Labelled tokens that a fit reads at most from a table: those with the smallest hash.
+FIT_TOKENS = 50_000
 #: Random strings made for training.
 FIT_RANDOM = 4_000
 SMOOTH = 0.5
@@ -83,7 +85,7 @@ class Model:
             s, e = m.span()
             while at < len(base) and base[at][1] <= s:  # ends before this token and all later ones
                 at += 1
-            if DIGIT.search(text, s, e) and LETTER.search(text, s, e) and not (at < len(base) and base[at][0] < e) and self.score(m[0]) > self.cut:
+            if (e - s >= LONG or DIGIT.search(text, s, e)) and LETTER.search(text, s, e) and not (at < len(base) and base[at][0] < e) and self.score(m[0]) > self.cut:
                 more.append((s, e, "markov"))
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -116,8 +118,14 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["pair", "n"])
 
 
-def train(docs: DataFrame, labelled: list[tuple[str, int]] | None = None) -> Model:
-    """Models from labelled tokens (samples() if none are given) and the ordinary words of all documents. The bigram sums, 16,384 rows at most, are added up on the executors."""
+def train(docs: DataFrame, labelled: DataFrame | list[tuple[str, int]] | None = None) -> Model:
+    """Models from labelled tokens and the ordinary words of all documents. The bigram sums, 16,384 rows at most, are added up on the executors.
+
+    labelled: a table (token, label), of which at most FIT_TOKENS rows are read, or a list; label 1 is random, null tokens and labels are left aside; samples() if none are given.
+    """
+    if isinstance(labelled, DataFrame):
+        told = labelled.select("token", "label").dropna().orderBy(F.xxhash64("token"), "token", "label").limit(FIT_TOKENS)
+        labelled = [(r["token"], int(r["label"])) for r in told.collect()]
     rows = docs.select("text").mapInArrow(_bigrams, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(128 * 128)
     for r in rows:
@@ -131,7 +139,7 @@ def train(docs: DataFrame, labelled: list[tuple[str, int]] | None = None) -> Mod
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, spans) for every row of docs; spans: array of (start, end, kind) in code points, end exclusive, by start, then kind in the order of KINDS.
 
-    Null texts count as empty and have no spans; repeated rows get equal spans; an empty table gives an empty result; other columns are ignored.
+    Null texts count as empty and have no spans; very long texts are read whole; repeated rows get equal spans; an empty table gives an empty result; other columns are ignored.
     """
     known = model or train(docs)
 
@@ -157,7 +165,11 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with the secrets in text masked and n_chars, if there, counted anew; null texts stay null."""
+    """docs with the secrets in text masked and n_chars, if there, counted anew.
+
+    Null texts stay null and empty ones empty; very long texts are masked whole; repeated rows are masked alike; an empty table gives an empty
+    result; all other columns, a null doc_id among them, stay as they are.
+    """
     known = model or train(docs)
 
     @F.arrow_udf(T.StringType())
