@@ -27,6 +27,15 @@ TEMPLATES = {
     "cc-by": "This work is licensed under the Creative Commons Attribution 4.0 International License",
     "cc-by-sa": "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License",
 }
+# What follows those passages in the licences, so that a file without the opening is seen too.
+REST = {
+    "mit/2": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "bsd/2": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd/3": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    "apache/2": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
+    "gpl/2": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program",
+    "isc/2": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+}
 #: Matches of fewer tokens are not chained; tokens that a chain may skip; share of a template that a chain must cover.
 MIN_MATCH, MAX_GAP, COVER = 4, 8, 0.6
 
@@ -39,25 +48,26 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton over the templates' tokens, a separator of its own after each one. Each state keeps, by template, one place where its strings end."""
+    """Suffix automaton over the templates' tokens, a separator of its own after each one. Each state keeps all (template, place) where its strings end."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.names = sorted(templates)
-        told = [words(templates[n].encode()) for n in self.names]
+    def __init__(self, templates: dict[str, str] | None = None):
+        passages = sorted((TEMPLATES | REST).items() if templates is None else templates.items())
+        self.names = [n.partition("/")[0] for n, _ in passages]
+        told = [words(t.encode()) for _, t in passages]
         self.sizes = [len(w) for w in told]
         self.ids = {w: k + 1 for k, w in enumerate(sorted({x for w in told for x in w}))}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         last = 0
         for k, w in enumerate(told):
             for at, x in enumerate([*map(self.ids.get, w), -1 - k]):
                 last = self._extend(last, x)
                 if x > 0:
-                    self.ends[last][k] = at
+                    self.ends[last].add((k, at))
         for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            for k, at in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(k, at)
+            if self.length[self.link[s]] >= MIN_MATCH:
+                self.ends[self.link[s]] |= self.ends[s]
 
     def _extend(self, last: int, x: int) -> int:
         new = self._state(self.length[last] + 1, {}, 0)
@@ -81,7 +91,7 @@ class Automaton:
         self.next.append(edges)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.length) - 1
 
     def matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -106,26 +116,36 @@ class Automaton:
                 yield hi - size, size, state
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(template, first word, last word, share of the template's tokens covered) of each template's best chain.
+        """(template, first word, last word, share of the template's tokens covered) of each template's chains.
 
-        A chain goes forward in the text and in the template and skips at most MAX_GAP tokens of either between two matches. Of equal chains the first stands.
+        A chain goes forward in the text and in the template and skips at most MAX_GAP tokens of either between two matches; each match goes on with the chain that covers most. Chains
+        that cover COVER of the template are given, the larger first where they overlap; of a template without any, the best one.
         """
-        best: dict[int, tuple[float, int, int]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # by template: first word, end in the text, end in the template, tokens covered
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: first word, end in the text, end in the template, tokens covered
+        good: dict[int, list[tuple[int, int, int]]] = {}
+        best: dict[int, tuple[int, int, int]] = {}
         for start, size, state in self.matches(ids):
-            for k, end in self.ends[state].items():
+            for k, end in sorted(self.ends[state]):
                 begin = end - size + 1
-                first, to, upto, got = open_.get(k, (0, -1 << 60, 0, 0))
-                lap = max(0, to - start, upto - begin)
-                if 0 <= start + lap - to <= MAX_GAP and 0 <= begin + lap - upto <= MAX_GAP and size > lap:
-                    chain = (first, start + size, end + 1, got + size - lap)
-                else:
-                    chain = (start, start + size, end + 1, size)
-                open_[k] = chain
-                share = chain[3] / self.sizes[k]
-                if share > best.get(k, (0.0,))[0]:
-                    best[k] = (share, chain[0], chain[1] - 1)
-        return [(self.names[k], a, b, min(1.0, x)) for k, (x, a, b) in sorted(best.items())]
+                live = [c for c in open_.get(k, ()) if c[1] >= start - MAX_GAP]
+                chain = (start, start + size, end + 1, size)
+                for first, to, upto, got in live:
+                    lap = max(0, to - start, upto - begin)
+                    if 0 <= start + lap - to <= MAX_GAP and 0 <= begin + lap - upto <= MAX_GAP and size > lap and got + size - lap > chain[3]:
+                        chain = (first, start + size, end + 1, got + size - lap)
+                open_[k] = [*live, chain]
+                told = (-chain[3], chain[0], chain[1] - 1)
+                best[k] = min(told, best.get(k, told))
+                if chain[3] >= COVER * self.sizes[k]:
+                    good.setdefault(k, []).append(told)
+        found = []
+        for k in sorted(best):
+            kept: list[tuple[int, int, int]] = []
+            for got, a, b in sorted(good.get(k, [best[k]])):
+                if all(b < x or a > y for _, x, y in kept):
+                    kept.append((got, a, b))
+            found += [(self.names[k], a, b, min(1.0, -got / self.sizes[k])) for got, a, b in sorted(kept, key=lambda x: x[1])]
+        return found
 
 
 _PHRASE = {p: re.compile(b"(?= " + p.encode() + b" )") for p in PHRASES}
@@ -147,8 +167,8 @@ def scan(docs: DataFrame, automaton: Automaton | None = None) -> DataFrame:
     """(doc_id, n_words, places, spans, score) for every row of docs.
 
     places: array of (word, label) where a base phrase starts; spans: array of (template, first, last, share) of the best
-    chains. score is the highest share of a template covered, 1 where a base phrase stands. Null and empty texts have no
-    words; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+    chains, by template and place. score is the highest share of a template that a chain covers; base phrases don't count for it. Null and empty texts have no
+    words; very long texts are read whole; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
     own = docs.sparkSession.sparkContext.broadcast(automaton or Automaton())
 
@@ -160,7 +180,7 @@ def scan(docs: DataFrame, automaton: Automaton | None = None) -> DataFrame:
                 told = words(text)
                 base = places(told)
                 spans = known.spans(np.fromiter(map(known.ids.get, told, repeat(0)), np.int64, len(told)))
-                score = 1.0 if base else max((x[3] for x in spans), default=0.0)
+                score = max((x[3] for x in spans), default=0.0)
                 out.append((len(told), [{"word": w, "label": x} for w, x in base], [dict(zip(("template", "first", "last", "share"), x, strict=True)) for x in spans], score))
             n, at, spans, score = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(at, _PLACES), pa.array(spans, _CHAINS), pa.array(score, pa.float64())], ["doc_id", "n_words", "places", "spans", "score"])
