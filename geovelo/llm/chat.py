@@ -52,7 +52,8 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
     """(conv_id, formatted, segments) with one row a conversation.
 
     messages: conv_id, turn, role, text. formatted is the string to train on; segments cuts it into (text, loss) pieces in
-    order, loss being true exactly on the texts of the roles in learn. A null role is empty.
+    order, loss being true exactly on the texts of the roles in learn. Null roles and texts are empty; turns are ordered by turn (null first), role and text,
+    repeated rows being turns of their own; null conv_ids are one conversation; an empty table gives an empty result; other columns are ignored.
     """
     head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(BODY))
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role").isin(*learn), F.lit(False)).alias("loss"))
@@ -85,5 +86,5 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 
 
 def format_chats(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, formatted, segments): an event log folded and rendered."""
+    """(conv_id, formatted, segments): an event log folded and rendered; odd rows as fold() and render() define them, very long texts whole."""
     return render(fold(events), learn)

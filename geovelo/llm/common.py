@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset and the master is local. What is stored there stays until the folder is cleared."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="geovelo-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)

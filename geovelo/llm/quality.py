@@ -202,6 +202,10 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs that the classifier does not reject."""
+    """The rows of docs that the classifier does not reject, with all their columns.
+
+    Null and empty texts score as empty ones, very long texts are read whole, repeated rows stay or go together, whatever their doc_id;
+    without labels every score is 0.5 and all rows stay; an empty table gives an empty result.
+    """
     score = scorer(train(docs, labels, fit_rows))
     return docs.where(score("text") >= 0.5)
