@@ -17,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import bounded_ids, pieces, stored, unused, utf8
+from .common import bounded_ids, packed, pieces, stored, unpacked, unused, utf8
 from .components import components
 
 RADIUS = 2
 SHINGLE = 3
-#: For the corpus pipeline, which has no digest to agree with: words of a shingle, least Jaccard similarity, bits in which each of the two SimHashes of a similar pair may differ.
-NEAR = {"size": 5, "similarity": 0.8, "radius": 18}
+#: For the corpus pipeline, which has no digest to agree with: words of a shingle, least Jaccard similarity, bits in which each of the two SimHashes of a similar pair may differ:
+#: they differ in 10 of 64 on average and in more than 24 for about one pair in a million of similarity 0.8.
+NEAR = {"size": 5, "similarity": 0.8, "radius": 24}
+#: Shingles from which SimHashes are compared; cells of the shingles' counts (1 MB as broadcast); nodes of a part of a tile, whose texts a task holds.
+PRINTED, CELLS, PER_SET_TILE = 32, 1 << 17, 1024
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
 PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 64
 #: Residents, and as many queries, that one task compares at most, about; shards that hold more are cut into tiles.
@@ -246,18 +250,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def sketch(text: bytes | None, size: int) -> tuple[int, int, int, bytes]:
-    """Of a text's distinct shingles: two independent 64-bit SimHashes, their number, and 16 bytes that are equal for equal sets."""
+def sketch(text: bytes | None, size: int, similarity: float, cells: np.ndarray) -> tuple[int, int, int, bytes, list[int]]:
+    """Of a text's distinct shingles: two independent 64-bit SimHashes, their number, 16 bytes that are equal for equal sets, and their prefix."""
     from xxhash import xxh3_128_digest
 
     found = _shingles(text, size)
     if not len(found):
-        return 0, 0, 0, b""
+        return 0, 0, 0, b"", []
     mixed = found ^ (found >> np.uint64(30))
     mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     first, second = (_majority(x) for x in (found, mixed ^ (mixed >> np.uint64(31))))
-    return first, second, len(found), xxh3_128_digest(found.tobytes())
+    return first, second, len(found), xxh3_128_digest(found.tobytes()), _prefix(found, similarity, cells).view(np.int64).tolist()
 
 
 def _shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -269,6 +273,20 @@ def _shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in told), np.uint64, len(told)))
 
 
+def _prefix(found: np.ndarray, similarity: float, cells: np.ndarray | None = None) -> np.ndarray:
+    """The shingles that come first in one order of all shingles: by the magnitude of their cell's count, then by hash. Two similar sets share at least one of them, whatever the counts are."""
+    take = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
+    if cells is None:
+        return found[:take]
+    often = np.frexp(cells[_cell(found, len(cells))])[1]
+    return found[np.lexsort((found, often))[:take]]
+
+
+def _cell(found: np.ndarray, cells: int) -> np.ndarray:
+    """Each hash's cell; cells: a power of two."""
+    return (found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
 def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _STEP):
@@ -277,98 +295,162 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _near(tile: pd.DataFrame, radius: int, similarity: float, every: bool) -> pd.DataFrame:
-    """Pairs (a, b) of nodes both of whose SimHashes differ in at most radius bits and whose sizes allow the similarity: all pairs of
-    different labels if every is set, else for each node one close node of each block of residents, the smallest."""
-    tile = tile.sort_values("node")
-    node, label, role = (tile[c].to_numpy() for c in ("node", "label", "role"))
-    one, two, n = tile["fp"].to_numpy(np.int64).view(np.uint64), tile["more"].to_numpy(np.int64).view(np.uint64), tile["n"].to_numpy(np.int64)
-    home, query = np.flatnonzero(role != ASKS), np.flatnonzero(role != ASKED)
-    found = [np.zeros((0, 2), np.int64)]
-    for at in range(0, len(home), 512):
-        h = home[at : at + 512]
-        for of in range(0, len(query), 4096):
-            q = query[of : of + 4096]
-            y, x = np.nonzero(np.bitwise_count(one[q][:, None] ^ one[h][None, :]) <= radius)
-            y, x = q[y], h[x]
-            close = (np.bitwise_count(two[y] ^ two[x]) <= radius) & (label[y] != label[x])
-            close &= np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9
-            y, x = y[close], x[close]
-            if not every:  # rows come by query, then by resident in the order of nodes
-                y, at_first = np.unique(y, return_index=True)
-                x = x[at_first]
-            found.append(np.stack((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])), 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _confirmed(nodes: DataFrame, texts: DataFrame, size: int, radius: int, similarity: float, every: bool) -> DataFrame:
-    """Edges (a, b) between nodes (node, fp, more, n, label) that _near() finds and whose Jaccard similarity of shingles, counted on the texts (node, text), reaches similarity.
-
-    Nodes are dealt by size: similar ones are in the same band or in neighbouring ones. A band with many is cut into tiles. The number of nodes of each band reaches the driver, some hundred numbers at most.
-    """
-    banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / -float(np.log(similarity)) * (1 - 1e-9)).cast("int"))
-    counts = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
-    tiles = Tiles({(b + k, not k): x for b, x in counts.items() for k in (0, 1)}, PER_TILE)
-    kept = ["node", "fp", "more", "n", "label"]
+def _frequencies(docs: DataFrame, size: int, similarity: float) -> np.ndarray:
+    """For each of CELLS cells of shingles, how often they stand in a prefix by hash alone, over all documents. CELLS numbers reach the driver, and no task gives more."""
+    cells = CELLS
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            band, fp = batch.column(5).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for b in np.unique(band).tolist():
-                own = np.flatnonzero(band == b)
-                for k in (0, 1):
-                    for tile, at, role in tiles.deal(b + k, fp[own], not k):
-                        part = batch.take(pa.array(own[at]))
-                        yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(np.full(len(at), tile, np.int64)), pa.array(np.full(len(at), role, np.int8))], [*kept, "tile", "role"])
-
-    met = banded.select(*kept, "band").mapInArrow(dealt, "node bigint, fp bigint, more bigint, n bigint, label bigint, tile bigint, role tinyint")
-    near = met.groupBy("tile").applyInPandas(lambda x: _near(x, radius, similarity, every), "a bigint, b bigint")
-    pairs = stored(near.distinct(), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = stored(texts.join(ends, "node", "left_semi"), "near-texts")
-    both = pairs.join(told.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(told.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in pieces([b])):
-            held = []
-            for x, y in zip(utf8(part.column(2)), utf8(part.column(3)), strict=True):
-                s, t = _shingles(x, size), _shingles(y, size)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                held.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(held, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(checked, "a bigint, b bigint")
-
-
-@F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in (("fp", T.LongType()), ("more", T.LongType()), ("n", T.LongType()), ("digest", T.BinaryType()))]))
-def _sketches(texts: pa.Array, size: pa.Array) -> pa.Array:
-    rows = [sketch(x, size[0].as_py()) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])]
-    one, two, n, digest = zip(*rows, strict=True) if rows else ((),) * 4
-    prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-    return pa.StructArray.from_arrays([*prints, pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["fp", "more", "n", "digest"])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for part in pieces(batches):
+            found = np.concatenate([_prefix(_shingles(x, size), similarity) for x in utf8(part.column(0))])
+            np.add.at(total, _cell(found, cells), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    sums = docs.select("text").mapInArrow(counted, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _sketches(size: int, similarity: float, cells):
+    """A column function: text -> what sketch() tells. cells: broadcast."""
+
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in (("fp", T.LongType()), ("more", T.LongType()), ("n", T.LongType()), ("digest", T.BinaryType()), ("prefix", T.ArrayType(T.LongType())))]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [sketch(x, size, similarity, cells.value) for at in range(0, len(texts), 256) for x in utf8(texts[at : at + 256])]
+            one, two, n, digest, prefix = zip(*rows, strict=True) if rows else ((),) * 5
+            prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+            yield pa.StructArray.from_arrays([*prints, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["fp", "more", "n", "digest", "prefix"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, which come one after the other."""
+    left = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        keys = table.column(0).to_numpy()
+        ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+            yield table.slice(lo, hi - lo)
+        left = table.slice(int(ends[-1])) if len(ends) else table
+    if left is not None and left.num_rows:
+        yield left
+
+
+def _may_link(of: int, to: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Those of the positions to that may be similar to the position of: by the sizes and, for sets large enough for it to tell, by both SimHashes."""
+    most = np.maximum(n[of], n[to])
+    fits = np.minimum(n[of], n[to]) >= similarity * most - 1e-9
+    fits &= (most < PRINTED) | (np.bitwise_count(one[of] ^ one[to]) <= radius) & (np.bitwise_count(two[of] ^ two[to]) <= radius)
+    return to[fits]
+
+
+def _asked(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, the positions it is compared with), so that each pair of a tile meets once: of one part (side null or all equal) all pairs, of two parts those between them."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for x in first.tolist():
+        yield x, second if len(second) else first[first > x]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The rows (tile, side, node, n, fp, more) of each tile that may be similar to another one of it."""
+    for rows in _runs(batches):
+        n, one, two = rows.column("n").to_numpy(), *(rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
+        keep = np.zeros(len(n), bool)
+        for x, others in _asked(rows.column("side").to_numpy()):
+            near = _may_link(x, others, n, one, two, radius, similarity)
+            keep[near] = True
+            keep[x] |= len(near) > 0
+        if keep.any():
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], size: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b): a forest over the pairs of each tile whose Jaccard similarity of shingles reaches similarity. Columns: tile, side, node, n, fp, more, packed.
+
+    The tile's first node is the vantage point: with exact Jaccard distances to it, pairs further apart than the triangle inequality allows are left out, and so are pairs that are connected already.
+    """
+    for rows in _runs(batches):
+        node, n, one, two = rows.column("node").to_numpy(), rows.column("n").to_numpy(), *(rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
+        sets = [_shingles(x, size) for x in unpacked(rows.column("packed"))]
+        flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+        def similar(x: int, to: np.ndarray) -> np.ndarray:
+            length = n[to]  # of each one's shingles, how many x has
+            starts = np.cumsum(length) - length
+            told = flat[np.arange(length.sum()) + np.repeat(ends[to] - starts, length)]
+            own = sets[x]
+            held = own[np.minimum(np.searchsorted(own, told), len(own) - 1)] == told
+            common = np.add.reduceat(held.astype(np.int64), starts)
+            return common / (n[x] + length - common)
+
+        far = 1 - similar(0, np.arange(len(node)))
+        label, found = np.arange(len(node)), []
+        for x, others in _asked(rows.column("side").to_numpy()):
+            others = others[(label[others] != label[x]) & (np.abs(far[others] - far[x]) <= 1 - similarity + 1e-9)]
+            others = _may_link(x, others, n, one, two, radius, similarity)
+            if len(others):
+                linked = others[similar(x, others) >= similarity - 1e-12]
+                for y in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+                    found.append((node[x], node[y]))
+                    label[label == label[y]] = label[x]
+        if found:
+            ab = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+
+def _dealt(postings: DataFrame, similarity: float) -> DataFrame:
+    """(tile, side, node): tiles of at most 2 * PER_SET_TILE nodes in which all nodes meet that share a shingle and are of like size. postings: node, n, shingle.
+
+    A shingle is named by the smallest set that has it, so near copies, which share many shingles, meet in a few tiles and not once a shingle, while a long text doesn't draw all
+    that share anything with it into one tile. Names with many nodes are cut by size first: similar sets are in the same band of sizes or in neighbouring ones.
+    """
+    held = Window.partitionBy("shingle")
+    named = postings.select("node", "n", F.min(F.struct("n", "node")).over(held)["node"].alias("hub"), F.count("*").over(held).alias("many"))
+    met = stored(named.where("many > 1").select("hub", "node", "n").distinct(), "hub-nodes")
+    large = stored(met.groupBy("hub").agg(F.count("*").alias("many")).where(F.col("many") > PER_SET_TILE).select("hub", F.lit(True).alias("large")), "large-hubs")
+    band = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(similarity)) * (1 - 1e-9)).cast("int")
+    bands = F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))
+    banded = met.join(large, "hub", "left").select("hub", "node", F.explode(bands).alias("band"))
+    sizes = banded.groupBy("hub", "band").agg(F.count("*").alias("many")).where(F.col("many") > PER_SET_TILE)
+    cut = banded.join(stored(sizes, "large-tiles"), ["hub", "band"], "left").withColumn("parts", F.ceil(F.coalesce("many", F.lit(1)) / PER_SET_TILE).cast("int"))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    other = cut.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("hub", "band", F.least("part", "other"), F.greatest("part", "other"))
+    return other.select(tile.alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node")
 
 
 def drop_similar(docs: DataFrame, similarity: float, size: int, radius: int) -> DataFrame:
     """docs with exactly one row of each group that links of similarity connect, chosen as drop_near_duplicates() does.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles of size lower-cased words reaches similarity. Candidates are pairs whose two SimHashes differ
-    in at most radius bits each; every candidate is checked on the whole texts. Texts with equal sets are one node, wordless ones among them. A first round checks
-    one close node for each; the second all close pairs that the first left apart, so a large group of near copies is not compared pair by pair.
+    Two texts are linked if the Jaccard similarity of their sets of shingles of size lower-cased words reaches similarity. Texts with equal sets are one node, wordless
+    ones among them. At 0.8 SimHashes differ in some 10 of 64 bits, at which a ball of random fingerprints can never be left out; so nodes are dealt to tiles by
+    shingles of their prefixes, a fifth of each set, of which similar sets share at least one. Frequent shingles come last in the prefixes' order. In a tile both SimHashes
+    and sizes rule pairs out (sets of fewer than PRINTED shingles by size alone), then exact distances to a vantage point by the triangle inequality, then the whole texts' exact similarity. Null texts count as
+    empty; repeated rows are one node; very long texts are compared whole; an empty table gives an empty result.
     """
-    row, told = unused(docs, "_row"), unused(docs, "_sketch")
-    each = stored(docs.withColumn(told, _sketches("text", F.lit(size))).withColumn(row, F.monotonically_increasing_id()), "numbered")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("best")
-    sets = each.groupBy(*[F.col(told)[c].alias(c) for c in ("fp", "more", "n", "digest")]).agg(best)
-    nodes = stored(sets.select(F.col("best.row").alias("node"), "fp", "more", "n", "best"), "shingle-sets")
-    texts = each.select(F.col(row).alias("node"), "text")
+    row = unused(docs, "_row")
+    each = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    cells = docs.sparkSession.sparkContext.broadcast(_frequencies(each, size, similarity))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
+    told = each.select("doc_id", F.col(row).alias("row"), _sketches(size, similarity, cells)("text").alias("s")).select("doc_id", "row", "s.*")
+    sets = told.groupBy("fp", "more", "n", "digest").agg(best, F.first("prefix").alias("prefix"))
+    nodes = stored(sets.select(F.col("best.row").alias("node"), "fp", "more", "n", "best", "prefix"), "shingle-sets")
     # sets of so few shingles are similar only if they are equal
-    wide = nodes.where(F.col("n") > int(similarity / (1 - similarity) - 1e-6)).select("node", "fp", "more", "n") if similarity < 1 else nodes.where("false").select("node", "fp", "more", "n")
-    first = stored(_confirmed(wide.withColumn("label", F.col("node")), texts, size, radius, similarity, False), "near-edges")
-    roots = components(first)
-    labelled = stored(wide.join(roots, "node", "left").select("node", "fp", "more", "n", F.coalesce("root", "node").alias("label")), "near-labels")
-    edges = first.unionAll(_confirmed(labelled, texts, size, radius, similarity, True))
-    kept = nodes.join(components(edges), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    wide = nodes.where(F.col("n") > int(similarity / (1 - similarity) - 1e-6)) if similarity < 1 else nodes.where("false")
+    tiles = _dealt(wide.select("node", "n", F.explode("prefix").alias("shingle")), similarity).join(wide.select("node", "n", "fp", "more"), "node")
+    slim = tiles.select("tile", "side", "node", "n", "fp", "more").repartition("tile").sortWithinPartitions("tile")
+    near = stored(slim.mapInArrow(lambda x: _candidates(x, radius, similarity), slim.schema), "near-nodes")
+    ends = stored(near.select(F.col("node").alias(row)).distinct(), "near-ends")
+    texts = stored(each.select(row, "text").join(ends, row, "left_semi").select(F.col(row).alias("node"), packed("text").alias("packed")), "near-texts")
+    met = near.join(texts, "node").select(*slim.columns, "packed").repartition("tile").sortWithinPartitions("tile")
+    edges = met.mapInArrow(lambda x: _alike(x, size, radius, similarity), "a bigint, b bigint")
+    kept = nodes.select("node", "best").join(components(edges), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
+    kept = stored(kept.select(F.col("best.row").alias(row)), "kept-rows")
     return each.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
