@@ -105,8 +105,9 @@ def correct(points: DataFrame, sites: DataFrame, model: str) -> DataFrame:
     schema = T.StructType([*points.schema.fields, T.StructField(f"{model}_mvn_vs30", T.DoubleType()), T.StructField(f"{model}_mvn_stdv", T.DoubleType())])
     rows = _site_rows(sites, model)
     length = LENGTHS[model]
-    if rows.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
-        known = np.array(rows.collect(), float).reshape(-1, 6)
+    some = rows.limit(BROADCAST_SITES + 1).toArrow()
+    if some.num_rows <= BROADCAST_SITES:
+        known = np.stack([c.to_numpy() for c in some.columns], axis=1).astype(float)
         shared = points.sparkSession.sparkContext.broadcast(known)
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

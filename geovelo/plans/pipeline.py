@@ -77,11 +77,13 @@ def estimate(points: DataFrame, sites: DataFrame, layers: Layers, settings: Sett
     """points plus categories, each model's velocity and sigma, those corrected near sites (.._mvn_..), and the combined ones.
 
     points: (point_id, easting, northing); pixels of a grid are points too. Combined columns exist only if both models are on.
+    The sites with their categories and model values are cached: both models and both corrections read them, and each correction takes its sites while the plan is built.
     """
     placed = located(sites, layers, settings) if "site_id" not in sites.columns else located(sites.withColumnRenamed("site_id", "point_id"), layers, settings).withColumnRenamed("point_id", "site_id")
+    placed = placed.persist()
     tables = model_tables(placed, settings)
     has_coast = layers.coast is not None or "coast" in points.columns
-    known = _valued(placed, tables, settings, has_coast)
+    known = _valued(placed, tables, settings, has_coast).persist()
     out = _valued(located(points, layers, settings), tables, settings, has_coast)
     for model in tables:
         out = kriging.correct(out, known, model)

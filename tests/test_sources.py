@@ -50,6 +50,17 @@ def test_sounding_files_and_json(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
 
 
+def test_files_of_one_name_stay_apart_and_keep_their_order(spark, tmp_path):
+    for folder, depths in (("a", (0.04, 0.02)), ("b", (1.0, 2.0))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "one.csv").write_text("Depth,Qc,Fs,u\n" + "".join(f"{d},1,0.02,0\n" for d in depths))
+    rows = soundings.read_cpt(spark, str(tmp_path / "*" / "one.csv"))
+    got = {}
+    for r in rows.orderBy("cpt_id", "pos").collect():
+        got.setdefault((r.name, r.cpt_id), []).append((r.pos, r.depth))
+    assert len(got) == 2 and sorted(got.values()) == [[(1, 0.04), (2, 0.02)], [(1, 1.0), (2, 2.0)]]
+
+
 def test_sinks_refuse_to_overwrite(spark, tmp_path):
     rows = spark.createDataFrame([(1, None), (2, 3.0)], "a int, b double")
     sites.write_csv(rows, str(tmp_path / "csv"))
