@@ -12,10 +12,13 @@ from .spatial import range_join
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    """Reliable checkpoint in spark.checkpoint.dir; where that is unset a local master takes a temporary folder and any other is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="geovelo-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="geovelo-"))
     return df.checkpoint()
 
 
@@ -27,7 +30,7 @@ def dbscan(sites: DataFrame, id_column: str, min_group: int = 5, eps: float = 15
     sites of several clusters goes to the lowest. Categories with fewer sites than min_group are all noise, and so are sites without a category (null or 255).
     """
     own = sites.where(F.col(id_column).isNotNull() & (F.col(id_column) != 255)).select("site_id", F.col(id_column).alias("id"), "easting", "northing")
-    pairs = range_join(own, own, eps).where("id = s_id").select("id", "site_id", F.col("s_site_id").alias("other"))
+    pairs = range_join(own, own, eps, same="id").select("id", "site_id", F.col("s_site_id").alias("other"))
     core = pairs.groupBy("id", "site_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select("site_id")
     pairs = _cut(pairs.join(core.select(F.col("site_id").alias("other"), F.lit(True).alias("_core")), "other"))
     links = pairs.join(core, "site_id", "left_semi").select("site_id", "other")
@@ -37,7 +40,7 @@ def dbscan(sites: DataFrame, id_column: str, min_group: int = 5, eps: float = 15
         near = links.join(labels.select(F.col("site_id").alias("other"), "label"), "other").groupBy("site_id").agg(F.min("label").alias("label"))
         jumped = near.join(labels.select(F.col("site_id").alias("label"), F.col("label").alias("_root")), "label").select("site_id", F.least("label", "_root").alias("label"))
         labels = _cut(jumped)
-        now = labels.agg(F.sum("label")).first()[0]
+        now = labels.agg(F.sum(F.col("label").cast("decimal(20,0)"))).first()[0]
         if now == total:
             break
         total = now

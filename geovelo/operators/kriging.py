@@ -32,7 +32,7 @@ def _rho(distance: np.ndarray, length: float) -> np.ndarray:
     return np.exp(-np.maximum(SHORTEST, distance) / length)
 
 
-def conditioned(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray, sites: np.ndarray, length: float, noisy: bool = True, reduction: float = REDUCTION) -> tuple[np.ndarray, np.ndarray]:
+def conditioned(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray, sites: np.ndarray, length: float, noisy: bool = True, reduction: float = REDUCTION, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """(vs30, sigma) of points of one neighbourhood. sites: rows of easting, northing, vs30, uncertainty, model vs30, model sigma.
 
     Points are solved in batches of equally large systems: a point with fewer sites is filled up with ones on the diagonal
@@ -46,8 +46,8 @@ def conditioned(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray,
     resid, ln = omega * np.log(obs / model), np.log(model)
     apart = np.hypot(x[:, None] - se, y[:, None] - sn)
     near = apart <= REACH
-    if len(sites) > MOST:
-        near &= apart <= np.partition(apart, MOST - 1, axis=1)[:, MOST - 1 : MOST]
+    if len(sites) > most:
+        near &= apart <= np.partition(apart, most - 1, axis=1)[:, most - 1 : most]
     counts = near.sum(axis=1)
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] > 0]
@@ -72,12 +72,12 @@ def conditioned(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray,
     return np.exp(pred), np.sqrt(var)
 
 
-def _solve(points: pd.DataFrame, sites: np.ndarray, cells: dict | None, prefix: str, length: float) -> pd.DataFrame:
+def _solve(points: pd.DataFrame, sites: np.ndarray, cells: dict | None, prefix: str, length: float, most: int = MOST) -> pd.DataFrame:
     out_v, out_s = np.full(len(points), np.nan), np.full(len(points), np.nan)
     e, n, v, s = (points[c].to_numpy(float) for c in ("easting", "northing", f"{prefix}_vs30", f"{prefix}_stdv"))
     usable = np.flatnonzero(~np.isnan(v) & ~np.isnan(e) & ~np.isnan(n))
     if cells is None:
-        out_v[usable], out_s[usable] = conditioned(e[usable], n[usable], v[usable], s[usable], sites, length)
+        out_v[usable], out_s[usable] = conditioned(e[usable], n[usable], v[usable], s[usable], sites, length, most=most)
     else:
         cx, cy = np.floor(e[usable] / REACH).astype(int), np.floor(n[usable] / REACH).astype(int)
         order = np.lexsort((cy, cx))
@@ -86,7 +86,7 @@ def _solve(points: pd.DataFrame, sites: np.ndarray, cells: dict | None, prefix:
             a, b = cx[part[0]], cy[part[0]]
             near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in cells.get((a + i, b + j), ())]
             rows = usable[part]
-            out_v[rows], out_s[rows] = conditioned(e[rows], n[rows], v[rows], s[rows], sites[near], length)
+            out_v[rows], out_s[rows] = conditioned(e[rows], n[rows], v[rows], s[rows], sites[near], length, most=most)
     # null, not NaN, for points without a model value
     return points.assign(**{f"{prefix}_mvn_vs30": pd.array(np.where(np.isnan(out_v), None, out_v), "Float64"), f"{prefix}_mvn_stdv": pd.array(np.where(np.isnan(out_s), None, out_s), "Float64")})
 
@@ -96,8 +96,8 @@ def _site_rows(sites: DataFrame, prefix: str) -> DataFrame:
     return sites.where(" AND ".join(f"{c} IS NOT NULL" for c in names)).select(*[F.col(c).cast("double") for c in names])
 
 
-def correct(points: DataFrame, sites: DataFrame, model: str) -> DataFrame:
-    """points plus <model>_mvn_vs30 and <model>_mvn_stdv. Points without a model value get null; points without a site in reach keep their velocity.
+def correct(points: DataFrame, sites: DataFrame, model: str, most: int = MOST) -> DataFrame:
+    """points plus <model>_mvn_vs30 and <model>_mvn_stdv, each by its nearest sites within reach, most of them at most (ties at that distance stay). Points without a model value get null; points without a site in reach keep their velocity.
 
     The site table is counted: up to BROADCAST_SITES rows it goes to every task, else points and sites are brought
     together by cells as wide as the reach, each cell's points in SALTS parts.
@@ -115,7 +115,7 @@ def correct(points: DataFrame, sites: DataFrame, model: str) -> DataFrame:
             for k, (e, n) in enumerate(np.floor(own[:, :2] / REACH).astype(int).tolist()):
                 cells.setdefault((e, n), []).append(k)
             for batch in batches:
-                yield _solve(batch, own, cells, model, length)
+                yield _solve(batch, own, cells, model, length, most)
 
         return points.mapInPandas(solve, schema)
     near = F.sequence(F.lit(-1), F.lit(1))
@@ -126,7 +126,7 @@ def correct(points: DataFrame, sites: DataFrame, model: str) -> DataFrame:
     names, site_names = points.columns, rows.columns
 
     def meet(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return _solve(p[names], s[site_names].to_numpy(float), None, model, length)
+        return _solve(p[names], s[site_names].to_numpy(float), None, model, length, most)
 
     keys = ["_cx", "_cy", "_salt"]
     return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, schema)

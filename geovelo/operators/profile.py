@@ -14,22 +14,34 @@ from ..functions.numeric import require, strict_sum
 DEEPEST = 30
 
 
+def _marked(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """profiles plus z, _kept (not below z), _moved (the row that moves up to z) and the row above's _depth, _vs and _vs_sd."""
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pos")
+    z = F.least(F.floor(F.max("depth").over(whole)), F.lit(DEEPEST)).cast("int")
+    marked = profiles.withColumn("z", z).withColumn("_kept", F.col("depth") <= F.col("z"))
+    marked = marked.withColumns({f"_{c}": F.lag(c).over(order) for c in ("depth", "vs", "vs_sd", "_kept")})
+    moved = ~F.col("_kept") & F.coalesce(F.col("__kept"), F.lit(False)) & (F.col("_depth") != F.col("z"))
+    return marked.withColumn("_moved", moved).drop("__kept")
+
+
+def info(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, z_min, z_max, z_spread, removed): depths over all rows, the one that truncate moves up at its new place; removed holds the 0-based positions of rows that truncate drops."""
+    depth = F.when(F.col("_moved"), F.col("z").cast("double")).otherwise(F.col("depth"))
+    gone = F.array_sort(F.collect_list(F.when(~(F.col("_kept") | F.col("_moved")), F.col("pos") - 1)))
+    return _marked(profiles, keys).groupBy(*keys).agg(F.min(depth).alias("z_min"), F.max(depth).alias("z_max"), (F.max(depth) - F.min(depth)).alias("z_spread"), gone.alias("removed"))
+
+
 def truncate(profiles: DataFrame, keys: Sequence[str], average_shallow: bool = False) -> DataFrame:
     """Rows down to z = least(whole metres of the greatest depth, 30), with z as a column.
 
     If the last row kept is not at z, the next row is moved up to z. It keeps its own velocity if z is past the middle of
     the two rows, else it takes the last kept row's velocity and sd. average_shallow replaces velocities down to 3 m by the mean from 2.5 to 3.5 m.
     """
-    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pos")
-    z = F.least(F.floor(F.max("depth").over(whole)), F.lit(DEEPEST)).cast("int")
-    marked = profiles.withColumn("z", z).withColumn("_kept", F.col("depth") <= F.col("z"))
-    above = {f"_{c}": F.lag(c).over(order) for c in ("depth", "vs", "vs_sd", "_kept")}
-    marked = marked.withColumns(above)
-    first_dropped = ~F.col("_kept") & F.coalesce(F.col("__kept"), F.lit(False)) & (F.col("_depth") != F.col("z"))
+    whole = Window.partitionBy(*keys)
     own = (F.col("depth") + F.col("_depth")) / 2 < F.col("z")
-    pick = lambda c: F.when(first_dropped & ~own, F.col(f"_{c}")).otherwise(F.col(c))
-    cut = marked.where(F.col("_kept") | first_dropped)
-    cut = cut.withColumns({"vs": pick("vs"), "vs_sd": pick("vs_sd"), "depth": F.when(first_dropped, F.col("z").cast("double")).otherwise(F.col("depth"))}).drop("_kept", *above)
+    pick = lambda c: F.when(F.col("_moved") & ~own, F.col(f"_{c}")).otherwise(F.col(c))
+    cut = _marked(profiles, keys).where(F.col("_kept") | F.col("_moved"))
+    cut = cut.withColumns({"vs": pick("vs"), "vs_sd": pick("vs_sd"), "depth": F.when(F.col("_moved"), F.col("z").cast("double")).otherwise(F.col("depth"))}).drop("_kept", "_moved", "_depth", "_vs", "_vs_sd")
     if average_shallow:
         mean = F.avg(F.when(F.col("depth").between(2.5, 3.5), F.col("vs"))).over(whole)
         cut = cut.withColumn("vs", F.when(F.col("depth") <= 3, mean).otherwise(F.col("vs")))

@@ -47,7 +47,9 @@ def lookup(points: DataFrame, raster: DataFrame, grid: Grid, name: str) -> DataF
     """points plus the value of the pixel that they lie in, null outside the grid and where the raster has no pixel."""
     col, row = F.floor((F.col("easting") - grid.x0) / grid.dx), F.floor((F.col("northing") - grid.y0) / grid.dy)
     inside = (col >= 0) & (col < grid.nx) & (row >= 0) & (row < grid.ny)
-    placed = points.withColumns({"_row": F.when(inside, row).cast("int"), "_col": F.when(inside, col).cast("int")})
+    # rows outside get negative keys of many values: they meet no pixel, and not each other in one task either
+    apart = -1 - F.pmod(F.xxhash64("easting", "northing", *[c for c in ("point_id", "site_id") if c in points.columns]), F.lit(4096))
+    placed = points.withColumns({"_row": F.when(inside, row).otherwise(apart).cast("int"), "_col": F.when(inside, col).cast("int")}).fillna(-1, ["_col"])
     cells = raster.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias(name))
     return placed.join(cells, ["_row", "_col"], "left").drop("_row", "_col")
 

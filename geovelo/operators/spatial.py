@@ -15,15 +15,18 @@ def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size)
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, right_prefix: str = "s_") -> DataFrame:
-    """Pairs within radius metres (easting, northing), with distance. right's columns get the prefix; it is dealt to 3 x 3 cells of the radius, so it should be the smaller side. Rows without coordinates pair with nothing."""
+def range_join(left: DataFrame, right: DataFrame, radius: float, right_prefix: str = "s_", same: str | None = None) -> DataFrame:
+    """Pairs within radius metres (easting, northing), with distance. right's columns get the prefix; it is dealt to 3 x 3 cells of the radius, so it should be the smaller side. same names a column that must be equal too. Rows without coordinates pair with nothing."""
     near = F.sequence(F.lit(-1), F.lit(1))
     r = right.select([F.col(c).alias(right_prefix + c) for c in right.columns])
     e, n = F.col(f"{right_prefix}easting"), F.col(f"{right_prefix}northing")
     r = r.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"_cx": _cell(e, radius) + F.col("_dx"), "_cy": _cell(n, radius) + F.col("_dy")}).drop("_dx", "_dy")
     l_ = left.withColumns({"_cx": _cell(F.col("easting"), radius), "_cy": _cell(F.col("northing"), radius)})
     apart = F.hypot(F.col("easting") - e, F.col("northing") - n)
-    return l_.join(r, ["_cx", "_cy"]).withColumn("distance", apart).where(F.col("distance") <= radius).drop("_cx", "_cy")
+    keys = ["_cx", "_cy"]
+    if same:
+        l_, r, keys = l_.withColumn("_same", F.col(same)), r.withColumn("_same", F.col(right_prefix + same)), [*keys, "_same"]
+    return l_.join(r, keys).withColumn("distance", apart).where(F.col("distance") <= radius).drop(*keys)
 
 
 def neighbours(points: DataFrame, sites: DataFrame, radius: float = 10_000.0, most: int = 500) -> DataFrame:

@@ -16,6 +16,12 @@ def checked(boreholes: DataFrame) -> DataFrame:
     return boreholes.withColumns({"hammer": require(hammer.isin(*HAMMERS), hammer, "unknown hammer type"), "soil": require(soil.isin(*SOILS), soil, "unknown soil type")})
 
 
+def info(boreholes: DataFrame) -> DataFrame:
+    """(spt_id, z_min, z_max, z_spread): depths of the first and last row, as they are; no row is ever removed."""
+    first, last = F.min_by("depth", "pos"), F.max_by("depth", "pos")
+    return boreholes.groupBy("spt_id").agg(first.alias("z_min"), last.alias("z_max"), (last - first).alias("z_spread"))
+
+
 def n60(boreholes: DataFrame) -> DataFrame:
     """Adds n60: N times the energy, bore and rod factors, the depth taken as rod length, rounded to two places."""
     raw = F.col("n") * energy_factor(F.col("energy_ratio"), F.col("hammer")) * bore_factor(F.col("diameter")) * rod_factor(F.col("depth"))

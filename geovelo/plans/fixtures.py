@@ -18,15 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def soundings(spark: SparkSession, sf_dir: str, qc: float = 0.0, fs: float = 0.0) -> DataFrame:
-    """A sounding a supplier; qc and fs are added to those columns."""
+def soundings(spark: SparkSession, sf_dir: str, qc: float = 0.0, fs: float = 0.0, uneven: bool = False) -> DataFrame:
+    """A sounding a supplier; qc and fs are added to those columns. uneven: every third sounding has narrower steps, so that it ends above 30 m."""
+    step = F.when(F.lit(uneven) & (F.col("l_suppkey") % 3 == 0), (20 + F.col("l_suppkey") % 7) / 1000.0).otherwise(0.05)
     pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cpt_id"), pos.alias("pos"), "l_quantity", "l_tax", "l_discount")
-    return rows.select("cpt_id", "pos", (F.col("pos") * 0.05).alias("depth"), (0.4 * F.col("l_quantity") + qc).alias("qc"), (F.col("l_tax") + fs).alias("fs"), (0.1 * F.col("l_discount")).alias("u"), F.lit(1.0).alias("gwl"), F.lit(0.8).alias("nar"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cpt_id"), pos.alias("pos"), step.alias("step"), "l_quantity", "l_tax", "l_discount")
+    return rows.select("cpt_id", "pos", (F.col("pos") * F.col("step")).alias("depth"), (0.4 * F.col("l_quantity") + qc).alias("qc"), (F.col("l_tax") + fs).alias("fs"), (0.1 * F.col("l_discount")).alias("u"), F.lit(1.0).alias("gwl"), F.lit(0.8).alias("nar"))
 
 
-def soundings_sql(qc: float = 0.0, fs: float = 0.0) -> str:
-    return f"""snd AS (SELECT cpt_id, pos, pos * 0.05::DOUBLE AS depth, 0.4::DOUBLE * l_quantity + {qc}::DOUBLE AS qc, l_tax + {fs}::DOUBLE AS fs, 0.1::DOUBLE * l_discount AS u
+def soundings_sql(qc: float = 0.0, fs: float = 0.0, uneven: bool = False) -> str:
+    step = "CASE WHEN cpt_id % 3 = 0 THEN (20 + cpt_id % 7) / 1000.0::DOUBLE ELSE 0.05::DOUBLE END" if uneven else "0.05::DOUBLE"
+    return f"""snd AS (SELECT cpt_id, pos, pos * {step} AS depth, 0.4::DOUBLE * l_quantity + {qc}::DOUBLE AS qc, l_tax + {fs}::DOUBLE AS fs, 0.1::DOUBLE * l_discount AS u
       FROM (SELECT l_suppkey AS cpt_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(_ORDER)}) AS INTEGER) AS pos, l_quantity, l_tax, l_discount FROM lineitem))"""
 
 
@@ -78,18 +80,28 @@ POINTS_SQL = f"""pt AS (SELECT o_orderkey AS point_id, CAST({X0} + o_orderkey *
 _CORNERS = ((1000, 500), (38000, 1500), (39500, 38000), (2000, 39000))
 
 
-def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A four-sided polygon a nation, 5 by 5 over the box, with gaps between them."""
+def _corners(grown: int) -> tuple:
+    return tuple((x + (grown if x > 20_000 else -grown), y + (grown if y > 20_000 else -grown)) for x, y in _CORNERS)
+
+
+def polygons(spark: SparkSession, sf_dir: str, grown: int = 0) -> DataFrame:
+    """A four-sided polygon a nation, 5 by 5 over the box, with gaps between them, or overlapping if grown by some km."""
+    corners = _corners(grown)
     k = F.col("n_nationkey")
     x, y = X0 + (k % 5) * 40_000, Y0 + F.floor(k / 5) * 40_000
-    sides = [F.struct(*[(c + F.lit(d)).cast("double").alias(n) for n, c, d in (("x1", x, a[0]), ("y1", y, a[1]), ("x2", x, b[0]), ("y2", y, b[1]))]) for a, b in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)]
+    sides = [F.struct(*[(c + F.lit(d)).cast("double").alias(n) for n, c, d in (("x1", x, a[0]), ("y1", y, a[1]), ("x2", x, b[0]), ("y2", y, b[1]))]) for a, b in zip(corners, (*corners[1:], corners[0]), strict=True)]
     return read(spark, sf_dir, "nation").withColumn("e", F.explode(F.array(*sides))).select((k + 1).cast("int").alias("gid"), k.cast("int").alias("feature_ord"), "e.*")
 
 
-POLYGONS_SQL = "edge AS (" + " UNION ALL ".join(
-    f"SELECT CAST(n_nationkey + 1 AS INTEGER) AS gid, CAST(n_nationkey AS INTEGER) AS feature_ord, CAST({X0} + n_nationkey % 5 * 40000 + {a[0]} AS DOUBLE) AS x1, CAST({Y0} + n_nationkey // 5 * 40000 + {a[1]} AS DOUBLE) AS y1, CAST({X0} + n_nationkey % 5 * 40000 + {b[0]} AS DOUBLE) AS x2, CAST({Y0} + n_nationkey // 5 * 40000 + {b[1]} AS DOUBLE) AS y2 FROM nation"
-    for a, b in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)
-) + ")"
+def polygons_sql(grown: int = 0) -> str:
+    corners = _corners(grown)
+    return "edge AS (" + " UNION ALL ".join(
+        f"SELECT CAST(n_nationkey + 1 AS INTEGER) AS gid, CAST(n_nationkey AS INTEGER) AS feature_ord, CAST({X0} + n_nationkey % 5 * 40000 + {a[0]} AS DOUBLE) AS x1, CAST({Y0} + n_nationkey // 5 * 40000 + {a[1]} AS DOUBLE) AS y1, CAST({X0} + n_nationkey % 5 * 40000 + {b[0]} AS DOUBLE) AS x2, CAST({Y0} + n_nationkey // 5 * 40000 + {b[1]} AS DOUBLE) AS y2 FROM nation"
+        for a, b in zip(corners, (*corners[1:], corners[0]), strict=True)
+    ) + ")"
+
+
+POLYGONS_SQL = polygons_sql()
 
 
 def raster(spark: SparkSession, grid: Grid = GRID) -> DataFrame:

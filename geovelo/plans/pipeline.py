@@ -1,4 +1,4 @@
-"""Whole estimates: site velocity at points or over a grid, and Vs30 from soundings. Each is one lazy plan."""
+"""Whole estimates: site velocity at points or over a grid, and Vs30 from soundings. Each is a lazy plan, but for the correction, which takes its sites while the plan is built."""
 
 from __future__ import annotations
 
@@ -73,25 +73,42 @@ def _valued(points: DataFrame, tables: dict[str, DataFrame], settings: Settings,
     return models.assign(out, tables["terrain"], "tid", "terrain") if "terrain" in tables else out
 
 
+def measured(sites: DataFrame, layers: Layers, settings: Settings = Settings()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The sites with their categories and model values, and the category table of each model that is on. The sites are cached: models and corrections read them."""
+    named = sites.withColumnRenamed("site_id", "point_id") if "site_id" in sites.columns else sites
+    placed = located(named, layers, settings)
+    placed = (placed.withColumnRenamed("point_id", "site_id") if "site_id" in sites.columns else placed).persist()
+    tables = model_tables(placed, settings)
+    has_coast = layers.coast is not None or "coast" in sites.columns
+    return _valued(placed, tables, settings, has_coast).persist(), tables
+
+
+def modelled(points: DataFrame, layers: Layers, tables: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
+    """points plus categories and each model's velocity and sigma."""
+    return _valued(located(points, layers, settings), tables, settings, layers.coast is not None or "coast" in points.columns)
+
+
+def combined(points: DataFrame, settings: Settings = Settings(), infix: str = "") -> DataFrame:
+    """points plus <infix>vs30 and <infix>stdv of both models together."""
+    mean, sd = models.combine(*[F.col(f"{m}_{infix}{c}") for m in ("geology", "terrain") for c in ("vs30", "stdv")], settings.by_variance, settings.k)
+    return points.withColumns({f"{infix}vs30": mean, f"{infix}stdv": sd})
+
+
+def corrected(points: DataFrame, known: DataFrame, tables: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
+    """Modelled points plus each model corrected near the measured sites (.._mvn_..), and the combined columns if both models are on."""
+    out = points
+    for model in tables:
+        out = kriging.correct(out, known, model)
+    return combined(combined(out, settings), settings, "mvn_") if len(tables) == 2 else out
+
+
 def estimate(points: DataFrame, sites: DataFrame, layers: Layers, settings: Settings = Settings()) -> DataFrame:
     """points plus categories, each model's velocity and sigma, those corrected near sites (.._mvn_..), and the combined ones.
 
     points: (point_id, easting, northing); pixels of a grid are points too. Combined columns exist only if both models are on.
-    The sites with their categories and model values are cached: both models and both corrections read them, and each correction takes its sites while the plan is built.
     """
-    placed = located(sites, layers, settings) if "site_id" not in sites.columns else located(sites.withColumnRenamed("site_id", "point_id"), layers, settings).withColumnRenamed("point_id", "site_id")
-    placed = placed.persist()
-    tables = model_tables(placed, settings)
-    has_coast = layers.coast is not None or "coast" in points.columns
-    known = _valued(placed, tables, settings, has_coast).persist()
-    out = _valued(located(points, layers, settings), tables, settings, has_coast)
-    for model in tables:
-        out = kriging.correct(out, known, model)
-    if len(tables) == 2:
-        for infix, name in (("", ""), ("mvn_", "mvn_")):
-            mean, sd = models.combine(*[F.col(f"{m}_{infix}{c}") for m in ("geology", "terrain") for c in ("vs30", "stdv")], settings.by_variance, settings.k)
-            out = out.withColumns({f"{name}vs30": mean, f"{name}stdv": sd})
-    return out
+    known, tables = measured(sites, layers, settings)
+    return corrected(modelled(points, layers, tables, settings), known, tables, settings)
 
 
 def estimate_grid(grid: Grid, sites: DataFrame, layers: Layers, settings: Settings = Settings()) -> DataFrame:

@@ -250,17 +250,13 @@ def _vs30_sql(names: list[str]) -> list[str]:
     ]
 
 
-#: Depths at which to cut for the Vs30 queries: soundings run below 30 m, so a third of them is cut short first.
-_SHORT = "p AS (SELECT * FROM p0 WHERE cpt_id % 3 <> 0 OR depth <= 12 + cpt_id % 7)"
-
-
 def _short_sql(names: list[str] = NATIVE) -> list[str]:
-    return [x.replace("p AS (", "p0 AS (", 1) if x.startswith("p AS (") else x for x in _cpt_profiles_sql(names)] + [_SHORT, *TRUNCATED]
+    """Profiles of soundings of different depths, a third of them above 30 m."""
+    return [fx.soundings_sql(1.0, 0.01, True), *_cpt_profiles_sql(names)[1:], *TRUNCATED]
 
 
 def _short(spark, sf, names=NATIVE) -> DataFrame:
-    cut = _profiles(spark, sf, names).where((F.col("cpt_id") % 3 != 0) | (F.col("depth") <= 12 + F.col("cpt_id") % 7))
-    return profile.truncate(cut, KEYS)
+    return profile.truncate(cpt.profiles(cpt.valid(fx.soundings(spark, sf, 1.0, 0.01, True)), names), KEYS)
 
 
 def _vs30_query(name: str):
@@ -300,19 +296,33 @@ def weighted_vs30(spark, sf):
     return ensemble.weighted_vs30(ensemble.weighted(each, _weights(spark, sf))).select(_r("vs30"), _r("vs30_sd"))
 
 
-@query(_with(*_short_sql(), _layers_sql(), _WEIGHTS, _NORMAL,
+def _average_sql(table: str = "t", *extra: str) -> str:
+    return (_with(*_short_sql(), *extra, _layers_sql(table), _WEIGHTS, _NORMAL,
              "e AS (SELECT l.*, cpt_id % 5 AS grp, a.weight * b.weight AS w, min(depth) OVER q AS d0, lead(pos) OVER (PARTITION BY cpt_id, vs_correlation ORDER BY pos) IS NULL AS final FROM l JOIN nw a ON a.kind = 'profile' AND a.key = CAST(cpt_id AS VARCHAR) JOIN nw b ON b.kind = 'vs' AND b.key = vs_correlation WINDOW q AS (PARTITION BY cpt_id, vs_correlation))",
              "f AS (SELECT *, CAST(ceil(greatest(z_top, d0) / 0.005::DOUBLE) AS BIGINT) AS s0, CAST(CASE WHEN final THEN floor(z_bot / 0.005::DOUBLE) ELSE ceil(z_bot / 0.005::DOUBLE) - 1 END AS BIGINT) AS s1 FROM e WHERE vs <> 0)",
              "c AS (SELECT grp, s AS step, sum(w * vs) / sum(w) AS vs, sqrt(sum(w * vs_sd * vs_sd) / sum(w)) AS vs_sd FROM f, unnest(generate_series(s0, s1)) u(s) WHERE s0 <= s1 GROUP BY grp, s)",
              "d AS (SELECT *, lag(step) OVER o AS ls, lag(vs) OVER o AS lv, lag(vs_sd) OVER o AS lsd FROM c WINDOW o AS (PARTITION BY grp ORDER BY step))",
              "pts AS (SELECT grp, step, 2 AS k, step * 0.005::DOUBLE AS depth, vs, vs_sd FROM d UNION ALL SELECT grp, step, 0, 0, vs, vs_sd FROM d WHERE ls IS NULL AND step > 0 UNION ALL SELECT grp, step, 0, (ls * 0.005::DOUBLE + step * 0.005::DOUBLE) / 2, lv, lsd FROM d WHERE step - ls > 1 UNION ALL SELECT grp, step, 1, (ls * 0.005::DOUBLE + step * 0.005::DOUBLE) / 2, vs, vs_sd FROM d WHERE step - ls > 1)")
        + f"SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY step, k) - 1 AS INTEGER) AS point, {_s('depth', 'depth')}, {_s('vs', 'vs', 4)}, {_s('vs_sd', 'vs_sd')} FROM pts")
-def profile_average(spark, sf):
-    named = _short(spark, sf).withColumns({"name": F.col("cpt_id").cast("string"), "vs30_correlation": F.lit(None).cast("string"), "grp": F.col("cpt_id") % 5})
+
+
+def _average(spark, sf, rows: DataFrame) -> DataFrame:
+    named = rows.withColumns({"name": F.col("cpt_id").cast("string"), "vs30_correlation": F.lit(None).cast("string"), "grp": F.col("cpt_id") % 5})
     curve = ensemble.average_profile(ensemble.weighted(named, _weights(spark, sf)), KEYS, ("grp",))
     return curve.select("grp", "point", _r("depth"), _r("vs", 4), _r("vs_sd"))
 
 
+@query(_average_sql())
+def profile_average(spark, sf):
+    return _average(spark, sf, _short(spark, sf))
+
+
+@query(_average_sql("tz", "tz AS (SELECT * REPLACE (CASE WHEN pos % 11 = 3 THEN 0 ELSE vs END AS vs) FROM t)"))
+def profile_average_zeros(spark, sf):
+    """Layers of velocity 0 are left out; the gaps between the others are bridged."""
+    return _average(spark, sf, _short(spark, sf).withColumn("vs", F.when(F.col("pos") % 11 == 3, 0.0).otherwise(F.col("vs"))))
+
+
 @query("SELECT n_name AS key, r_name AS kind, " + _s("n_nationkey / 100.0::DOUBLE * (r_regionkey + 1)", "weight", 9) + " FROM nation JOIN region ON r_regionkey = n_regionkey")
 def section_weights(spark, sf):
     sections = fx.read(spark, sf, "region").select(F.col("r_name").alias("kind"), (F.col("r_regionkey") + 1).cast("double").alias("weight"))

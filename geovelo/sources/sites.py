@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,12 +72,32 @@ def reliable(sites: DataFrame) -> DataFrame:
 
 
 def union(*sources: DataFrame) -> DataFrame:
-    """One table of all sources, columns that a source lacks null, with site_id in the order of station and place."""
+    """One table of all sources, columns that a source lacks null. site_id is a hash of the row and of which of its equals it is, so no task sees all rows."""
     out = sources[0]
     for more in sources[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
-    order = [F.col(c).asc_nulls_first() for c in ("easting", "northing", "vs30", "uncertainty")]
-    return out.withColumn("site_id", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    equals = F.row_number().over(Window.partitionBy(*out.columns).orderBy(F.lit(0)))
+    return out.withColumn("_k", equals).withColumn("site_id", F.xxhash64(*out.columns, "_k")).drop("_k")
+
+
+@dataclass(frozen=True)
+class SiteFiles:
+    """Paths of the site lists; those of a source that is not read may be missing."""
+
+    map_grid: str | None = None
+    tabbed: str | None = None
+    graded: str | None = None
+    cpt: str | None = None
+
+
+def load_vs(spark: SparkSession, files: SiteFiles, source: str = "original") -> DataFrame:
+    """The measured sites: original is the thinned map-grid list, the tabbed one and the reliable rows of the graded one; cpt is the cone-based list alone."""
+    if source == "cpt":
+        return union(cpt_sites(spark, files.cpt))
+    if source != "original":
+        raise ValueError(f"unknown site source {source}")
+    given = [(map_grid_sites, files.map_grid), (tabbed_sites, files.tabbed), (lambda s, p: reliable(graded_sites(s, p)), files.graded)]
+    return union(*[read(spark, path) for read, path in given if path])
 
 
 def write_csv(rows: DataFrame, path: str, overwrite: bool = False) -> None:
