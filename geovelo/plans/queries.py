@@ -14,7 +14,9 @@ from ..functions import spt_correlations as sc
 from ..functions import vs30_correlations as v30
 from ..functions.numeric import significant
 from ..operators import cluster, cpt, ensemble, kriging, models, profile, raster, spatial, spt
+from ..sources import polygons as polygon_sources
 from ..sources import sites as site_sources
+from ..sources import soundings as sounding_sources
 from . import fixtures as fx
 from . import pipeline
 
@@ -589,3 +591,228 @@ def sounding_pipeline(spark, sf):
 
 
 ORACLE_SQL["sounding_pipeline"] = _with(*_cpt_profiles_sql(ALL_CPT), *TRUNCATED, *_vs30_sql(["boore_2004"])) + f"SELECT cpt_id, vs_correlation, z, {_s('vsz', 'vsz')}, {_s('vs30', 'vs30')} FROM h"
+
+# --- whole estimates without the correction --------------------------------------------------------------------------
+
+_LAYERS_SQL = [
+    fx.POLYGONS_SQL, fx.RASTER_SQL, fx.LAND_SQL,
+    "sea AS (SELECT x, y FROM land a WHERE value = 0 AND EXISTS (SELECT 1 FROM land b WHERE b.value = 1 AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1))",
+    "far AS (SELECT l.row, l.col, least(20000, min(sqrt(power(l.x - s.x, 2) + power(l.y - s.y, 2)))) AS coast FROM land l, sea s WHERE l.value = 1 GROUP BY l.row, l.col)",
+]
+
+
+def _placed_sql(source: str, name: str, geology: str, terrain: str) -> list[str]:
+    """source (id, x, y, ..) with the categories, slope and coast distance of the layers, and the values of both models."""
+    c, r = f"floor((x - {_G.x0}) / {_G.dx})", f"floor((y - {_G.y0}) / ({_G.dy}))"
+    slope = "log10(CASE WHEN slope IS NULL OR slope = 0 OR slope = -9999 THEN 1e-9 ELSE slope END)"
+    return [
+        f"{name}1 AS (SELECT q.id, e.gid % 16 AS gid FROM {source} q, edge e GROUP BY q.id, q.x, q.y, e.gid, e.feature_ord HAVING {_INSIDE})",
+        f"{name}2 AS (SELECT id, min(gid) AS gid FROM {name}1 GROUP BY id)",
+        f"{name}3 AS (SELECT q.*, p.gid, CAST(ras.value AS INTEGER) AS tid, ras.value / 40 AS slope, coast FROM {source} q LEFT JOIN {name}2 p USING (id) LEFT JOIN ras ON ras.col = {c} AND ras.row = {r} LEFT JOIN far ON far.col = {c} AND far.row = {r})",
+        f"{name}4 AS (SELECT b.*, g.m AS gm, g.s AS gs, t.m AS terrain_vs30, t.s AS terrain_stdv, {slope} AS lg, hy.* EXCLUDE (id) FROM {name}3 b LEFT JOIN {geology} g ON g.id = b.gid LEFT JOIN {terrain} t ON t.id = b.tid LEFT JOIN hy ON hy.id = b.gid)",
+        f"""{name}5 AS (SELECT *, CASE WHEN gid IN (4, 10) THEN CASE WHEN coast IS NULL THEN NULL WHEN gid = 4 THEN greatest(240, least(500, 240 + 260::DOUBLE * (coast - 8000) / 12000)) ELSE greatest(197, least(500, 197 + 303::DOUBLE * (coast - 8000) / 12000)) END
+          WHEN f IS NULL THEN gm ELSE power(10::DOUBLE, log10(v0) + (log10(v1) - log10(v0)) * greatest(0, least(1, (lg - lo) / (hi - lo)))) END AS geology_vs30, gs * coalesce(f, 1) AS geology_stdv FROM {name}4)""",
+        f"{name} AS (SELECT *, (ln(geology_vs30) + ln(terrain_vs30)) / 2 AS mean FROM {name}5)",
+    ]
+
+
+def _posterior_sql(prior: str, key: str, name: str) -> str:
+    sums = f"(SELECT {key} AS id, sum(ln(vs30)) AS l, sum(uncertainty * uncertainty) AS u, count(*) AS n FROM placed WHERE {key} IS NOT NULL GROUP BY 1)"
+    return f"{name} AS (SELECT p.id, CASE WHEN n IS NULL THEN m ELSE exp((3 * ln(m) + l) / (3 + n)) END AS m, sqrt((3 * power(greatest(s, 0.5::DOUBLE), 2) + coalesce(u, 0)) / (3 + coalesce(n, 0))) AS s FROM {prior} p LEFT JOIN {sums} a ON a.id = p.id)"
+
+
+_MODELLED = ", ".join([
+    "CAST(gid AS DOUBLE) AS gid", "CAST(tid AS DOUBLE) AS tid", *[_s(f"{m}_{c}", f"{m}_{c}", 4) for m in ("geology", "terrain") for c in ("vs30", "stdv")], _s("exp(mean)", "vs30", 4),
+    _s("sqrt(0.5::DOUBLE * (power(ln(geology_vs30) - mean, 2) + geology_stdv * geology_stdv) + 0.5::DOUBLE * (power(ln(terrain_vs30) - mean, 2) + terrain_stdv * terrain_stdv))", "stdv", 4),
+])
+
+
+def _modelled(out: DataFrame, *keys: str) -> DataFrame:
+    names = [f"{m}{c}" for m in ("geology_", "terrain_", "") for c in ("vs30", "stdv")]
+    return pipeline.combined(out).select(*keys, F.col("gid").cast("double").alias("gid"), F.col("tid").cast("double").alias("tid"), *[_r(n, 4) for n in names])
+
+
+_PLACES = "place AS (SELECT point_id AS id, easting AS x, northing AS y FROM pt)"
+
+
+@query(_with(fx.POINTS_SQL, _PLACES, *_LAYERS_SQL, _HYBRID, _table_sql("mo", models.GEOLOGY_POSTERIOR), _table_sql("te", models.TERRAIN_POSTERIOR), *_placed_sql("place", "r", "mo", "te")) + f"SELECT id AS point_id, {_MODELLED} FROM r")
+def points_models(spark, sf):
+    """Categories, both models with slope and coast, and the two combined, at points."""
+    settings = pipeline.Settings()
+    tables = {m: models.table(spark, m, "posterior_paper") for m in ("geology", "terrain")}
+    return _modelled(pipeline.modelled(fx.points(spark, sf).select("point_id", "easting", "northing"), _layers(spark, sf), tables, settings), "point_id")
+
+
+@query(_with(fx.SITES_SQL, "sp AS (SELECT site_id AS id, easting AS x, northing AS y, vs30, uncertainty FROM site)", _PIXELS, f"pix AS (SELECT row * {_T.nx} + col AS id, * FROM px)", *_LAYERS_SQL, _HYBRID,
+             _table_sql("gp", models.GEOLOGY_PRIOR), _table_sql("tp", models.TERRAIN_PRIOR), *_placed_sql("sp", "placed", "gp", "tp"), _posterior_sql("gp", "gid", "mo"), _posterior_sql("tp", "tid", "te"), *_placed_sql("pix", "r", "mo", "te"))
+       + f"SELECT row, col, {_MODELLED} FROM r")
+def grid_models(spark, sf):
+    """The same over a grid, both models updated by the sites."""
+    settings, layers = pipeline.Settings(geology="posterior", terrain="posterior"), _layers(spark, sf)
+    tables = pipeline.measured(fx.sites(spark, sf).drop("gid", "tid"), layers, settings)[1]
+    return _modelled(pipeline.modelled(raster.pixels(spark, _T), layers, tables, settings), "row", "col")
+
+
+@query(_with(fx.POINTS_SQL, fx.SITES_SQL, _table_sql("mo", models.GEOLOGY_POSTERIOR), _NEAR.format(most=2),
+             "n AS (SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY d, site_id) AS k, d, easting, northing, vs30 AS obs, m AS im, s, sqrt(s * s / (s * s + uncertainty * uncertainty)) AS om FROM near JOIN site USING (site_id) JOIN mo ON mo.id = gid)",
+             "x AS (SELECT pt.point_id, g.m, g.s, exp(-0.1::DOUBLE / 1407) AS r0, a.d AS d1, b.d AS d2, a.s AS s1, b.s AS s2, a.om AS o1, b.om AS o2, a.im AS m1, b.im AS m2, a.om * ln(a.obs / a.im) AS e1, b.om * ln(b.obs / b.im) AS e2, sqrt(power(a.easting - b.easting, 2) + power(a.northing - b.northing, 2)) AS d12 FROM pt LEFT JOIN mo g ON g.id = pt.gid LEFT JOIN n a ON a.point_id = pt.point_id AND a.k = 1 LEFT JOIN n b ON b.point_id = pt.point_id AND b.k = 2)",
+             "y AS (SELECT *, r0 * s1 * s1 AS c11, r0 * s2 * s2 AS c22, " + ", ".join(f"exp(-greatest(0.1::DOUBLE, {d}) / 1407) * {a} * {b} * {w} * exp(-1.5::DOUBLE * abs(ln({u}) - ln({v}))) AS {n}" for d, a, b, w, u, v, n in (("d12", "s1", "s2", "o1 * o2", "m1", "m2", "c12"), ("d1", "s", "s1", "o1", "m1", "m", "t1"), ("d2", "s", "s2", "o2", "m2", "m", "t2"))) + " FROM x)",
+             "z AS (SELECT *, c11 * c22 - c12 * c12 AS det FROM y)")
+       + f"""SELECT point_id, {_s('exp(ln(m) + CASE WHEN d1 IS NULL THEN 0 WHEN d2 IS NULL THEN t1 * e1 / c11 ELSE (t1 * (c22 * e1 - c12 * e2) + t2 * (c11 * e2 - c12 * e1)) / det END)', 'vs30')},
+         {_s('sqrt(r0 * s * s - CASE WHEN d1 IS NULL THEN 0 WHEN d2 IS NULL THEN t1 * t1 / c11 ELSE (t1 * t1 * c22 - 2 * t1 * t2 * c12 + t2 * t2 * c11) / det END)', 'stdv')} FROM z""")
+def mvn_pair(spark, sf):
+    """The correction by the two nearest sites, solved by hand in the SQL."""
+    out = kriging.correct(_prior(spark, fx.points(spark, sf)), _prior(spark, fx.sites(spark, sf)), "geology", most=2)
+    return out.select("point_id", _r("geology_mvn_vs30", name="vs30"), _r("geology_mvn_stdv", name="stdv"))
+
+
+@query(_with(fx.POINTS_SQL, fx.SITES_SQL, _NEAR.format(most=2)) + f"SELECT point_id, site_id, {_s('d', 'distance', 3)} FROM near")
+def neighbours_bounded(spark, sf):
+    """More sites in reach than are wanted."""
+    pairs = spatial.neighbours(fx.points(spark, sf).select("point_id", "easting", "northing"), fx.sites(spark, sf).select("site_id", "easting", "northing"), most=2)
+    return pairs.select("point_id", F.col("s_site_id").alias("site_id"), _r("distance", 3))
+
+
+@query(_with(fx.SITES_SQL, "p AS (SELECT a.site_id, b.site_id AS other, sqrt(power(a.easting - b.easting, 2) + power(a.northing - b.northing, 2)) AS d FROM site a, site b)")
+       + f"SELECT site_id, other, {_s('d', 'distance', 3)}, {_s('exp(-greatest(0.1::DOUBLE, d) / 1407)', 'geology', 9)}, {_s('exp(-greatest(0.1::DOUBLE, d) / 993)', 'terrain', 9)} FROM p WHERE d <= 20000")
+def site_correlations(spark, sf):
+    """Distances between sites and both models' correlation over them."""
+    own = fx.sites(spark, sf).select("site_id", "easting", "northing")
+    pairs = spatial.range_join(own, own, 20_000.0)
+    return pairs.select("site_id", F.col("s_site_id").alias("other"), _r("distance", 3), *[_r(kriging.correlation("distance", m), 9, m) for m in kriging.LENGTHS])
+
+
+# --- cases that the tables above do not reach ------------------------------------------------------------------------
+
+_SILENT = "silent AS (SELECT * REPLACE (CASE WHEN pos % 5 = 2 THEN 0 ELSE n END AS n) FROM bh)"
+
+
+def _silent(spark, sf) -> DataFrame:
+    return fx.boreholes(spark, sf).withColumn("n", F.when(F.col("pos") % 5 == 2, 0.0).otherwise(F.col("n")))
+
+
+def _silent_sql(name: str) -> list[str]:
+    head, blows, first, *rest = _spt_sql(name)
+    renumbered = first.replace("SELECT *,", "SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY spt_id ORDER BY pos) AS INTEGER) AS pos),", 1)
+    return [head, _SILENT, blows.replace("FROM bh", "FROM silent"), renumbered, *rest]
+
+
+@query(_with(*_silent_sql("brandenberg_2010")) + f"SELECT spt_id, pos, {_s('depth', 'depth')}, {_s('vs', 'vs', 4)}, {_s('vs_sd', 'vs_sd')} FROM sp")
+def spt_without_blows(spark, sf):
+    """Rows without blows go and the others are renumbered."""
+    return spt.profiles(_silent(spark, sf), ["brandenberg_2010"]).select("spt_id", "pos", _r("depth"), _r("vs", 4), _r("vs_sd"))
+
+
+@query(_with(*_silent_sql("kwak_2015"), "p AS (SELECT spt_id AS cpt_id, 'kwak_2015' AS vs_correlation, pos, depth, vs, vs_sd FROM sp)", *TRUNCATED, *_vs30_sql(["boore_2004"])) + f"SELECT cpt_id AS spt_id, z, {_s('vsz', 'vsz')}, {_s('vs30', 'vs30')}, {_s('vs30_sd', 'vs30_sd')} FROM h")
+def borehole_pipeline(spark, sf):
+    """From blow counts to Vs30."""
+    cut = pipeline.spt_profiles(_silent(spark, sf), ["kwak_2015"])
+    return pipeline.profile_vs30(cut, ("spt_id", "vs_correlation"), ["boore_2004"]).select("spt_id", "z", _r("vsz"), _r("vs30"), _r("vs30_sd"))
+
+
+@query(_with(fx.BOREHOLES_SQL) + "SELECT spt_id, min_by(depth, pos) AS z_min, max_by(depth, pos) AS z_max, max_by(depth, pos) - min_by(depth, pos) AS z_spread FROM bh GROUP BY spt_id")
+def spt_info(spark, sf):
+    return spt.info(fx.boreholes(spark, sf))
+
+
+@query(_with(*_short_sql(), "d AS (SELECT *, CASE WHEN moved THEN z ELSE depth END AS dd, NOT (depth <= z OR moved) AS gone FROM t3)")
+       + f"SELECT cpt_id, vs_correlation, {_s('min(dd)', 'z_min')}, {_s('max(dd)', 'z_max')}, {_s('max(dd) - min(dd)', 'z_spread')}, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed, CAST(coalesce(sum(pos - 1) FILTER (gone), 0) AS BIGINT) AS sum_removed FROM d GROUP BY ALL")
+def profile_info(spark, sf):
+    out = profile.info(cpt.profiles(cpt.valid(fx.soundings(spark, sf, 1.0, 0.01, True)), NATIVE), KEYS)
+    total = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select(*KEYS, *[_r(c) for c in ("z_min", "z_max", "z_spread")], F.size("removed").alias("n_removed"), total.alias("sum_removed"))
+
+
+@query(_with(SND) + f"SELECT cpt_id, pos, {_s('qc / 1000', 'qc', 9)}, {_s('fs / 1000', 'fs', 9)}, {_s('u / 1000', 'u', 9)} FROM snd")
+def cpt_kpa(spark, sf):
+    return cpt.kpa_to_mpa(fx.soundings(spark, sf)).select("cpt_id", "pos", _r("qc", 9), _r("fs", 9), _r("u", 9))
+
+
+_ODD_SLOPE = "od AS (SELECT * REPLACE (CASE point_id % 5 WHEN 0 THEN -9999 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE slope END AS slope) FROM gv)"
+
+
+@query(_with(*_GEO, _HYBRID, _ODD_SLOPE, "x AS (SELECT *, log10(CASE WHEN coalesce(slope, 0) = 0 OR slope = -9999 THEN 1e-9 ELSE slope END) AS lg FROM od LEFT JOIN hy ON hy.id = od.gid)")
+       + f"SELECT point_id, {_s('CASE WHEN f IS NULL THEN geology_vs30 ELSE power(10::DOUBLE, log10(v0) + (log10(v1) - log10(v0)) * greatest(0, least(1, (lg - lo) / (hi - lo)))) END', 'vs30')}, {_s('geology_stdv * coalesce(f, 1)', 'stdv')} FROM x")
+def hybrid_slope_missing(spark, sf):
+    """Slopes of 0, no data or null, and category 4 by its slope too."""
+    k = F.col("point_id") % 5
+    odd = _geology(spark, sf).withColumn("slope", F.when(k == 0, models.SLOPE_NO_DATA).when(k == 1, None).when(k == 2, 0.0).otherwise(F.col("slope")))
+    return models.hybrid(odd, mod6=False).select("point_id", _r("geology_vs30", name="vs30"), _r("geology_stdv", name="stdv"))
+
+
+@query(_with(*_BOTH, "b1 AS (SELECT *, power(sa * sa, -2) / (power(sa * sa, -2) + power(sb * sb, -2)) AS wa FROM b0)", "b2 AS (SELECT *, ln(a) * wa + ln(b) * (1 - wa) AS mean FROM b1)")
+       + f"SELECT point_id, {_s('exp(mean)', 'vs30')}, {_s('sqrt(wa * (power(ln(a) - mean, 2) + sa * sa) + (1 - wa) * (power(ln(b) - mean, 2) + sb * sb))', 'stdv')} FROM b2")
+def combine_by_precision(spark, sf):
+    """Weights by variance to the power -2."""
+    both = models.assign(_geology(spark, sf), models.table(spark, "terrain", "posterior_paper"), "tid", "terrain")
+    mean, sd = models.combine(*[F.col(c) for c in ("geology_vs30", "geology_stdv", "terrain_vs30", "terrain_stdv")], True, 2.0)
+    return both.select("point_id", _r(mean, name="vs30"), _r(sd, name="stdv"))
+
+
+@query(_with(fx.RASTER_SQL, _PIXELS) + f"SELECT px.row, px.col, nullif(value, 3) AS value FROM px LEFT JOIN ras ON ras.col = floor((x - {_G.x0}) / {_G.dx}) AND ras.row = floor((y - {_G.y0}) / ({_G.dy}))")
+def raster_no_data(spark, sf):
+    return raster.resample(raster.no_data(fx.raster(spark), 3.0), _G, _T)
+
+
+_GROWN = 6_000
+
+
+@query(_with(fx.polygons_sql(_GROWN), fx.POINTS_SQL, f"hit AS (SELECT point_id, e.gid FROM (SELECT point_id, easting AS x, northing AS y FROM pt) q, edge e GROUP BY ALL HAVING {_INSIDE})") + "SELECT pt.point_id, CAST(min(hit.gid) AS DOUBLE) AS gid FROM pt LEFT JOIN hit USING (point_id) GROUP BY ALL")
+def point_in_overlapping(spark, sf):
+    return spatial.in_polygons(fx.points(spark, sf).drop("gid"), fx.polygons(spark, sf, _GROWN), 10_000.0).select("point_id", F.col("gid").cast("double").alias("gid"))
+
+
+@query(_with(fx.polygons_sql(_GROWN), _PIXELS, f"hit AS (SELECT row, col, gid FROM px, edge GROUP BY ALL HAVING {_INSIDE})") + "SELECT px.row, px.col, CAST(max(gid) AS DOUBLE) AS value FROM px LEFT JOIN hit USING (row, col) GROUP BY ALL")
+def rasterise_overlapping(spark, sf):
+    """The last feature wins."""
+    return raster.rasterise(fx.polygons(spark, sf, _GROWN), _T, 10_000.0).withColumn("value", F.col("value").cast("double"))
+
+
+@query(_with(fx.POLYGONS_SQL) + "SELECT gid, feature_ord, x1, y1, x2, y2 FROM edge")
+def polygon_edges(spark, sf):
+    """Edges of polygons given as text."""
+    corner = lambda x, y: F.concat_ws(" ", F.col(x).cast("long").cast("string"), F.col(y).cast("long").cast("string"))
+    sides = fx.polygons(spark, sf).withColumn("k", F.monotonically_increasing_id()).groupBy("gid", "feature_ord").agg(F.array_sort(F.collect_list(F.struct("k", corner("x1", "y1").alias("p")))).alias("s"))
+    ring = F.array_join(F.concat(F.transform("s", lambda r: r["p"]), F.array(F.col("s")[0]["p"])), ", ")
+    text = F.concat(F.lit("POLYGON (("), ring, F.lit("))"))
+    return polygon_sources.edges(sides, polygon_sources.wkt_rings(text))
+
+
+_SNAPPED = raster.Grid.over(fx.X0 + 300, fx.X0 + 190_250, fx.Y0 + 400, fx.Y0 + 180_100, 2000, 2500).covering(fx.X0 - 1000, fx.X0 + 195_000, fx.Y0 - 7000, fx.Y0 + 181_000)
+
+
+@query(f"""WITH g AS (SELECT {fx.X0 + 300} AS x0, {fx.Y0 + 180_100} AS y0, round_even((190250 - 300) / 2000.0, 0) AS nx, round_even((180100 - 400) / 2500.0, 0) AS ny),
+s AS (SELECT *, greatest(0, ceil(1300 / 2000.0)) AS l, greatest(0, ceil(900 / 2500.0)) AS u, greatest(0, ceil((195000 - 300) / 2000.0) - nx) AS r, greatest(0, ceil((180100 + 7000) / 2500.0) - ny) AS d FROM g),
+k AS (SELECT x0 - l * 2000 AS x0, y0 + u * 2500 AS y0, CAST(nx + l + r AS BIGINT) AS nx, CAST(ny + u + d AS BIGINT) AS ny FROM s)
+SELECT CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, CAST(x0 + (j + 0.5) * 2000 AS DOUBLE) AS easting, CAST(y0 - (i + 0.5) * 2500 AS DOUBLE) AS northing FROM k, unnest(range(ny)) a(i), unnest(range(nx)) b(j)""")
+def grid_extent(spark, sf):
+    """Numbers of rows and columns from an extent, grown by whole cells to cover another."""
+    return raster.pixels(spark, _SNAPPED).select("row", "col", "easting", "northing")
+
+
+# --- text forms and back ---------------------------------------------------------------------------------------------
+
+
+@query(_with(SND) + f"SELECT 'c' || cpt_id AS name, pos, {_s('depth', 'depth')}, {_s('qc', 'qc')}, {_s('fs', 'fs')}, {_s('u', 'u')}, 1.0::DOUBLE AS gwl, 0.8::DOUBLE AS nar FROM snd")
+def cpt_json(spark, sf):
+    named = fx.soundings(spark, sf).withColumn("name", F.concat(F.lit("c"), "cpt_id"))
+    return sounding_sources.cpt_from_json(sounding_sources.cpt_to_json(named)).select("name", "pos", _r("depth"), _r("qc"), _r("fs"), _r("u"), "gwl", "nar")
+
+
+@query(_with(fx.BOREHOLES_SQL, N60) + f"SELECT 's' || spt_id AS name, pos, {_s('depth', 'depth')}, {_s('n', 'n')}, soil, hammer, diameter, energy_ratio, {_s('n60', 'n60', 2)} FROM n6")
+def spt_json(spark, sf):
+    named = spt.n60(fx.boreholes(spark, sf)).withColumn("name", F.concat(F.lit("s"), "spt_id"))
+    return sounding_sources.spt_from_json(sounding_sources.spt_to_json(named)).select("name", "pos", _r("depth"), _r("n"), "soil", "hammer", "diameter", "energy_ratio", _r("n60", 2))
+
+
+@query(_with(*NATIVE_SQL) + f"SELECT 'p' || cpt_id AS name, vs_correlation, CAST(row_number() OVER (PARTITION BY cpt_id, vs_correlation ORDER BY pos) AS INTEGER) AS pos, {_s('depth', 'depth', 4)}, {_s('vs', 'vs', 4)}, {_s('vs_sd', 'vs_sd')} FROM t")
+def profile_json(spark, sf):
+    cut = profile.truncate(_profiles(spark, sf), KEYS)
+    named = cut.withColumns({"name": F.concat(F.lit("p"), "cpt_id"), "vs30_correlation": F.lit(None).cast("string"), "layered": F.lit(False)})
+    return sounding_sources.profile_from_json(sounding_sources.profile_to_json(named)).select("name", "vs_correlation", "pos", _r("depth", 4), _r("vs", 4), _r("vs_sd"))
+
+
+@query(_with(*NATIVE_SQL) + f'SELECT {_s("depth", "x", 4).replace(" AS x", "")} AS "Depth", {_s("vs", "x", 4).replace(" AS x", "")} AS "Vs", {_s("vs_sd", "x").replace(" AS x", "")} AS "Vs_SD" FROM t')
+def profile_table(spark, sf):
+    out = sounding_sources.profile_table(profile.truncate(_profiles(spark, sf), KEYS))
+    return out.select(_r("Depth", 4), _r("Vs", 4), _r("Vs_SD"))

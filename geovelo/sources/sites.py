@@ -20,13 +20,14 @@ def _columns(spark: SparkSession, path: str, sep: str, wanted: dict[int, tuple[s
 
 
 def locations(spark: SparkSession, path: str, lon: int = 0, lat: int = 1, sep: str = ",", skip_rows: int = 0) -> DataFrame:
-    """(point_id, longitude, latitude, easting, northing) from two columns by index. point_id follows the order of the lines; skip_rows leaves out the first lines of the file."""
+    """(point_id, longitude, latitude, easting, northing) from two columns by index. point_id follows the order of the lines; skip_rows leaves out the first lines of the file. What is missing or no number is null."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"))
     if skip_rows:
         first = lines.orderBy("_at").limit(skip_rows).select("_at")
         lines = lines.join(first, "_at", "left_anti")
     parts = F.split("value", sep if len(sep) == 1 and sep not in "|.^$*+?()[]{}\\" else rf"\Q{sep}\E")
-    rows = lines.where(F.trim("value") != "").select(F.col("_at").alias("point_id"), F.trim(F.element_at(parts, lon + 1)).cast("double").alias("longitude"), F.trim(F.element_at(parts, lat + 1)).cast("double").alias("latitude"))
+    number = lambda k: F.trim(F.get(parts, F.lit(k))).try_cast("double")
+    rows = lines.where(F.trim("value") != "").select(F.col("_at").alias("point_id"), number(lon).alias("longitude"), number(lat).alias("latitude"))
     return project(rows)
 
 
@@ -55,9 +56,9 @@ def tabbed_sites(spark: SparkSession, path: str) -> DataFrame:
 def graded_sites(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """(station, q, easting, northing, vs30, uncertainty) from a padded, quoted list with comment lines and one header; uncertainty is q/10, or 0.5 for grade 3."""
     parts = F.split("value", ",")
-    text = lambda k: F.trim(F.regexp_replace(F.element_at(parts, k + 1), '"', ""))
+    text = lambda k: F.trim(F.regexp_replace(F.get(parts, F.lit(k)), '"', ""))
     lines = spark.read.text(path).where(~F.ltrim("value").startswith(comment) & (F.trim("value") != ""))
-    rows = lines.select(text(0).alias("station"), text(1).try_cast("double").alias("longitude"), text(2).try_cast("double").alias("latitude"), text(3).try_cast("double").alias("vs30"), F.regexp_extract(F.element_at(parts, 5), r'"Q(\d)', 1).try_cast("int").alias("q"))
+    rows = lines.select(text(0).alias("station"), text(1).try_cast("double").alias("longitude"), text(2).try_cast("double").alias("latitude"), text(3).try_cast("double").alias("vs30"), F.regexp_extract(F.get(parts, F.lit(4)), r'"Q(\d)', 1).try_cast("int").alias("q"))
     graded = rows.where("q IS NOT NULL AND longitude IS NOT NULL").withColumn("uncertainty", uncertainty(F.col("q")))
     return project(graded).select("station", "q", "easting", "northing", "vs30", "uncertainty")
 
