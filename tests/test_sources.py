@@ -88,8 +88,9 @@ def test_api_end_to_end(spark):
     assert "Auto" in api.hammer_types() and "Clay" in api.soil_types() and len(api.cpt_correlations()) == 7
 
 
-def test_entry_without_training_operators(monkeypatch):
-    """The query registry does not need the training-data subpackage."""
+@pytest.mark.parametrize("broken", [False, True])
+def test_entry_without_training_operators(monkeypatch, broken):
+    """The query registry does not need the training-data subpackage; but one that is there and breaks is an error."""
     import builtins
     import importlib
 
@@ -99,13 +100,17 @@ def test_entry_without_training_operators(monkeypatch):
 
     def refuse(name, *a, **k):
         if "llm" in name or name == "corpus_pipeline" or (name == "geovelo" and "llm" in str(a)):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name="a_missing_library" if broken else name)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", refuse)
     try:
-        importlib.reload(entry)
-        assert "vsz" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
+        if broken:
+            with pytest.raises(ImportError):
+                importlib.reload(entry)
+        else:
+            importlib.reload(entry)
+            assert "vsz" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
