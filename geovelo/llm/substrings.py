@@ -1,10 +1,10 @@
 """Substring dedup: recurring phrases confirmed by counting, located by Aho-Corasick automata, and passages removed.
 
 Each window of 50 words is represented by its phrase of 16 words with the smallest hash (a minimizer), so two equal
-windows share a phrase. Phrases that stand in two different documents recur. Documents then meet the
-recurring phrases they hold: each task compiles automata over its documents' phrases, a bounded number
-in each, and streams the documents through to find every occurrence. Windows whose own minimizer recurs are counted by a
-128-bit hash, and those that a smaller doc_id holds are cut out. Whole texts are shuffled compressed.
+windows share a phrase. Phrases whose hash stands in two different texts recur. One text of each, the first to hold it, tells the
+phrase's words; these go, without places, to the texts that hold it. Each task compiles automata over the phrases that came for its documents,
+a bounded number in each, and streams the documents through: where a phrase stands is known from the automata alone. Windows whose
+minimizer was found there are counted by a 128-bit hash, and those that a smaller doc_id holds are cut out. Whole texts are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -77,31 +77,48 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> t
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's minimizers, every one once, with the first place of it."""
     memo = _Hashes()
     for part in pieces(batches):
         at, value, ends = [], [], [0]
         for text in utf8(part.column(2)):
             words = text.split()
             spots, hashes = anchors(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))) if len(words) >= WINDOW else ((), np.zeros(0, np.uint64))
-            at.append(np.asarray(spots, np.int32))
-            value.append(hashes.view(np.int64))
-            ends.append(ends[-1] + len(spots))
+            each, first = np.unique(hashes, return_index=True)
+            at.append(np.asarray(spots, np.int32)[first])
+            value.append(each.view(np.int64))
+            ends.append(ends[-1] + len(each))
         items = pa.StructArray.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(at))], ["phrase", "at"])
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["key", "doc_id", "anchors"])
 
 
-def located(texts: list[bytes], phrases: list[list[int]], size: int = PHRASE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
-    """(text, first words of every recurring phrase found in it, places of the spaces, the words each between two spaces).
+def _padded(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """The words of a text, a space around each, and where the spaces are."""
+    padded = b" " + b" ".join((text or b"").split()) + b" "
+    return padded, np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
 
-    phrases: where recurring phrases were seen in each text. The phrases of all texts are compiled into automata of at
+
+def _told(batches: Iterator[pa.RecordBatch], size: int = PHRASE) -> Iterator[pa.RecordBatch]:
+    """Rows (phrase, words): the words of the phrases that each text is to tell, a space around each word. Columns: packed, told (phrase, at)."""
+    for part in pieces(batches):
+        phrases, words = [], []
+        for text, told in zip(unpacked(part.column(0)), part.column(1).to_pylist(), strict=True):
+            padded, spaces = _padded(text)
+            phrases += [x["phrase"] for x in told]
+            words += [padded[spaces[x["at"]] : spaces[x["at"] + size] + 1] for x in told]
+        yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.int64()), pa.array(words, pa.binary())], ["phrase", "words"])
+
+
+def located(texts: list[bytes], phrases: list[list[bytes]], size: int = PHRASE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """(text, first words of every phrase found in it, places of the spaces, the words each between two spaces).
+
+    phrases: of size words, a space around each word, one list a text. The phrases of all lists are compiled into automata of at
     most SHARD_PHRASES phrases, and all texts are streamed through each.
     """
     import ahocorasick
 
-    padded = [b" " + b" ".join(t.split()) + b" " for t in texts]
-    spaces = [np.flatnonzero(np.frombuffer(p, np.uint8) == 32) for p in padded]
-    wanted = {p[s[k] : s[k + size] + 1] for p, s, own in zip(padded, spaces, phrases, strict=True) for k in own}
-    ordered = sorted(wanted)
+    padded, spaces = zip(*map(_padded, texts), strict=True) if texts else ((), ())
+    ordered = sorted({x for own in phrases for x in own})
     found: list[list[int]] = [[] for _ in texts]
     plain = [p.decode("latin-1") for p in padded]  # one character a byte
     for lo in range(0, len(ordered), SHARD_PHRASES):
@@ -116,7 +133,7 @@ def located(texts: list[bytes], phrases: list[list[int]], size: int = PHRASE) ->
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w1, w2, cid, low, start): a window's hash and where it starts, for each window whose minimizer is a recurring phrase. Windows that equal one of another text are among them."""
+    """Rows (w1, w2, cid, low, start): a window's hash and where it starts, for each window whose minimizer the automata found. Windows that equal one of another text are among them. Columns: cid, low, packed, phrases."""
     from xxhash import xxh3_128_digest
 
     memo = _Hashes()
@@ -146,7 +163,7 @@ def _key():
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, low, starts) for every distinct text: key is the text's MD5, low its smallest doc_id, starts the first words of its windows that a document with a doc_id below low holds too.
 
-    Texts are shuffled once, to meet the places of their recurring phrases.
+    Texts are shuffled once, to meet the phrases they are to tell, and those with recurring phrases once more, to meet the words of these.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _key().alias("key"))
     squeezed = keyed.select("doc_id", "key", packed("text").alias("packed"))
@@ -155,10 +172,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     own_rows = (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("low"))
     spots = prints.where("size(anchors) > 0").join(classes.withColumnRenamed("key", "_key"), own_rows).select("cid", F.explode("anchors").alias("a")).select("cid", "a.*")
     spots = stored(spots, "phrases")
-    recurring = spots.groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase")
+    recurring = spots.groupBy("phrase").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("phrase", "x")
     recurring = stored(recurring, "recurring")  # a plain side of the join, so that AQE can split a phrase that very many texts hold
-    places = spots.join(recurring, "phrase").groupBy("cid").agg(F.collect_set("at").alias("at")).join(classes, "cid").select(F.col("key").alias("_key"), "cid", "low", "at")
-    met = squeezed.join(places, own_rows).select("cid", "low", "packed", "at")
+    held = spots.join(recurring, "phrase").groupBy("cid", "phrase").agg(F.min(F.when(F.col("cid") == F.col("x"), F.col("at"))).alias("at"))
+    held = stored(held, "held-phrases")  # repeated rows count once
+    told = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("phrase", "at"))).alias("told")
+    holders = held.groupBy("cid").agg(told).join(classes, "cid").select(F.col("key").alias("_key"), "cid", "low", "told")
+    holders = stored(squeezed.join(holders, own_rows).select("cid", "low", "packed", "told"), "holders")
+    words = holders.where("size(told) > 0").select("packed", "told").mapInArrow(_told, "phrase bigint, words binary")
+    words = stored(words.groupBy("phrase").agg(F.first("words").alias("words")), "phrase-words")
+    asked = held.select("cid", "phrase").join(words, "phrase").groupBy("cid").agg(F.collect_list("words").alias("phrases"))
+    met = holders.select("cid", "low", "packed").join(asked, "cid").select("cid", "low", "packed", "phrases")
     windows = stored(met.mapInArrow(_windows, "w1 bigint, w2 bigint, cid bigint, low bigint, start int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
     first = stored(first, "first-windows")  # as above

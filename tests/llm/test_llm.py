@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -391,6 +392,23 @@ def test_substrings_against_brute_force(spark, seed, monkeypatch):
     assert substrings.dedup(_docs(spark, [])).count() == 0
 
 
+def test_automata_alone_tell_where_phrases_stand(spark, monkeypatch):
+    words = [f"w{k}" for k in range(120)]
+    docs = _docs(spark, [(1, " ".join(words)), (2, " ".join(["x"] * 9 + words[20:100])), (2, " ".join(["x"] * 9 + words[20:100]))])
+    assert [r.n_removed for r in substrings.dedup(docs).orderBy("doc_id").collect()] == [0, 80, 80]
+    phrase = b" " + b" ".join(w.encode() for w in words[30:46]) + b" "
+    texts = [" ".join(words[a:b]).encode() for a, b in ((0, 120), (25, 50), (31, 120))]
+    assert [at.tolist() for _, at, *_ in substrings.located(texts, [[], [phrase], []])] == [[30], [5], []]
+    told = substrings._told
+
+    def mute(batches):
+        for batch in told(batches):
+            yield batch.set_column(1, "words", pa.array([b" unheard "] * batch.num_rows, pa.binary()))
+
+    monkeypatch.setattr(substrings, "_told", mute)
+    assert [r.n_removed for r in substrings.dedup(docs).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
 def test_anchors_agree_for_equal_windows():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
