@@ -11,6 +11,8 @@ from .profile import layers
 
 #: Resolution of the averaged curve in m, and the share by which given weights may miss 1.
 STEP, SLACK = 0.005, 0.02
+#: Velocities are summed as offsets from this one, in m/s, so that little cancels in their variance.
+SHIFT = 300.0
 
 
 def normalised(weights: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
@@ -46,12 +48,15 @@ def weighted(profiles: DataFrame, weights: DataFrame) -> DataFrame:
 
 def weighted_vs30(profiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, vs30, vs30_sd) of profiles (by, vs30, vs30_sd, weight): the weighted mean, and ln of the root of the variance within and between profiles (0 without variance). Weights are taken as they are. Null if any profile has no value."""
-    mean = profiles.groupBy(*by).agg(strict_sum(F.col("weight") * F.col("vs30")).alias("_mean"))
-    joined = profiles.join(mean, list(by)) if by else profiles.crossJoin(F.broadcast(mean))  # mean is one row
-    off = F.col("vs30") - F.col("_mean")
-    variance = strict_sum(F.col("weight") * F.col("vs30_sd") * F.col("vs30_sd") + F.col("weight") * off * off)
-    out = joined.groupBy(*by).agg(F.first("_mean").alias("vs30"), variance.alias("_v"))
-    return out.withColumn("vs30_sd", F.when(F.col("_v") == 0, 0.0).otherwise(F.log(F.sqrt("_v")))).drop("_v")
+    w, off = F.col("weight"), F.col("vs30") - SHIFT
+    sums = {"vs30": w * F.col("vs30"), "_w": w, "_o": w * off, "_oo": w * off * off, "_within": w * F.col("vs30_sd") * F.col("vs30_sd")}
+    told = profiles.groupBy(*by).agg(*[strict_sum(x).alias(c) for c, x in sums.items()], F.min("vs30").alias("_least"), F.max("vs30").alias("_most"))
+    mean = F.col("vs30") - SHIFT
+    spread = F.greatest(F.lit(0.0), F.col("_oo") - 2 * mean * F.col("_o") + mean * mean * F.col("_w"))
+    alike = F.col("_w") * (F.col("_least") - F.col("vs30")) * (F.col("_least") - F.col("vs30"))  # nothing is left over where all profiles are equal
+    variance = F.col("_within") + F.when(F.col("_least") == F.col("_most"), alike).otherwise(spread)
+    out = told.withColumn("_v", variance)
+    return out.select(*by, "vs30", F.when(F.col("_v") == 0, 0.0).otherwise(F.log(F.sqrt("_v"))).alias("vs30_sd"))
 
 
 def average_profile(truncated: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = (), layered: bool | str = False) -> DataFrame:
@@ -66,10 +71,16 @@ def average_profile(truncated: DataFrame, keys: tuple[str, ...], by: tuple[str,
     cut = layers(ends, every, "vs", layered).withColumn("_last", F.lead("pos").over(order).isNull())
     first = F.ceil(F.greatest("z_top", "_from") / STEP)
     last = F.when(F.col("_last"), F.floor(F.col("z_bot") / STEP)).otherwise(F.ceil(F.col("z_bot") / STEP) - 1)
-    steps = F.when(first <= last, F.sequence(first, last))
-    sampled = cut.where("vs != 0").withColumn("step", F.explode(steps))
-    w = F.sum("weight")
-    curve = sampled.groupBy(*by, "step").agg((F.sum(F.col("weight") * F.col("vs")) / w).alias("vs"), F.sqrt(F.sum(F.col("weight") * F.col("vs_sd") * F.col("vs_sd")) / w).alias("vs_sd"))
+    # two rows a layer, where it starts and after it ends; running sums between them are the same at all steps up to the next such row
+    sums = {"n": F.lit(1), "n_w": F.col("weight").isNotNull().cast("int"), "n_sd": (F.col("weight") * F.col("vs_sd")).isNotNull().cast("int"), "w": F.col("weight"), "wv": F.col("weight") * F.col("vs"), "ws": F.col("weight") * F.col("vs_sd") * F.col("vs_sd")}
+    ends = F.array(F.struct(first.alias("step"), F.lit(1).alias("sign")), F.struct((last + 1).alias("step"), F.lit(-1).alias("sign")))
+    turned = cut.where("vs != 0").where(first <= last).select(*by, *[x.alias(f"_{c}") for c, x in sums.items()], F.explode(ends).alias("_e"))
+    turned = turned.groupBy(*by, F.col("_e.step").alias("step")).agg(*[F.sum(F.col(f"_{c}") * F.col("_e.sign")).alias(f"_{c}") for c in sums])
+    up = Window.partitionBy(*by).orderBy("step")
+    held = turned.select(*by, "step", F.lead("step").over(up).alias("_next"), *[F.sum(f"_{c}").over(up).alias(f"_{c}") for c in sums]).where("_n > 0")
+    mean = F.when(F.col("_n_w") > 0, F.col("_wv") / F.col("_w"))
+    sd = F.when(F.col("_n_sd") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("_ws") / F.col("_w"))))
+    curve = held.select(*by, F.explode(F.sequence("step", F.col("_next") - 1)).alias("step"), mean.alias("vs"), sd.alias("vs_sd"))
     along = Window.partitionBy(*by).orderBy("step")
     before = {f"_{c}": F.lag(c).over(along) for c in ("step", "vs", "vs_sd")}
     point = lambda d, v, s: F.struct(d.alias("depth"), v.alias("vs"), s.alias("vs_sd"))
