@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding, licenses, mixing, quality, secretscan, simhash, substrings, urlfilter
+from . import bpe, chat, clustering, decontaminate, embedding, fim, licenses, mixing, quality, secretscan, simhash, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +73,30 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_chat_format, op4_decontaminate, op5_simhash, op6_secrets, op7_substrings, op8_licenses, op9_mix, op10_embeddings)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shared = bpe.Shared(spark, public_tokenizers.path("word_bpe_49k.json"))
+    told = bpe.encode(table(spark, sf_dir, "documents"), shared)
+    packed, text = bpe.packed_ids(F.col("ids")), bpe.decoded(F.col("ids"), shared)
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    told = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told, 256).alias("centroid_sha256"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    length = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return made.select("doc_id", "n", "form", length("prefix"), length("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+_ALL = (op1_quality, op2_url_filter, op3_chat_format, op4_decontaminate, op5_simhash, op6_secrets, op7_substrings, op8_licenses, op9_mix, op10_embeddings, op11_bpe, op12_ball_kmeans, op13_fim)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _URL_SQL = r"""
 WITH parsed AS (
@@ -119,4 +144,40 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id, e.vec_id =
 FROM embeddings e JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL = {"op10_embeddings": _EMBEDDING_SQL, "op2_url_filter": _URL_SQL, "op3_chat_format": _CHAT_SQL}
+_FIM_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(list_slice(u, 1, lo), '') AS prefix, array_to_string(list_slice(u, lo + 1, hi), '') AS middle, array_to_string(list_slice(u, hi + 1, n), '') AS suffix FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+def _means_sql(rounds: int = 5) -> str:
+    """One table of clusters and one of centroids a round; all numbers are whole and exact in doubles."""
+    nearest = "a{k} AS (SELECT id, vec_id, e, s, c, CAST(s - 2 * list_dot_product(e, ce) + cs AS BIGINT) AS d FROM x, c{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY s - 2 * list_dot_product(e, ce) + cs, c) = 1)"
+    moved = """m{k} AS (SELECT c, p, sum(CAST(e[p] AS HUGEINT)) AS t, count(*) AS n FROM a{k}, range(1, 65) g(p) GROUP BY c, p),
+      f{k} AS (SELECT c, list(CAST((t - ((t % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS ce FROM m{k} GROUP BY c),
+      c{j} AS (SELECT o.c, coalesce(f.ce, o.ce) AS ce, list_dot_product(coalesce(f.ce, o.ce), coalesce(f.ce, o.ce)) AS cs FROM c{k} o LEFT JOIN f{k} f ON f.c = o.c)"""
+    steps = [
+        "w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64)",
+        "x AS (SELECT row_number() OVER () AS id, vec_id, e, list_dot_product(e, e) AS s FROM (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM w WHERE list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))))",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), e) - 1 AS c, e AS ce, s AS cs FROM x QUALIFY c < 40)",
+    ]
+    for k in range(rounds):
+        steps += [nearest.format(k=k), moved.format(k=k, j=k + 1)]
+    steps.append(nearest.format(k=rounds))
+    return "WITH " + ",\n".join(re.sub(r"^ *(\w+) AS \(", r"\1 AS MATERIALIZED (", s, flags=re.M) for s in steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(ce, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} o ON o.c = a.c"""
+
+
+ORACLE_SQL = {"op10_embeddings": _EMBEDDING_SQL, "op12_ball_kmeans": _means_sql(), "op13_fim": _FIM_SQL, "op2_url_filter": _URL_SQL, "op3_chat_format": _CHAT_SQL}
