@@ -15,6 +15,8 @@ from ..functions.numeric import finite, require, rint
 
 #: Steps of the fixed point; a row that has not settled by then is an error.
 MAX_STEPS, SETTLED = 64, 0.01
+#: Steps in generated code.
+UNROLLED = 4
 
 
 def _order():
@@ -77,31 +79,44 @@ def stresses(soundings: DataFrame) -> DataFrame:
     return summed.withColumn("eff_stress", F.col("total_stress") - F.col("u0")).drop("_step")
 
 
+def _exponent(n: Column) -> tuple[Column, Column, Column]:
+    """(n, qtn, ic) that follow from a stress exponent."""
+    factor = F.least(F.lit(1.7), finite(F.pow(ATMOSPHERE / F.nullif(F.col("eff_stress"), F.lit(0.0)), n)))
+    qtn = F.col("_net") / ATMOSPHERE * F.when(F.col("eff_stress") > 0, factor)
+    ic = F.sqrt(F.pow(3.47 - F.log10(qtn), F.lit(2.0)) + F.pow(F.col("_lfr"), F.lit(2.0)))
+    raw = 0.381 * ic + F.col("_shift")
+    return F.when(raw.isNotNull(), F.least(F.lit(1.0), raw)), qtn, ic
+
+
 def soil_parameters(soundings: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     """Adds stresses, fr, qtn, ic and n: the fixed point of the stress exponent, row by row.
 
     Where the tip resistance is below the total stress there is no logarithm, so qtn keeps its first value and ic and n are
-    null. A row that does not settle in max_steps is an error.
+    null. A row that does not settle in max_steps is an error. Nearly all rows settle within a few steps, which are plain columns in generated code; only
+    a row that hasn't goes on to the long form.
     """
-    base = stresses(soundings)
-    net = F.col("qt") - F.col("total_stress")
-    base = base.withColumn("fr", 100 * F.col("fs") / F.nullif(net, F.lit(0.0)))
+    base = stresses(soundings).withColumn("_net", F.col("qt") - F.col("total_stress"))
+    base = base.withColumn("fr", 100 * F.col("fs") / F.nullif(F.col("_net"), F.lit(0.0)))
+    base = base.withColumns({"_lfr": F.log10("fr") + 1.22, "_shift": 0.05 * (F.col("eff_stress") / ATMOSPHERE) - 0.15})
     some = lambda x: F.when(F.col("depth").isNotNull(), F.lit(x))  # noqa: E731  a seed that may become null
+    short = min(UNROLLED, max_steps)
+    solved = base.withColumns({"n": some(0.5), "qtn": some(0.0), "ic": some(0.0), "_done": some(False)})
+    for _ in range(short):
+        solved = solved.withColumns(dict(zip(("_n", "_qtn", "_ic"), _exponent(F.col("n")))))
+        keep = lambda c: F.when(F.col("_done"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+        done = F.col("_done") | F.coalesce(F.abs(F.col("n") - F.col("_n")) < SETTLED, F.lit(True))
+        solved = solved.select(*[c for c in base.columns], keep("n"), keep("qtn"), keep("ic"), done.alias("_done"))
 
     def step(state: Column, _: Column) -> Column:
-        factor = F.least(F.lit(1.7), finite(F.pow(ATMOSPHERE / F.nullif(F.col("eff_stress"), F.lit(0.0)), state["n"])))
-        factor = F.when(F.col("eff_stress") > 0, factor)
-        qtn = net / ATMOSPHERE * factor
-        ic = F.sqrt(F.pow(3.47 - F.log10(qtn), F.lit(2.0)) + F.pow(F.log10("fr") + 1.22, F.lit(2.0)))
-        raw = 0.381 * ic + 0.05 * (F.col("eff_stress") / ATMOSPHERE) - 0.15
-        n = F.when(raw.isNotNull(), F.least(F.lit(1.0), raw))
-        done = F.coalesce(F.abs(state["n"] - n) < SETTLED, F.lit(True))
-        return F.when(state["done"], state).otherwise(F.struct(n.alias("n"), qtn.alias("qtn"), ic.alias("ic"), done.alias("done")))
-
-    seed = F.struct(some(0.5).alias("n"), some(0.0).alias("qtn"), some(0.0).alias("ic"), F.when(F.col("depth").isNotNull(), F.lit(False)).alias("done"))
-    solved = base.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), seed, step))
-    settled = lambda x: require(F.coalesce(F.col("_s.done"), F.lit(True)), x, "soil parameters did not settle")
-    return solved.withColumns({"qtn": settled(F.col("_s.qtn")), "ic": settled(F.col("_s.ic")), "n": settled(F.col("_s.n"))}).drop("_s")
+        n, qtn, ic = _exponent(state["n"])
+        settled = F.coalesce(F.abs(state["n"] - n) < SETTLED, F.lit(True))
+        return F.when(state["done"], state).otherwise(F.struct(n.alias("n"), qtn.alias("qtn"), ic.alias("ic"), settled.alias("done")))
+
+    state = F.struct("n", "qtn", "ic", F.col("_done").alias("done"))
+    if max_steps > short:
+        state = F.when(F.coalesce("_done", F.lit(True)), state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max_steps - short)), state, step))
+    settled = lambda x: require(F.coalesce(F.col("_s.done"), F.lit(True)), F.col(f"_s.{x}"), "soil parameters did not settle")
+    return solved.withColumn("_s", state).withColumns({x: settled(x) for x in ("qtn", "ic", "n")}).drop("_s", "_done", "_net", "_lfr", "_shift")
 
 
 def profiles(soundings: DataFrame, names: list[str]) -> DataFrame:

@@ -20,6 +20,8 @@ REACH, MOST, REDUCTION = 10_000.0, 500, 1.5
 BROADCAST_SITES = 100_000
 #: Numbers in one batch of matrices.
 BATCH = 2_000_000
+#: Sites at most that a point's correction takes in turn: the work grows with their number cubed and is interpreted.
+FEW = 32
 #: Parts that a cell's points are dealt to when they meet sites by cells.
 SALTS = 16
 
@@ -147,3 +149,49 @@ def correct_single(points: DataFrame, sites: DataFrame, model: str) -> DataFrame
     shift = F.coalesce(c1 * omega * F.log(F.col("s_vs30") / m) / c11, F.lit(0.0))
     variance = least * sd * sd - F.coalesce(c1 * c1 / c11, F.lit(0.0))
     return joined.select("point_id", F.exp(F.log(prior) + shift).alias("vs30"), F.sqrt(variance).alias("stdv"))
+
+
+def conditioned_in_turn(nodes: Column, model: str) -> Column:
+    """(vs30, stdv) of the first of nodes given the others, one after the other, in native columns.
+
+    nodes: array of (easting, northing, weight, stdv, log, residual), the point first with weight 1 and residual 0. Conditioning on one site takes a
+    rank-one update off the covariances of all others, so after the last site the point's mean and variance are those that the whole system gives.
+    """
+    apart = lambda a, b: F.hypot(a["easting"] - b["easting"], a["northing"] - b["northing"])
+    weight = lambda a, b, i, j: F.when(i == j, F.lit(1.0)).otherwise(a["weight"] * b["weight"])
+    shared = lambda a, b, i, j: correlation(apart(a, b), model) * a["stdv"] * b["stdv"] * weight(a, b, i, j) * F.exp(-REDUCTION * F.abs(a["log"] - b["log"]))
+    start = F.struct(F.transform(nodes, lambda a, i: F.transform(nodes, lambda b, j: shared(a, b, i, j))).alias("c"), F.transform(nodes, lambda a: F.lit(0.0)).alias("m"))
+
+    def given(state: Column, k: Column) -> Column:
+        row, m = F.get(state["c"], k), state["m"]
+        pivot = F.get(row, k)
+        news = (F.get(nodes, k)["residual"] - F.get(m, k)) / pivot
+        c = F.transform(state["c"], lambda r: F.zip_with(r, row, lambda x, t: x - F.get(r, k) * t / pivot))
+        return F.struct(c.alias("c"), F.zip_with(m, row, lambda x, t: x + t * news).alias("m"))
+
+    # the numbers of all nodes but the first
+    sites = F.filter(F.transform(nodes, lambda _, k: k), lambda k: k > 0)
+    done = F.aggregate(sites, start, given)
+    return F.struct(F.exp(F.get(nodes, F.lit(0))["log"] + F.get(done["m"], F.lit(0))).alias("vs30"), F.sqrt(F.get(F.get(done["c"], F.lit(0)), F.lit(0))).alias("stdv"))
+
+
+def correct_in_turn(points: DataFrame, sites: DataFrame, model: str, most: int = 12) -> DataFrame:
+    """correct() for few sites a point (FEW at most), as a lazy plan without Python: sites are looked up by cells and taken into account in turn, the nearest first.
+
+    Ties at the distance of the last site stay. Points without a model value get null, points without a site in reach keep their velocity. point_id must be unique.
+    """
+    if most > FEW:
+        raise ValueError(f"more than {FEW} sites in turn; use correct()")
+    prior, sd = f"{model}_vs30", f"{model}_stdv"
+    usable = points.where(" AND ".join(f"{c} IS NOT NULL" for c in ("easting", "northing", prior, sd)))
+    known = _site_rows(sites, model)
+    near = neighbours(usable.select("point_id", "easting", "northing"), known, REACH, most)
+    s, u, v = F.col(f"s_{sd}"), F.col("s_uncertainty"), F.col(f"s_{prior}")
+    omega = F.sqrt(s * s / (s * s + u * u))
+    node = lambda e, n, w, sd, log, r: F.struct(e.alias("easting"), n.alias("northing"), w.alias("weight"), sd.alias("stdv"), log.alias("log"), r.alias("residual"))
+    site = node(F.col("s_easting"), F.col("s_northing"), omega, s, F.log(v), omega * F.log(F.col("s_vs30") / v))
+    listed = near.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("distance", site.alias("site"))))["site"].alias("_s"))
+    own = node(F.col("easting"), F.col("northing"), F.lit(1.0), F.col(sd).cast("double"), F.log(prior), F.lit(0.0))
+    joined = points.join(listed, "point_id", "left").withColumn("_n", F.concat(F.array(own), F.coalesce("_s", F.array().cast(listed.schema["_s"].dataType))))
+    told = F.when(F.col(prior).isNotNull() & F.col(sd).isNotNull() & F.col("easting").isNotNull() & F.col("northing").isNotNull(), conditioned_in_turn(F.col("_n"), model))
+    return joined.withColumn("_t", told).select(*points.columns, F.col("_t.vs30").alias(f"{model}_mvn_vs30"), F.col("_t.stdv").alias(f"{model}_mvn_stdv"))

@@ -5,10 +5,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .spatial import in_polygons, range_join
+from .spatial import in_polygons
+
+#: Pixels of a block that a task of the distance transform works on.
+BLOCK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -69,24 +76,84 @@ def rasterise(edges: DataFrame, grid: Grid, cell: float) -> DataFrame:
     return in_polygons(pixels(edges.sparkSession, grid), edges, cell, last=True).select("row", "col", F.col("gid").alias("value"))
 
 
+def _envelope(gap: np.ndarray, ratio: float) -> np.ndarray:
+    """Squared distances to the nearest of each row's sources: the least over columns j of gap[.., j] + (ratio * (i - j)) ** 2; gap is infinite where there is none.
+
+    All rows advance together from column to column, each with its stack of parabolas that are lowest somewhere: a new one pops those that
+    it hides, so every column is pushed and popped once at most.
+    """
+    rows, cols = gap.shape
+    place, start, top = np.zeros((rows, cols), np.int32), np.zeros((rows, cols)), np.full(rows, -1)
+    height = gap + (ratio * np.arange(cols)) ** 2
+    for j in range(cols):
+        new = np.flatnonzero(np.isfinite(gap[:, j]))
+        left, begins = new, np.zeros(len(new))
+        asked = np.arange(len(new))
+        while len(left):
+            some = top[left] >= 0
+            left, asked = left[some], asked[some]
+            if not len(left):
+                break
+            under = place[left, top[left]]
+            cross = (height[left, j] - height[left, under]) / (2 * ratio * ratio * (j - under))
+            hidden = cross <= start[left, top[left]]
+            begins[asked[~hidden]] = cross[~hidden]
+            top[left[hidden]] -= 1
+            left, asked = left[hidden], asked[hidden]
+        # the first parabola of a row holds from its left end on
+        begins = np.where(top[new] >= 0, begins, -1.0)
+        top[new] += 1
+        place[new, top[new]], start[new, top[new]] = j, begins
+    # parabola k holds from its start on: the number of starts up to a column names the one that holds there
+    k = np.arange(cols)
+    counted = np.zeros((rows, cols + 1), np.int32)
+    r, c = np.nonzero((k[None, :] <= top[:, None]) & (k[None, :] > 0))
+    np.add.at(counted, (r, np.clip(np.ceil(start[r, c]), 0, cols).astype(int)), 1)
+    lowest = np.take_along_axis(place, np.cumsum(counted[:, :cols], axis=1), axis=1)
+    squared = np.take_along_axis(gap, lowest, axis=1) + (ratio * (k[None, :] - lowest)) ** 2
+    return np.where(top[:, None] >= 0, squared, np.inf)
+
+
+def _gaps(r: np.ndarray, c: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Rows from each place of rows x cols to the nearest source in its column. Sources may lie above row 0 and below the last one."""
+    inside = (r >= 0) & (r < rows)
+    above, below = np.full((rows + 1, cols), -np.inf), np.full((rows + 1, cols), np.inf)
+    above[r[inside] + 1, c[inside]] = below[r[inside], c[inside]] = r[inside]
+    np.maximum.at(above[0], c[r < 0], r[r < 0])
+    np.minimum.at(below[rows], c[r >= rows], r[r >= rows])
+    own = np.arange(rows)[:, None]
+    return np.minimum(own - np.maximum.accumulate(above)[1:], np.minimum.accumulate(below[::-1])[::-1][:-1] - own)
+
+
 def coast_distance(land: DataFrame, grid: Grid, cap: float = 20_000.0) -> DataFrame:
-    """(row, col, distance) of land pixels: metres to the nearest sea pixel's centre, held at cap. land: (row, col, value), sea where value is null or 0.
+    """(row, col, distance) of land pixels: metres to the nearest sea pixel's centre, held at cap. land: (row, col, value), sea where value is null or 0; pixels that are missing are neither.
 
-    Only sea pixels beside land can be nearest to any, so the range join meets the shore alone.
+    An exact distance transform in two linear passes: down and up each column, the rows to the nearest sea; then along the rows the lower envelope
+    of the columns' parabolas. Pixels are dealt to blocks by one exchange. Blocks are at least as high as the cap reaches, so of the bands above and below a block needs
+    one sea pixel a column, the nearest; sea pixels near a block's side border go to the block beyond as well.
     """
-    from functools import reduce
-
-    marked = land.withColumn("sea", F.coalesce(F.col("value") == 0, F.lit(True)))
-    beside = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]))
-    rim = marked.where("NOT sea").withColumn("_b", beside).select((F.col("row") + F.col("_b.r")).alias("row"), (F.col("col") + F.col("_b.c")).alias("col")).distinct()
-    centre = {"easting": grid.x0 + (F.col("col") + 0.5) * grid.dx, "northing": grid.y0 + (F.col("row") + 0.5) * grid.dy}
-    shore = marked.where("sea").join(rim, ["row", "col"], "left_semi").select("row", "col").withColumns(centre)
-    dry = marked.where("NOT sea").select("row", "col").withColumns(centre)
-    # rings of growing radius: a pixel leaves with the first ring that holds a shore pixel, so inland pixels alone meet the wide one
-    rings, done, left = [cap / 16, cap / 4, cap], [], dry
-    for radius in rings:
-        met = range_join(left, shore, radius).groupBy("row", "col").agg(F.min("distance").alias("distance"))
-        done.append(met)
-        left = left.join(met.select("row", "col"), ["row", "col"], "left_anti")
-    done.append(left.select("row", "col", F.lit(cap).alias("distance")))
-    return reduce(DataFrame.unionByName, done)
+    tall, wide = abs(grid.dy), abs(grid.dx)
+    reach, halo = math.ceil(cap / tall), math.ceil(cap / wide)
+    cols = max(4 * halo, 256)
+    rows = max(reach, 1, BLOCK // (min(cols, grid.nx) + 2 * halo))
+    marked = land.where("row IS NOT NULL AND col IS NOT NULL").select("row", "col", F.coalesce(F.col("value") == 0, F.lit(True)).alias("sea"), F.floor(F.col("row") / rows).alias("_band"))
+    ends = marked.where("sea").groupBy("_band", "col").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    carried = lambda row, step: ends.select(row, "col", F.lit(True).alias("sea"), (F.col("_band") + step).alias("_band"))
+    known = marked.unionAll(carried(F.col("last").alias("row"), 1)).unionAll(carried(F.col("first").alias("row"), -1))
+    block = lambda c: F.floor(c / cols)
+    far = F.when(F.col("sea"), halo).otherwise(0)
+    dealt = known.withColumn("_block", F.explode(F.sequence(block(F.col("col") - far), block(F.col("col") + far))))
+
+    def measure(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        r0, c0 = key[0].as_py() * rows, key[1].as_py() * cols - halo
+        r, c, sea = (table.column(n).to_numpy() for n in ("row", "col", "sea"))
+        r, c, dry = r - r0, c - c0, ~sea
+        # columns from the first to the last that a source or a land pixel is in
+        lo = c.min()
+        gap = _gaps(r[sea], c[sea] - lo, rows, c.max() - lo + 1)[: r[dry].max(initial=-1) + 1] * tall
+        found = np.sqrt(_envelope(np.where(gap <= cap, gap, np.inf) ** 2, wide)[r[dry], c[dry] - lo])
+        return pa.table({"row": pa.array(r[dry] + r0, kind[0].type), "col": pa.array(c[dry] + c0, kind[1].type), "distance": np.minimum(found, cap)})
+
+    schema = T.StructType([land.schema["row"], land.schema["col"], T.StructField("distance", T.DoubleType())])
+    kind = to_arrow_schema(schema)
+    return dealt.groupBy("_band", "_block").applyInArrow(measure, schema)

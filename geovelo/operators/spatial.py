@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions import projection
 
+#: Quarterings of the squares that sites are dealt to, evenly spaced from 0.
+LEVELS = (0, 2, 4, 6, 8, 10)
+
 
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size)
@@ -29,10 +32,47 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, right_prefix: s
     return l_.join(r, keys).withColumn("distance", apart).where(F.col("distance") <= radius).drop(*keys)
 
 
+def _in_leaves(sites: DataFrame, radius: float, full: int) -> DataFrame:
+    """sites (with s_easting, s_northing) plus leaf: the widest square (level, x, y) that has at most full sites, of sides from radius down to the last of LEVELS."""
+    square = lambda k: F.struct(F.lit(k).alias("level"), F.floor(F.col("s_easting") / radius * 2**k).alias("x"), F.floor(F.col("s_northing") / radius * 2**k).alias("y"))
+    squares = sites.select("*", F.explode(F.array(*[square(k) for k in LEVELS])).alias("leaf")).where("leaf.x IS NOT NULL AND leaf.y IS NOT NULL")
+    counts = squares.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).withColumn("split", (F.col("size") > full) & (F.col("leaf.level") < LEVELS[-1]))
+    step = LEVELS[1] - LEVELS[0]
+    inner = counts.where("split").select(F.struct((F.col("leaf.level") + step).alias("level"), "leaf.x", "leaf.y").alias("up"))
+    up = F.struct(F.col("leaf.level").alias("level"), F.floor(F.col("leaf.x") / 2**step).alias("x"), F.floor(F.col("leaf.y") / 2**step).alias("y"))
+    whole = counts.where("NOT split").select("leaf", up.alias("up"))
+    leaves = whole.where(f"leaf.level = {LEVELS[0]}").unionAll(whole.join(inner, "up", "left_semi").select("leaf", "up"))
+    return squares.join(leaves.select("leaf"), "leaf")
+
+
 def neighbours(points: DataFrame, sites: DataFrame, radius: float = 10_000.0, most: int = 500) -> DataFrame:
-    """For each point its sites within radius, ties at the most-th distance kept."""
-    by_distance = Window.partitionBy("point_id").orderBy("distance")
-    return range_join(points, sites, radius).withColumn("_k", F.rank().over(by_distance)).where(F.col("_k") <= most).drop("_k")
+    """For each point its nearest sites within radius, most of them, and all at the distance of the last one.
+
+    Where sites are dense a point doesn't meet them all: sites lie in adaptive squares, points meet the squares' boxes, and the squares that are surely
+    near enough to hold most sites tell how far to look. Only sites of squares up to there are ranked.
+    """
+    named = sites.select([F.col(c).alias("s_" + c) for c in sites.columns])
+    leafed = _in_leaves(named, radius, max(8, most // 8))
+    e, n = F.col("s_easting"), F.col("s_northing")
+    boxes = leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min(e).alias("e0"), F.max(e).alias("e9"), F.min(n).alias("n0"), F.max(n).alias("n9"))
+    near = F.sequence(F.lit(-1), F.lit(1))
+    base = lambda c: F.floor(F.col(f"leaf.{c}") / F.pow(F.lit(2.0), "leaf.level"))
+    boxes = boxes.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"_cx": base("x") + F.col("_dx"), "_cy": base("y") + F.col("_dy")})
+    x, y = F.col("easting"), F.col("northing")
+    off = lambda v, a, b: F.greatest(F.lit(0.0), F.col(a) - v, v - F.col(b))
+    far = lambda v, a, b: F.greatest(v - F.col(a), F.col(b) - v)
+    met = points.withColumns({"_cx": _cell(x, radius), "_cy": _cell(y, radius)}).join(boxes, ["_cx", "_cy"])
+    met = met.withColumns({"lo": F.hypot(off(x, "e0", "e9"), off(y, "n0", "n9")), "hi": F.hypot(far(x, "e0", "e9"), far(y, "n0", "n9"))}).where(F.col("lo") <= radius)
+    keys = points.columns
+    listed = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "size", "leaf"))).alias("_b"))
+    none = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("hi"))
+    sure = F.aggregate("_b", none, lambda a, b: F.when(a["size"] >= most, a).otherwise(F.struct((a["size"] + b["size"]).alias("size"), b["hi"].alias("hi"))))
+    listed = listed.withColumn("_s", sure).withColumn("_r", F.when(F.col("_s.size") >= most, F.least(F.lit(radius), F.col("_s.hi"))).otherwise(radius))
+    # boxes' and sites' distances may differ in the last place
+    looked = listed.select(*keys, F.explode(F.filter("_b", lambda b: b["lo"] <= F.col("_r") * (1 + 1e-12))["leaf"]).alias("leaf"))
+    pairs = looked.join(leafed, "leaf").drop("leaf").withColumn("distance", F.hypot(x - e, y - n)).where(F.col("distance") <= radius)
+    by_distance = Window.partitionBy(*keys).orderBy("distance")
+    return pairs.withColumn("_k", F.rank().over(by_distance)).where(F.col("_k") <= most).drop("_k")
 
 
 def nearest(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
@@ -43,23 +83,65 @@ def nearest(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     return best.select("point_id", "_b.*")
 
 
+def _crossing(y: Column) -> tuple[Column, Column]:
+    """(whether an edge passes the height y, where): the lower end counts, the upper doesn't."""
+    return (F.col("y1") > y) != (F.col("y2") > y), (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+
+
+def _pieces(edges: DataFrame, cell: float) -> DataFrame:
+    """edges once for each cell (_cx, _cy) that they touch, a hair's breadth around it included."""
+    hair = cell * 1e-9
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("_cy", F.explode(F.sequence(_cell(lo - hair, cell), _cell(hi + hair, cell))))
+    within = lambda y: F.least(F.greatest(y, lo), hi)
+    ends = [F.when(F.col("y1") == F.col("y2"), x).otherwise(_crossing(y)[1]) for y, x in ((within(F.col("_cy") * cell - hair), F.col("x1")), (within((F.col("_cy") + 1) * cell + hair), F.col("x2")))]
+    return rows.withColumn("_cx", F.explode(F.sequence(_cell(F.least(*ends) - hair, cell), _cell(F.greatest(*ends) + hair, cell))))
+
+
+def cover(edges: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(cells, pieces) of polygons. cells: (gid, feature_ord, _cx, _cy, border, odd), those that a polygon's edges touch and those wholly inside; odd tells whether
+    the middle of a cell's right side lies inside. pieces: the edges by cell.
+
+    Which cells are inside follows, row by row, from the edges that pass the middle of the row.
+    """
+    own = ["gid", "feature_ord"]
+    pieces = _pieces(edges, cell)
+    touched = pieces.groupBy(*own, "_cy").agg(F.array_sort(F.collect_set("_cx")).alias("_t"))
+    rows = edges.withColumn("_cy", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell), _cell(F.greatest("y1", "y2"), cell))))
+    passes, where = _crossing((F.col("_cy") + 0.5) * cell)
+    crossed = rows.where(passes).groupBy(*own, "_cy").agg(F.collect_list(where).alias("_w"))
+    told = touched.join(crossed, [*own, "_cy"], "left").withColumn("_w", F.coalesce("_w", F.array().cast("array<double>")))
+    odd = lambda c: F.size(F.filter("_w", lambda w: w > (c + 1) * cell)) % 2 == 1
+    border = told.select(*own, "_cy", "_w", F.explode("_t").alias("_cx")).select(*own, "_cx", "_cy", F.lit(True).alias("border"), odd(F.col("_cx")).alias("odd"))
+    # between two neighbouring cells that edges touch, all cells are inside or all outside
+    spans = F.filter(F.transform("_t", lambda c, k: F.struct((c + 1).alias("a"), (F.coalesce(F.get("_t", k + 1), c) - 1).alias("b"))), lambda s: (s["a"] <= s["b"]) & odd(s["a"]))
+    inside = told.select(*own, "_cy", F.explode(spans).alias("s")).select(*own, F.explode(F.sequence("s.a", "s.b")).alias("_cx"), "_cy", F.lit(False).alias("border"), F.lit(True).alias("odd"))
+    return border.unionByName(inside), pieces
+
+
 def in_polygons(points: DataFrame, edges: DataFrame, cell: float, id_column: str = "point_id", last: bool = False) -> DataFrame:
     """points plus gid of the polygon they lie in (null if none), by the parity of edges to their right.
 
     edges: (gid, feature_ord, x1, y1, x2, y2), closed rings. Of several polygons the smallest gid counts, or, with last, the one of the highest
-    feature_ord. Polygons' boxes are dealt to cells and edges to bands of that height, so a point meets only edges at its own height.
+    feature_ord. Points meet the cells that cover polygons. In a cell wholly inside there is nothing to test; in one that edges touch, a point goes
+    right to the cell's side and then along it to its middle, and only the cell's own edges can be crossed on the way.
     """
-    box = edges.groupBy("gid", "feature_ord").agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
-    span = lambda a, b: F.explode(F.sequence(_cell(F.col(a), cell), _cell(F.col(b), cell)))
-    boxes = box.withColumn("_cx", span("x0", "x9")).withColumn("_cy", span("y0", "y9"))
+    cells, pieces = cover(edges.select("gid", "feature_ord", "x1", "y1", "x2", "y2"), cell)
     placed = points.select(id_column, F.col("easting").alias("_x"), F.col("northing").alias("_y")).withColumns({"_cx": _cell(F.col("_x"), cell), "_cy": _cell(F.col("_y"), cell)})
-    candidates = placed.join(boxes, ["_cx", "_cy"]).where(F.col("_x").between(F.col("x0"), F.col("x9")) & F.col("_y").between(F.col("y0"), F.col("y9"))).select(id_column, "_x", "_y", "_cy", "gid", "feature_ord")
-    bands = edges.where("y1 != y2").withColumn("_cy", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell), _cell(F.greatest("y1", "y2"), cell))))
-    straddles = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
-    right_of = F.col("_x") < (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    crossed = candidates.join(bands, ["gid", "feature_ord", "_cy"]).where(straddles & right_of).groupBy(id_column, "gid", "feature_ord").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    met = placed.join(cells, ["_cx", "_cy"])
+    x, y, side, middle = F.col("_x"), F.col("_y"), (F.col("_cx") + 1) * cell, (F.col("_cy") + 0.5) * cell
+    (passes, at), (passes_middle, at_middle) = _crossing(y), _crossing(middle)
+    right = lambda passed, where, of: F.coalesce(passed & (of < where), F.lit(False))
+    low, high = F.least(y, middle), F.greatest(y, middle)
+    # beyond the side and between the two heights: what enters there came over one of the heights or over the side
+    beyond = lambda k: (F.col(f"x{k}") > side) & (F.col(f"y{k}") > low) & ~(F.col(f"y{k}") > high)
+    level = right(passes, at, x) != right(passes, at, side)
+    upright = (beyond(1) != beyond(2)) != (right(passes, at, side) != right(passes_middle, at_middle, side))
+    tested = met.where("border").join(pieces, ["gid", "feature_ord", "_cx", "_cy"])
+    crossed = tested.groupBy(id_column, "gid", "feature_ord").agg((F.first("odd").cast("int") + F.count(F.when(level != upright, 1))).alias("_n")).where("_n % 2 = 1")
+    found = crossed.select(id_column, "gid", "feature_ord").unionAll(met.where("NOT border").select(id_column, "gid", "feature_ord"))
     gid = F.max_by("gid", "feature_ord") if last else F.min("gid")
-    return points.join(crossed.groupBy(id_column).agg(gid.alias("gid")), id_column, "left")
+    return points.join(found.groupBy(id_column).agg(gid.alias("gid")), id_column, "left")
 
 
 def project(rows: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:

@@ -104,23 +104,33 @@ def polygons_sql(grown: int = 0) -> str:
 POLYGONS_SQL = polygons_sql()
 
 
-def raster(spark: SparkSession, grid: Grid = GRID) -> DataFrame:
-    """A raster of categories 0 to 16 over the grid; every 97th pixel is missing."""
-    i = F.col("id")
-    cells = spark.range(grid.nx * grid.ny).where(i % 97 != 0)
-    return cells.select(F.floor(i / grid.nx).cast("int").alias("row"), (i % grid.nx).cast("int").alias("col"), ((F.floor(i / grid.nx) * 31 + i % grid.nx * 17) % 17).cast("double").alias("value"))
+_PIXEL = "(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey) % {n}"
 
 
-RASTER_SQL = f"ras AS (SELECT CAST(i // {GRID.nx} AS INTEGER) AS row, CAST(i % {GRID.nx} AS INTEGER) AS col, CAST((i // {GRID.nx} * 31 + i % {GRID.nx} * 17) % 17 AS DOUBLE) AS value FROM range({GRID.nx * GRID.ny}) t(i) WHERE i % 97 <> 0)"
+def _pixels(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
+    """(row, col, t): the pixels that some line of an order falls on, with the sum of its parts. Few lines leave pixels out."""
+    i = F.expr(_PIXEL.format(n=grid.nx * grid.ny))
+    held = read(spark, sf_dir, "lineitem").groupBy(i.alias("i")).agg(F.sum("l_partkey").alias("t"))
+    return held.select(F.floor(F.col("i") / grid.nx).cast("int").alias("row"), (F.col("i") % grid.nx).cast("int").alias("col"), "t")
 
 
-def land(spark: SparkSession, grid: Grid = GRID) -> DataFrame:
-    """1 on land, 0 on sea: a slanted coast in the west and a bay."""
-    i = F.col("id")
-    row, col = F.floor(i / grid.nx), i % grid.nx
-    sea = (col * 3 + row < 90) | ((row - 60) * (row - 60) + (col - 80) * (col - 80) < 30)
-    return spark.range(grid.nx * grid.ny).select(row.cast("int").alias("row"), col.cast("int").alias("col"), F.when(sea, 0.0).otherwise(1.0).alias("value"))
+_PIXELS_SQL = f"(SELECT i // {GRID.nx} AS r, i % {GRID.nx} AS c, t FROM (SELECT {_PIXEL.format(n=GRID.nx * GRID.ny)} AS i, sum(l_partkey) AS t FROM lineitem GROUP BY 1))"
 
 
-LAND_SQL = f"""land AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CASE WHEN c * 3 + r < 90 OR (r - 60) * (r - 60) + (c - 80) * (c - 80) < 30 THEN 0 ELSE 1 END AS value, {GRID.x0}::DOUBLE + (c + 0.5::DOUBLE) * {GRID.dx}::DOUBLE AS x, {GRID.y0}::DOUBLE + (r + 0.5::DOUBLE) * ({GRID.dy}::DOUBLE) AS y
-      FROM (SELECT i // {GRID.nx} AS r, i % {GRID.nx} AS c FROM range({GRID.nx * GRID.ny}) t(i)))"""
+def raster(spark: SparkSession, sf_dir: str, grid: Grid = GRID) -> DataFrame:
+    """A raster of categories 0 to 16 over the grid."""
+    return _pixels(spark, sf_dir, grid).select("row", "col", (F.col("t") % 17).cast("double").alias("value"))
+
+
+RASTER_SQL = f"ras AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(t % 17 AS DOUBLE) AS value FROM {_PIXELS_SQL})"
+
+
+def land(spark: SparkSession, sf_dir: str, grid: Grid = GRID) -> DataFrame:
+    """1 on land, 0 on sea: a slanted coast in the west, a bay and a few ponds."""
+    r, c = F.col("row"), F.col("col")
+    sea = (c * 3 + r < 90) | ((r - 60) * (r - 60) + (c - 80) * (c - 80) < 30) | (F.col("t") % 997 == 0)
+    return _pixels(spark, sf_dir, grid).select("row", "col", F.when(sea, 0.0).otherwise(1.0).alias("value"))
+
+
+LAND_SQL = f"""land AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CASE WHEN c * 3 + r < 90 OR (r - 60) * (r - 60) + (c - 80) * (c - 80) < 30 OR t % 997 = 0 THEN 0 ELSE 1 END AS value, {GRID.x0}::DOUBLE + (c + 0.5::DOUBLE) * {GRID.dx}::DOUBLE AS x, {GRID.y0}::DOUBLE + (r + 0.5::DOUBLE) * ({GRID.dy}::DOUBLE) AS y
+      FROM {_PIXELS_SQL})"""

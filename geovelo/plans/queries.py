@@ -17,8 +17,8 @@ from ..operators import cluster, cpt, ensemble, kriging, models, profile, raster
 from ..sources import polygons as polygon_sources
 from ..sources import sites as site_sources
 from ..sources import soundings as sounding_sources
+from . import api, pipeline
 from . import fixtures as fx
-from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -458,7 +458,7 @@ _G, _T = fx.GRID, fx.FINE
 
 @query(_with(fx.POINTS_SQL, fx.RASTER_SQL) + f"SELECT point_id, value FROM pt LEFT JOIN ras ON ras.col = floor((easting - {_G.x0}) / {_G.dx}) AND ras.row = floor((northing - {_G.y0}) / ({_G.dy}))")
 def raster_lookup(spark, sf):
-    return raster.lookup(fx.points(spark, sf), fx.raster(spark), _G, "value").select("point_id", "value")
+    return raster.lookup(fx.points(spark, sf), fx.raster(spark, sf), _G, "value").select("point_id", "value")
 
 
 _PIXELS = f"px AS (SELECT CAST(i // {_T.nx} AS INTEGER) AS row, CAST(i % {_T.nx} AS INTEGER) AS col, {_T.x0}::DOUBLE + (i % {_T.nx} + 0.5::DOUBLE) * {_T.dx}::DOUBLE AS x, {_T.y0}::DOUBLE + (i // {_T.nx} + 0.5::DOUBLE) * ({_T.dy}::DOUBLE) AS y FROM range({_T.nx * _T.ny}) t(i))"
@@ -466,7 +466,7 @@ _PIXELS = f"px AS (SELECT CAST(i // {_T.nx} AS INTEGER) AS row, CAST(i % {_T.nx}
 
 @query(_with(fx.RASTER_SQL, _PIXELS) + f"SELECT px.row, px.col, value FROM px LEFT JOIN ras ON ras.col = floor((x - {_G.x0}) / {_G.dx}) AND ras.row = floor((y - {_G.y0}) / ({_G.dy}))")
 def raster_resample(spark, sf):
-    return raster.resample(fx.raster(spark), _G, _T)
+    return raster.resample(fx.raster(spark, sf), _G, _T)
 
 
 _INSIDE = "count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1"
@@ -482,10 +482,10 @@ def point_in_polygon(spark, sf):
     return spatial.in_polygons(fx.points(spark, sf).drop("gid"), fx.polygons(spark, sf), 10_000.0).select("point_id", F.col("gid").cast("double").alias("gid"))
 
 
-@query(_with(fx.LAND_SQL, "sea AS (SELECT x, y FROM land a WHERE value = 0 AND EXISTS (SELECT 1 FROM land b WHERE b.value = 1 AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1))")
+@query(_with(fx.LAND_SQL, "sea AS (SELECT x, y FROM land WHERE value = 0)")
        + f"SELECT l.row, l.col, {_s('least(20000, min(sqrt(power(l.x - s.x, 2) + power(l.y - s.y, 2))))', 'distance', 3)} FROM land l, sea s WHERE l.value = 1 GROUP BY l.row, l.col")
 def coast_distance(spark, sf):
-    return raster.coast_distance(fx.land(spark), _G).select("row", "col", _r("distance", 3))
+    return raster.coast_distance(fx.land(spark, sf), _G).select("row", "col", _r("distance", 3))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, 166.5::DOUBLE + c_custkey % 1200 / 100.0::DOUBLE AS lon, -47::DOUBLE + c_custkey * 7 % 1300 / 100.0::DOUBLE AS lat FROM customer),
@@ -539,10 +539,55 @@ def mvn_single(spark, sf):
     return out.select("point_id", _r("vs30"), _r("stdv"))
 
 
-@query()
+def _in_turn_sql(name: str, points: str, sites: str, model: str, most: int = 500) -> list[str]:
+    """name (id, v, s): points (id, x, y, v, s) corrected by sites (id, x, y, obs, unc, v, s), one site after the other. Matrices are flat lists; step j takes site j's part off."""
+    node = lambda x, y, w, s, log, r: f"{{'x': {x}::DOUBLE, 'y': {y}::DOUBLE, 'w': {w}::DOUBLE, 's': {s}::DOUBLE, 'l': {log}::DOUBLE, 'r': {r}::DOUBLE}}"
+    omega, a, b = "sqrt(q.s * q.s / (q.s * q.s + q.unc * q.unc))", "nodes[i // k + 1]", "nodes[i % k + 1]"
+    shared = f"exp(-greatest(0.1::DOUBLE, sqrt(power({a}.x - {b}.x, 2) + power({a}.y - {b}.y, 2))) / {kriging.LENGTHS[model]}) * {a}.s * {b}.s * CASE WHEN i // k = i % k THEN 1 ELSE {a}.w * {b}.w END * exp(-1.5::DOUBLE * abs({a}.l - {b}.l))"
+    return [
+        f"{name}1 AS (SELECT p.id, q.id AS site, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) AS d, {node('q.x', 'q.y', omega, 'q.s', 'ln(q.v)', f'{omega} * ln(q.obs / q.v)')} AS node FROM {points} p, {sites} q WHERE p.v IS NOT NULL AND q.v IS NOT NULL AND q.s IS NOT NULL AND sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) <= 10000)",
+        f"{name}2 AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY d) AS k FROM {name}1)",
+        f"{name}3 AS (SELECT id, list(node ORDER BY d, site) AS others FROM {name}2 WHERE k <= {most} GROUP BY id)",
+        f"{name}4 AS (SELECT id, list_concat([{node('x', 'y', '1', 's', 'ln(v)', '0')}], coalesce(others, [])) AS nodes FROM {points} LEFT JOIN {name}3 USING (id) WHERE v IS NOT NULL)",
+        f"{name}5 AS (SELECT id, len(nodes) AS k, nodes FROM {name}4)",
+        f"{name}6 AS (SELECT id, k, nodes[1].l AS l, list_transform(nodes, lambda n: n.r) AS r, list_transform(range(k * k), lambda i: {shared}) AS c FROM {name}5)",
+        f"""{name}7 AS (SELECT id, CAST(1 AS BIGINT) AS j, k, l, r, c, list_transform(r, lambda x: 0::DOUBLE) AS m FROM {name}6 UNION ALL
+          SELECT id, j + 1, k, l, r, list_transform(range(k * k), lambda i: c[i + 1] - c[i // k * k + j + 1] * c[j * k + i % k + 1] / c[j * k + j + 1]), list_transform(range(k), lambda t: m[t + 1] + c[j * k + t + 1] / c[j * k + j + 1] * (r[j + 1] - m[j + 1])) FROM {name}7 WHERE j < k)""",
+        f"{name} AS (SELECT id, exp(l + m[1]) AS v, sqrt(c[1]) AS s FROM {name}7 WHERE j = k)",
+    ]
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def _mvn_sql(most: int) -> str:
+    return _recursive(fx.POINTS_SQL, fx.SITES_SQL, _table_sql("mo", models.GEOLOGY_POSTERIOR),
+                      "qp AS (SELECT point_id AS id, easting AS x, northing AS y, m AS v, s FROM pt LEFT JOIN mo ON mo.id = pt.gid)", "qs AS (SELECT site_id AS id, easting AS x, northing AS y, vs30 AS obs, uncertainty AS unc, m AS v, s FROM site LEFT JOIN mo ON mo.id = site.gid)",
+                      *_in_turn_sql("t", "qp", "qs", "geology", most)) + f"SELECT qp.id AS point_id, {_s('t.v', 'vs30', 4)}, {_s('t.s', 'stdv', 4)} FROM qp LEFT JOIN t ON t.id = qp.id"
+
+
+def _mvn(spark, sf, correct, **how) -> DataFrame:
+    out = correct(_prior(spark, fx.points(spark, sf)), _prior(spark, fx.sites(spark, sf)), "geology", **how)
+    return out.select("point_id", _r("geology_mvn_vs30", 4, "vs30"), _r("geology_mvn_stdv", 4, "stdv"))
+
+
+@query(_mvn_sql(500))
 def mvn_full(spark, sf):
-    out = kriging.correct(_prior(spark, fx.points(spark, sf)), _prior(spark, fx.sites(spark, sf)), "geology")
-    return out.select("point_id", _r("geology_mvn_vs30", name="vs30"), _r("geology_mvn_stdv", name="stdv"))
+    """The correction by all sites in reach, as one system a point; in the SQL, one site after the other."""
+    return _mvn(spark, sf, kriging.correct)
+
+
+@query(_mvn_sql(12))
+def mvn_in_turn(spark, sf):
+    """The same by at most a dozen sites, in native columns."""
+    return _mvn(spark, sf, kriging.correct_in_turn)
+
+
+@query(_mvn_sql(3))
+def mvn_in_turn_bounded(spark, sf):
+    """More sites in reach than are taken."""
+    return _mvn(spark, sf, kriging.correct_in_turn, most=3)
 
 
 @query(_with(fx.SITES_SQL, "u AS (SELECT NULL AS station, NULL::INTEGER AS q, easting, northing, vs30, 0.2::DOUBLE AS uncertainty FROM site WHERE site_id % 2 = 0 UNION ALL SELECT 'S' || site_id, CAST(1 + site_id % 3 AS INTEGER), easting, northing, vs30, CASE site_id % 3 WHEN 2 THEN 0.5::DOUBLE ELSE (1 + site_id % 3) / 10.0::DOUBLE END FROM site WHERE site_id % 2 = 1)")
@@ -559,15 +604,15 @@ def site_union(spark, sf):
 
 
 def _layers(spark, sf) -> pipeline.Layers:
-    slope = fx.raster(spark).withColumn("value", F.col("value") / 40)
+    slope = fx.raster(spark, sf).withColumn("value", F.col("value") / 40)
     edges = fx.polygons(spark, sf).withColumn("gid", (F.col("gid") % 16).cast("int"))
-    coast = raster.coast_distance(fx.land(spark), _G).withColumnRenamed("distance", "value")
-    return pipeline.Layers(edges, fx.raster(spark), _G, slope, _G, coast, _G)
+    coast = raster.coast_distance(fx.land(spark, sf), _G).withColumnRenamed("distance", "value")
+    return pipeline.Layers(edges, fx.raster(spark, sf), _G, slope, _G, coast, _G)
 
 
 def _estimate_columns(out: DataFrame, *keys: str) -> DataFrame:
     names = [f"{m}{x}{c}" for m in ("geology_", "terrain_", "") for x in ("", "mvn_") for c in ("vs30", "stdv")]
-    return out.select(*keys, "gid", "tid", *[_r(n, 4) for n in names])
+    return out.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("gid", "tid")], *[_r(n, 4) for n in names])
 
 
 @query()
@@ -596,7 +641,7 @@ ORACLE_SQL["sounding_pipeline"] = _with(*_cpt_profiles_sql(ALL_CPT), *TRUNCATED,
 
 _LAYERS_SQL = [
     fx.POLYGONS_SQL, fx.RASTER_SQL, fx.LAND_SQL,
-    "sea AS (SELECT x, y FROM land a WHERE value = 0 AND EXISTS (SELECT 1 FROM land b WHERE b.value = 1 AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1))",
+    "sea AS (SELECT x, y FROM land WHERE value = 0)",
     "far AS (SELECT l.row, l.col, least(20000, min(sqrt(power(l.x - s.x, 2) + power(l.y - s.y, 2)))) AS coast FROM land l, sea s WHERE l.value = 1 GROUP BY l.row, l.col)",
 ]
 
@@ -653,6 +698,37 @@ def grid_models(spark, sf):
     return _modelled(pipeline.modelled(raster.pixels(spark, _T), layers, tables, settings), "row", "col")
 
 
+# --- whole estimates with the correction, one site after the other in the SQL ------------------------------------------
+
+_SITE_PLACES = "sp AS (SELECT site_id AS id, easting AS x, northing AS y, vs30, uncertainty FROM site)"
+
+
+def _corrected_sql(points: str, sites: str) -> list[str]:
+    """fin: points with the values of both models as they are (g, t), corrected (gc, tc), and combined."""
+    both = [(m, m[0]) for m in ("geology", "terrain")]
+    inputs = [f"{k}_{what} AS (SELECT id, x, y, {more}{m}_vs30 AS v, {m}_stdv AS s FROM {table})" for m, k in both for what, table, more in (("p", points, ""), ("q", sites, "vs30 AS obs, uncertainty AS unc, "))]
+    turns = [c for m, k in both for c in _in_turn_sql(f"{k}c", f"{k}_p", f"{k}_q", m)]
+    return [*inputs, *turns, f"fin AS (SELECT r.*, gc.v AS geology_mvn_vs30, gc.s AS geology_mvn_stdv, tc.v AS terrain_mvn_vs30, tc.s AS terrain_mvn_stdv, (ln(gc.v) + ln(tc.v)) / 2 AS mvn_mean FROM {points} r LEFT JOIN gc ON gc.id = r.id LEFT JOIN tc ON tc.id = r.id)"]
+
+
+def _estimate_sql(*keys: str) -> str:
+    spread = lambda x, mean: f"sqrt(0.5::DOUBLE * (power(ln(geology_{x}vs30) - {mean}, 2) + power(geology_{x}stdv, 2)) + 0.5::DOUBLE * (power(ln(terrain_{x}vs30) - {mean}, 2) + power(terrain_{x}stdv, 2)))"
+    each = [_s(f"{m}_{x}{c}", f"{m}_{x}{c}", 4) for m in ("geology", "terrain") for x in ("", "mvn_") for c in ("vs30", "stdv")]
+    both = [y for x, mean in (("", "mean"), ("mvn_", "mvn_mean")) for y in (_s(f"exp({mean})", f"{x}vs30", 4), _s(spread(x, mean), f"{x}stdv", 4))]
+    return ", ".join([*keys, "CAST(gid AS DOUBLE) AS gid", "CAST(tid AS DOUBLE) AS tid", *each, *both])
+
+
+ORACLE_SQL["points_pipeline"] = (
+    _recursive(fx.POINTS_SQL, fx.SITES_SQL, _PLACES, _SITE_PLACES, *_LAYERS_SQL, _HYBRID, _table_sql("mo", models.GEOLOGY_POSTERIOR), _table_sql("te", models.TERRAIN_POSTERIOR), *_placed_sql("place", "r", "mo", "te"), *_placed_sql("sp", "known", "mo", "te"), *_corrected_sql("r", "known"))
+    + f"SELECT {_estimate_sql('id AS point_id')} FROM fin"
+)
+ORACLE_SQL["grid_pipeline"] = (
+    _recursive(fx.SITES_SQL, _SITE_PLACES, _PIXELS, f"pix AS (SELECT row * {_T.nx} + col AS id, * FROM px)", *_LAYERS_SQL, _HYBRID, _table_sql("gp", models.GEOLOGY_PRIOR), _table_sql("tp", models.TERRAIN_PRIOR), *_placed_sql("sp", "placed", "gp", "tp"),
+               _posterior_sql("gp", "gid", "mo"), _posterior_sql("tp", "tid", "te"), *_placed_sql("pix", "r", "mo", "te"), *_placed_sql("sp", "known", "mo", "te"), *_corrected_sql("r", "known"))
+    + f"SELECT {_estimate_sql('row', 'col')} FROM fin"
+)
+
+
 @query(_with(fx.POINTS_SQL, fx.SITES_SQL, _table_sql("mo", models.GEOLOGY_POSTERIOR), _NEAR.format(most=2),
              "n AS (SELECT point_id, row_number() OVER (PARTITION BY point_id ORDER BY d, site_id) AS k, d, easting, northing, vs30 AS obs, m AS im, s, sqrt(s * s / (s * s + uncertainty * uncertainty)) AS om FROM near JOIN site USING (site_id) JOIN mo ON mo.id = gid)",
              "x AS (SELECT pt.point_id, g.m, g.s, exp(-0.1::DOUBLE / 1407) AS r0, a.d AS d1, b.d AS d2, a.s AS s1, b.s AS s2, a.om AS o1, b.om AS o2, a.im AS m1, b.im AS m2, a.om * ln(a.obs / a.im) AS e1, b.om * ln(b.obs / b.im) AS e2, sqrt(power(a.easting - b.easting, 2) + power(a.northing - b.northing, 2)) AS d12 FROM pt LEFT JOIN mo g ON g.id = pt.gid LEFT JOIN n a ON a.point_id = pt.point_id AND a.k = 1 LEFT JOIN n b ON b.point_id = pt.point_id AND b.k = 2)",
@@ -751,7 +827,7 @@ def combine_by_precision(spark, sf):
 
 @query(_with(fx.RASTER_SQL, _PIXELS) + f"SELECT px.row, px.col, nullif(value, 3) AS value FROM px LEFT JOIN ras ON ras.col = floor((x - {_G.x0}) / {_G.dx}) AND ras.row = floor((y - {_G.y0}) / ({_G.dy}))")
 def raster_no_data(spark, sf):
-    return raster.resample(raster.no_data(fx.raster(spark), 3.0), _G, _T)
+    return raster.resample(raster.no_data(fx.raster(spark, sf), 3.0), _G, _T)
 
 
 _GROWN = 6_000
@@ -778,16 +854,16 @@ def polygon_edges(spark, sf):
     return polygon_sources.edges(sides, polygon_sources.wkt_rings(text))
 
 
-_SNAPPED = raster.Grid.over(fx.X0 + 300, fx.X0 + 190_250, fx.Y0 + 400, fx.Y0 + 180_100, 2000, 2500).covering(fx.X0 - 1000, fx.X0 + 195_000, fx.Y0 - 7000, fx.Y0 + 181_000)
-
-
-@query(f"""WITH g AS (SELECT {fx.X0 + 300} AS x0, {fx.Y0 + 180_100} AS y0, round_even((190250 - 300) / 2000.0, 0) AS nx, round_even((180100 - 400) / 2500.0, 0) AS ny),
-s AS (SELECT *, greatest(0, ceil(1300 / 2000.0)) AS l, greatest(0, ceil(900 / 2500.0)) AS u, greatest(0, ceil((195000 - 300) / 2000.0) - nx) AS r, greatest(0, ceil((180100 + 7000) / 2500.0) - ny) AS d FROM g),
-k AS (SELECT x0 - l * 2000 AS x0, y0 + u * 2500 AS y0, CAST(nx + l + r AS BIGINT) AS nx, CAST(ny + u + d AS BIGINT) AS ny FROM s)
-SELECT CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, CAST(x0 + (j + 0.5) * 2000 AS DOUBLE) AS easting, CAST(y0 - (i + 0.5) * 2500 AS DOUBLE) AS northing FROM k, unnest(range(ny)) a(i), unnest(range(nx)) b(j)""")
+@query(_with(fx.SITES_SQL, fx.POINTS_SQL, "b AS (SELECT min(easting) AS x0, max(easting) AS x9, min(northing) AS y9, max(northing) AS y0 FROM site)", "w AS (SELECT min(easting) AS a, max(easting) AS b, min(northing) AS c, max(northing) AS d FROM pt)",
+             "g AS (SELECT *, round_even((x9 - x0) / 2000, 0) AS nx, round_even((y0 - y9) / 2500, 0) AS ny FROM b, w)",
+             "s AS (SELECT *, greatest(0, ceil((x0 - a) / 2000)) AS l, greatest(0, ceil((d - y0) / 2500)) AS u, greatest(0, ceil((b - x0) / 2000) - nx) AS r, greatest(0, ceil((y0 - c) / 2500) - ny) AS o FROM g)",
+             "k AS (SELECT x0 - l * 2000 AS x0, y0 + u * 2500 AS y0, CAST(nx + l + r AS BIGINT) AS nx, CAST(ny + u + o AS BIGINT) AS ny FROM s)")
+       + "SELECT CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, CAST(x0 + (j + 0.5) * 2000 AS DOUBLE) AS easting, CAST(y0 - (i + 0.5) * 2500 AS DOUBLE) AS northing FROM k, unnest(range(ny)) a(i), unnest(range(nx)) b(j)")
 def grid_extent(spark, sf):
-    """Numbers of rows and columns from an extent, grown by whole cells to cover another."""
-    return raster.pixels(spark, _SNAPPED).select("row", "col", "easting", "northing")
+    """Numbers of rows and columns from the extent of the sites, grown by whole cells to cover that of the points."""
+    extent = lambda rows: rows.agg(*[f(c) for c in ("easting", "northing") for f in (F.min, F.max)]).first()
+    grid = raster.Grid.over(*extent(fx.sites(spark, sf)), 2000, 2500).covering(*extent(fx.points(spark, sf)))
+    return raster.pixels(spark, grid).select("row", "col", "easting", "northing")
 
 
 # --- text forms and back ---------------------------------------------------------------------------------------------
@@ -816,3 +892,79 @@ def profile_json(spark, sf):
 def profile_table(spark, sf):
     out = sounding_sources.profile_table(profile.truncate(_profiles(spark, sf), KEYS))
     return out.select(_r("Depth", 4), _r("Vs", 4), _r("Vs_SD"))
+
+
+# --- the calls behind a form -------------------------------------------------------------------------------------------
+
+
+def _lines_sql(table: str, key: str, measures: dict[str, str]) -> list[str]:
+    """st: staggered lines of each measure over the rows of table by key, the first row left out where it is 0 and not the only one."""
+    each = []
+    for name, value in measures.items():
+        kept = f"(SELECT * FROM (SELECT *, {value} AS value, row_number() OVER o AS rn, count(*) OVER (PARTITION BY {key}) AS cnt FROM {table} WINDOW o AS (PARTITION BY {key} ORDER BY pos)) WHERE NOT coalesce(rn = 1 AND value = 0 AND cnt > 1, false))"
+        lines = f"(SELECT {key}, value, row_number() OVER o - 1 AS k, coalesce((depth + lag(depth) OVER o) / 2, 0) AS z_top, coalesce((depth + lead(depth) OVER o) / 2, depth) AS z_bot FROM {kept} WINDOW o AS (PARTITION BY {key} ORDER BY pos))"
+        each += [f"SELECT {key}, '{name}' AS measure, CAST(2 * k + {end} AS INTEGER) AS point, {z} AS depth, value FROM {lines}" for end, z in ((0, "z_top"), (1, "z_bot"))]
+    return ["st AS (" + " UNION ALL ".join(each) + ")"]
+
+
+def _lines(out: DataFrame, key: str) -> DataFrame:
+    return out.select(key, "measure", F.col("point").cast("int").alias("point"), _r("depth"), _r("value"))
+
+
+_IN_MPA = ("m AS (SELECT *, max(CASE WHEN pos = 51 THEN u END) OVER p AS mu, CASE WHEN count(*) OVER p > 100 THEN max(CASE WHEN pos = 101 THEN fs END) OVER p ELSE max(CASE WHEN pos = 6 THEN fs END) OVER p END AS mf FROM x WINDOW p AS (PARTITION BY cpt_id))",
+           "cr AS (SELECT cpt_id, pos, depth, qc, CASE WHEN mf > 1 THEN fs / 1000 ELSE fs END AS fs, CASE WHEN coalesce(mu < 10, true) THEN u WHEN mu / 1000 < 10 THEN u / 1000 ELSE u / 1000 / 1000 END AS u FROM m)")
+
+
+def _mixed_units(spark, sf) -> DataFrame:
+    rows = cpt.valid(fx.soundings(spark, sf))
+    return rows.withColumns({"fs": F.when(F.col("cpt_id") % 2 == 0, F.col("fs") * 1000).otherwise(F.col("fs")), "u": F.when(F.col("cpt_id") % 3 == 0, 1e5 + F.col("u")).otherwise(F.col("u"))})
+
+
+@query(_with(SND, VALID, _UNITS, *_IN_MPA) + f"SELECT cpt_id, pos, {_s('depth', 'depth')}, {_s('qc', 'qc')}, {_s('fs', 'fs')}, {_s('u', 'u')} FROM cr")
+def api_create_cpt(spark, sf):
+    return api.create_cpt(_mixed_units(spark, sf)).select("cpt_id", "pos", *[_r(c) for c in ("depth", "qc", "fs", "u")])
+
+
+@query(_with(SND, VALID, _UNITS, *_IN_MPA, *_lines_sql("cr", "cpt_id", {c: c for c in ("qc", "fs", "u")})) + f"SELECT cpt_id, measure, point, {_s('depth', 'depth')}, {_s('value', 'value')} FROM st")
+def api_cpt_midpoints(spark, sf):
+    return _lines(api.cpt_midpoints(api.create_cpt(_mixed_units(spark, sf))), "cpt_id")
+
+
+@query(_with(fx.BOREHOLES_SQL, _SILENT, N60.replace("FROM bh", "FROM silent")) + f"SELECT spt_id, pos, {_s('n', 'n')}, {_s('n60', 'n60', 2)}, soil, hammer FROM n6")
+def api_create_spt(spark, sf):
+    return api.create_spt(_silent(spark, sf)).select("spt_id", "pos", _r("n"), _r("n60", 2), "soil", "hammer")
+
+
+@query(_with(fx.BOREHOLES_SQL, _SILENT, N60.replace("FROM bh", "FROM silent"), *_lines_sql("n6", "spt_id", {"n": "n", "n60": "n60"})) + f"SELECT spt_id, measure, point, {_s('depth', 'depth')}, {_s('value', 'value')} FROM st")
+def api_spt_midpoints(spark, sf):
+    return _lines(api.spt_midpoints(_silent(spark, sf)), "spt_id")
+
+
+@query(_with(*NATIVE_SQL, _layers_sql(), "n AS (SELECT *, cpt_id || '_' || vs_correlation AS label, row_number() OVER (PARTITION BY cpt_id, vs_correlation ORDER BY pos) - 1 AS k FROM l)", "b AS (SELECT label, CAST(2 * k AS INTEGER) AS point, z_top AS depth, vs, vs_sd FROM n UNION ALL SELECT label, CAST(2 * k + 1 AS INTEGER), z_bot, vs, vs_sd FROM n)")
+       + f"SELECT label, point, {_s('depth', 'depth')}, {_s('vs', 'vs', 4)}, {_s('vs * exp(-vs_sd)', 'vs_below', 4)}, {_s('vs * exp(vs_sd)', 'vs_above', 4)} FROM b")
+def api_profile_midpoints(spark, sf):
+    out = api.profile_midpoints(profile.truncate(_profiles(spark, sf), KEYS), "cpt_id")
+    return out.select("label", F.col("point").cast("int").alias("point"), _r("depth"), *[_r(c, 4) for c in ("vs", "vs_below", "vs_above")])
+
+
+@query(_with(*_short_sql(["mcgann_2015"])) + f"SELECT 'p' || cpt_id AS name, pos, z, {_s('depth', 'depth', 4)}, {_s('vs', 'vs', 4)}, {_s('vs_sd', 'vs_sd')} FROM t")
+def api_create_profile(spark, sf):
+    """Profiles as they are uploaded: by name, not yet cut."""
+    rows = cpt.profiles(cpt.valid(fx.soundings(spark, sf, 1.0, 0.01, True)), ["mcgann_2015"]).withColumn("name", F.concat(F.lit("p"), "cpt_id"))
+    return api.create_profile(rows.select("name", "pos", "depth", "vs", "vs_sd")).select("name", "pos", "z", _r("depth", 4), _r("vs", 4), _r("vs_sd"))
+
+
+def _named(spark, sf) -> DataFrame:
+    return _short(spark, sf).withColumn("name", F.col("cpt_id").cast("string"))
+
+
+@query(_average_sql().replace("cpt_id % 5 AS grp", "0 AS grp").replace("SELECT grp, CAST(row_number", "SELECT CAST(row_number").replace(_s("vs_sd", "vs_sd"), f"{_s('vs * exp(-vs_sd)', 'vs_below', 4)}, {_s('vs * exp(vs_sd)', 'vs_above', 4)}"))
+def api_average(spark, sf):
+    """One mean curve of all profiles, with its band."""
+    curve = api.average(_named(spark, sf).withColumn("vs30_correlation", F.lit(None).cast("string")), _weights(spark, sf), KEYS)
+    return curve.select(F.col("point").cast("int").alias("point"), _r("depth"), *[_r(c, 4) for c in ("vs", "vs_below", "vs_above")])
+
+
+@query(ORACLE_SQL["weighted_vs30"])
+def api_vs30(spark, sf):
+    return api.vs30(_named(spark, sf), _weights(spark, sf), ("cpt_id", "name", "vs_correlation"), ["boore_2004", "boore_2011"]).select(_r("vs30"), _r("vs30_sd"))

@@ -257,3 +257,161 @@ def test_coast_rings_equal_the_nearest_sea(spark):
     for (r, c), d in got.items():
         assert d == pytest.approx(min(8_000, min(1000 * math.hypot(r - a, c - b) for a, b in wet)))
     assert len(got) == 1200 - len(wet)
+
+
+def _brute_dbscan(rows, eps, least):
+    """{site_id: cluster} of (site_id, id, x, y), by comparison of all with all."""
+    near = {a[0]: [b[0] for b in rows if a[1] == b[1] and np.hypot(a[2] - b[2], a[3] - b[3]) <= eps] for a in rows}
+    core = {k for k, v in near.items() if len(v) >= least}
+    label = {}
+    for k in sorted(core):
+        todo = [k] if k not in label else []
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = k
+                todo += [y for y in near[x] if y in core]
+    for k, v in near.items():
+        if k not in core:
+            reached = [label[x] for x in v if x in core]
+            if reached:
+                label[k] = min(reached)
+    ids = {r[0]: r[1] for r in rows}
+    ranks = {c: sorted({v for k, v in label.items() if ids[k] == c}) for c in set(ids.values())}
+    return {k: ranks[ids[k]].index(label[k]) if k in label else -1 for k in ids}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_equal_brute_force(spark, seed):
+    """Dense and sparse cells, cells that face each other just within or beyond eps, repeated places."""
+    rng = np.random.default_rng(seed)
+    spots = rng.uniform(-60, 60, (12, 2))
+    rows = []
+    for k, (x, y) in enumerate(spots):
+        for _ in range(int(rng.integers(1, 40))):
+            rows.append((x + rng.normal(0, rng.choice([0, 1, 4])), y + rng.normal(0, 3)))
+    # two walls of sites eps apart, but for one gap in the second half of the runs
+    rows += [(200.0, 0.01 * k) for k in range(120)] + [(210.0 + (1e-7 if seed % 2 else 0), 40 + 0.01 * k) for k in range(120)] + [(205.0, 33.0 + k) for k in range(3) if seed > 1]
+    rows += [(300 + 10.0 * i, 10.0 * j) for i in range(6) for j in range(6)]
+    told = [(k, int(k % 2 if k < 60 else 1), float(x), float(y)) for k, (x, y) in enumerate(rows)]
+    odd = [(9000, None, 0.0, 0.0), (9001, 255, 0.0, 0.0), (9002, 1, None, 0.0)]
+    got = cluster.dbscan(spark.createDataFrame([*told, *odd], "site_id long, gid int, easting double, northing double"), "gid", 5, 10.0).collect()
+    want = _brute_dbscan(told, 10.0, 5) | {k: -1 for k, *_ in odd}
+    assert {r.site_id: r.cluster for r in got} == want
+
+
+def test_two_hot_cells_are_linked_without_pairs(spark):
+    """20,000 sites in each of two cells, of which only the last halving tells that none are within eps."""
+    k = F.col("id")
+    left = spark.range(20_000).select(k.alias("site_id"), F.lit(1).alias("gid"), (-(k % 100) * 0.01).alias("easting"), (k / 20_000).alias("northing"))
+    far = lambda gap: left.select((F.col("site_id") + 50_000).alias("site_id"), "gid", (F.lit(10.0 + gap) + F.col("site_id") % 100 * 0.01).alias("easting"), "northing")
+    apart = cluster.dbscan(left.unionByName(far(0.0005)), "gid", 5, 10.0).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, apart)) == [(0, 20_000), (1, 20_000)]
+    together = cluster.dbscan(left.unionByName(far(0.0)), "gid", 5, 10.0).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, together)) == [(0, 40_000)]
+
+
+@pytest.mark.parametrize(("nx", "ny", "dx", "dy", "cap"), [(70, 50, 100.0, -100.0, 1500.0), (300, 40, 50.0, -80.0, 700.0), (9, 1, 10.0, -10.0, 35.0), (400, 3, 25.0, -25.0, 2000.0)])
+def test_coast_distances_equal_brute_force(spark, monkeypatch, nx, ny, dx, dy, cap):
+    monkeypatch.setattr(raster, "BLOCK", 3000 if ny > 5 else 30)
+    rng = np.random.default_rng(nx)
+    grid = raster.Grid(0.0, 0.0, dx, dy, nx, ny)
+    rows = [(r, c, float(rng.choice([0, 1], p=[0.01, 0.99])) if c < nx * 0.8 else 1.0) for r in range(ny) for c in range(nx) if (r + c) % 37]
+    rows = [(r, c, None if v == 0 and (r + c) % 2 else v) for r, c, v in rows]
+    sea = np.array([(c * dx, r * dy) for r, c, v in rows if not v])
+    got = {(r.row, r.col): r.distance for r in raster.coast_distance(spark.createDataFrame(rows, "row int, col int, value double").repartition(3), grid, cap).collect()}
+    land = [(r, c) for r, c, v in rows if v]
+    assert set(got) == set(land)
+    for r, c in land:
+        want = min(cap, np.hypot(sea[:, 0] - c * dx, sea[:, 1] - r * dy).min()) if len(sea) else cap
+        assert got[r, c] == pytest.approx(want, abs=1e-6)
+
+
+def test_coast_distances_without_sea_or_land(spark):
+    grid = raster.Grid(0.0, 0.0, 10.0, -10.0, 3, 1)
+    table = lambda rows: spark.createDataFrame(rows, "row int, col int, value double")
+    assert [r.distance for r in raster.coast_distance(table([(0, 0, 1.0), (0, 2, 1.0)]), grid, 25.0).collect()] == [25.0, 25.0]
+    assert raster.coast_distance(table([(0, 0, 0.0), (0, 1, None)]), grid).count() == 0
+    assert raster.coast_distance(table([]), grid).count() == 0
+
+
+def _odd_even(x, y, edges):
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+
+@pytest.mark.parametrize("cell", [0.7, 3.0, 50.0])
+def test_polygons_by_cells_equal_the_parity_of_all_edges(spark, cell):
+    """Jagged, overlapping polygons with holes, horizontal and upright sides, corners on cell borders, and points on corners, sides and cell borders."""
+    rng = np.random.default_rng(3)
+    rings = {}
+    for gid in range(1, 7):
+        n = int(rng.integers(3, 25))
+        angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+        reach, at = rng.uniform(1, 8, n), rng.uniform(-6, 6, 2)
+        corners = np.column_stack((at[0] + reach * np.cos(angle), at[1] + reach * np.sin(angle)))
+        rings[gid] = [np.round(corners, int(rng.integers(0, 3))).tolist()]
+    rings[7] = [[[-6, -6], [6, -6], [6, 6], [-6, 6]], [[-3, -3], [0, -3], [0, 3], [-3, 3]]]
+    rings[8] = [[[0.7, 0.7], [2.1, 0.7], [2.1, 1.4], [2.8, 1.4], [2.8, 2.1], [0.7, 2.1]]]
+    edges = [(g, g, *map(float, a), *map(float, b)) for g, told in rings.items() for ring in told for a, b in zip(ring, ring[1:] + ring[:1])]
+    spots = [*map(tuple, rng.uniform(-15, 15, (400, 2))), *[(float(x) * 0.5, float(y) * 0.5) for x in range(-14, 15) for y in range(-14, 15)], *[(e[2], e[3]) for e in edges], *[((e[2] + e[4]) / 2, (e[3] + e[5]) / 2) for e in edges], *[(0.7 * k, 0.35 * j) for k in range(6) for j in range(6)]]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)], "point_id long, easting double, northing double")
+    table = spark.createDataFrame(edges, "gid int, feature_ord int, x1 double, y1 double, x2 double, y2 double")
+    inside = [[g for g in rings if _odd_even(x, y, [e[2:] for e in edges if e[0] == g])] for x, y in spots]
+    assert {r.point_id: r.gid for r in spatial.in_polygons(points, table, cell).collect()} == {k: min(v, default=None) for k, v in enumerate(inside)}
+    assert {r.point_id: r.gid for r in spatial.in_polygons(points, table, cell, last=True).collect()} == {k: max(v, default=None) for k, v in enumerate(inside)}
+
+
+def test_points_in_inner_cells_meet_no_edges(spark):
+    square = [(1, 0, 0.0, 0.0, 100.0, 0.0), (1, 0, 100.0, 0.0, 100.0, 100.0), (1, 0, 100.0, 100.0, 0.0, 100.0), (1, 0, 0.0, 100.0, 0.0, 0.0)]
+    cells, pieces = spatial.cover(spark.createDataFrame(square, "gid int, feature_ord int, x1 double, y1 double, x2 double, y2 double"), 7.0)
+    inner = {(r._1, r._2) for r in cells.where("NOT border").select(F.col("_cx").alias("_1"), F.col("_cy").alias("_2")).collect()}
+    touched = {(r[0], r[1]) for r in pieces.select("_cx", "_cy").collect()}
+    assert inner == {(x, y) for x in range(1, 14) for y in range(1, 14)} and not inner & touched
+
+
+@pytest.mark.parametrize("most", [1, 3, 70])
+def test_nearest_sites_where_they_are_dense(spark, most):
+    rng = np.random.default_rng(most)
+    places = [*rng.uniform(0, 300, (150, 2)), *(rng.normal(0, 0.01, (500, 2)) + 120), *(rng.normal(0, 5, (300, 2)) + 200), *[(50.0, 50.0)] * 90, *[(60.0, 50.0), (40.0, 50.0), (50.0, 60.0)] * 2]
+    sites = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(places)] + [(9999, None, 1.0)], "site_id long, easting double, northing double")
+    spots = [*rng.uniform(-20, 320, (60, 2)), (120.0, 120.0), (50.0, 50.0), (50.0, 70.0), (1e6, 0.0)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)], "point_id long, easting double, northing double")
+    got = {(r.point_id, r.s_site_id) for r in spatial.neighbours(points, sites, 100.0, most).collect()}
+    xy, want = np.array(places), set()
+    for k, (x, y) in enumerate(spots):
+        d = np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        near = np.sort(d[d <= 100])
+        if len(near):
+            want |= {(k, int(i)) for i in np.flatnonzero(d <= near[min(most, len(near)) - 1])}
+    assert got == want
+
+
+def test_correction_in_turn_equals_the_solve(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, *map(float, r)) for k, r in enumerate(_random_sites(rng, 120))]
+    sites = spark.createDataFrame(rows, "site_id long, easting double, northing double, vs30 double, uncertainty double, geology_vs30 double, geology_stdv double")
+    spots = [(k, float(x), float(y), float(v), float(s)) for k, (x, y, v, s) in enumerate(zip(rng.uniform(-15_000, 45_000, 200), rng.uniform(0, 30_000, 200), rng.uniform(150, 700, 200), rng.uniform(0.2, 0.6, 200)))]
+    spots += [(900, 1000.0, 1000.0, None, None), (901, None, 1.0, 300.0, 0.4), (902, 1e7, 1e7, 300.0, 0.4)]
+    points = spark.createDataFrame(spots, "point_id long, easting double, northing double, geology_vs30 double, geology_stdv double")
+    for most in (1, 8):
+        whole = {r.point_id: r for r in kriging.correct(points, sites, "geology", most).collect()}
+        turns = {r.point_id: r for r in kriging.correct_in_turn(points, sites, "geology", most).collect()}
+        assert set(whole) == set(turns) == {p[0] for p in spots}
+        for k, r in whole.items():
+            assert turns[k].geology_mvn_vs30 == (None if r.geology_mvn_vs30 is None else pytest.approx(r.geology_mvn_vs30, rel=1e-9)) and turns[k].geology_mvn_stdv == (None if r.geology_mvn_stdv is None else pytest.approx(r.geology_mvn_stdv, rel=1e-9))
+    assert "Python" not in kriging.correct_in_turn(points, sites, "geology")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="in turn"):
+        kriging.correct_in_turn(points, sites, "geology", 100)
+
+
+def test_few_steps_and_many_steps_settle_alike(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(1, k + 1, 0.1 * (k + 1), float(rng.uniform(0.01, 20)), float(rng.uniform(0.001, 0.2)), float(rng.uniform(0, 0.1)), 1.0, 0.8) for k in range(400)] + [(2, 1, None, 1.0, 0.1, 0.0, 1.0, 0.8)]
+    table = spark.createDataFrame(rows, "cpt_id long, pos int, depth double, qc double, fs double, u double, gwl double, nar double")
+    got = []
+    for steps in (4, 1, 0):
+        monkeypatch.setattr(cpt, "UNROLLED", steps)
+        got.append(cpt.soil_parameters(table).orderBy("cpt_id", "pos").collect())
+    assert got[0] == got[1] == got[2]
+    with pytest.raises(Exception, match="did not settle"):
+        cpt.soil_parameters(table, 1).collect()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geovelo.operators.raster import Grid
-from geovelo.plans import fixtures, pipeline, run
+from geovelo.plans import pipeline, run
 from geovelo.sources import polygons, sites
 
 SF = "/root/testdata/sf0.001"
@@ -23,9 +23,14 @@ def _files(folder):
     return sites.SiteFiles(tabbed=str(folder / "tabbed.csv"), graded=str(folder / "graded.ll"), cpt=str(folder / "cpt.ssv"))
 
 
+def _terrain(spark, grid):
+    row, col = F.floor(F.col("id") / grid.nx).cast("int"), (F.col("id") % grid.nx).cast("int")
+    return spark.range(grid.nx * grid.ny).select(row.alias("row"), col.alias("col"), ((row * 31 + col * 17) % 16 + 1).cast("double").alias("value"))
+
+
 def _layers(spark, folder):
     grid = Grid(1_500_000, 5_300_000, 5000.0, -5000.0, 40, 40)
-    return pipeline.Layers(polygons.read_polygons(spark, str(folder / "edges.tsv")), fixtures.raster(spark, grid).withColumn("value", F.col("value") % 16 + 1), grid)
+    return pipeline.Layers(polygons.read_polygons(spark, str(folder / "edges.tsv")), _terrain(spark, grid), grid)
 
 
 def _header(path):
