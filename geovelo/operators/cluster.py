@@ -89,7 +89,7 @@ def _linked_cells(core: DataFrame, cells: DataFrame, side: float, eps: float) ->
         done = F.max("linked").over(Window.partitionBy("la", "lb"))
         state = _cut(judged.withColumn("done", done).where("linked = done").drop("done"))
         links.append(state.where("linked").select("la", "lb").distinct())
-    else:
+    else:  # boxes of one site each are decided long before
         raise RuntimeError(f"cells undecided after {_LEVELS} levels")
     return reduce(DataFrame.unionAll, links).select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
@@ -128,9 +128,9 @@ def dbscan(sites: DataFrame, id_column: str, min_group: int = 5, eps: float = 15
     enough = _near(sparse, own, eps).groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select("site_id")
     full = own.join(counts.where(F.col("n") >= min_group).select(*key), key, "left_semi")
     core = _cut(full.unionByName(sparse.join(enough, "site_id", "left_semi")))
-    cells = _cut(_boxes(core))
+    cells = _boxes(core)
     labels = _lowest(cells.select(F.col("low").alias("node")), _linked_cells(core, cells, side, eps), max_rounds)
-    named = _cut(cells.select(*key, "low").join(labels.withColumnRenamed("node", "low"), "low").drop("low"))
+    named = _cut(core.groupBy(*key).agg(F.min("site_id").alias("low")).join(labels.withColumnRenamed("node", "low"), "low").drop("low"))
     of_core = core.join(named, key).select("site_id", *key, "easting", "northing", "label")
     edge = sparse.join(core, "site_id", "left_anti")
     reached = _near(edge, of_core, eps).groupBy("site_id").agg(F.min("label").alias("_label"))

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions import projection
 
-#: Quarterings of the squares that sites are dealt to, evenly spaced from 0.
-LEVELS = (0, 2, 4, 6, 8, 10)
+#: Halvings of the radius down to which crowded sites are looked for.
+LEVELS = 8
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -32,46 +32,56 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, right_prefix: s
     return l_.join(r, keys).withColumn("distance", apart).where(F.col("distance") <= radius).drop(*keys)
 
 
-def _in_leaves(sites: DataFrame, radius: float, full: int) -> DataFrame:
-    """sites (with s_easting, s_northing) plus leaf: the widest square (level, x, y) that has at most full sites, of sides from radius down to the last of LEVELS."""
-    square = lambda k: F.struct(F.lit(k).alias("level"), F.floor(F.col("s_easting") / radius * 2**k).alias("x"), F.floor(F.col("s_northing") / radius * 2**k).alias("y"))
-    squares = sites.select("*", F.explode(F.array(*[square(k) for k in LEVELS])).alias("leaf")).where("leaf.x IS NOT NULL AND leaf.y IS NOT NULL")
-    counts = squares.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).withColumn("split", (F.col("size") > full) & (F.col("leaf.level") < LEVELS[-1]))
-    step = LEVELS[1] - LEVELS[0]
-    inner = counts.where("split").select(F.struct((F.col("leaf.level") + step).alias("level"), "leaf.x", "leaf.y").alias("up"))
-    up = F.struct(F.col("leaf.level").alias("level"), F.floor(F.col("leaf.x") / 2**step).alias("x"), F.floor(F.col("leaf.y") / 2**step).alias("y"))
-    whole = counts.where("NOT split").select("leaf", up.alias("up"))
-    leaves = whole.where(f"leaf.level = {LEVELS[0]}").unionAll(whole.join(inner, "up", "left_semi").select("leaf", "up"))
-    return squares.join(leaves.select("leaf"), "leaf")
+def _square(easting: Column, northing: Column, side: float, level: Column | int) -> Column:
+    """The square (level, x, y) of sides side / 2^level that a place lies in."""
+    times = F.pow(F.lit(2.0), level) if isinstance(level, Column) else F.lit(float(2**level))
+    return F.struct((level if isinstance(level, Column) else F.lit(level)).cast("int").alias("level"), F.floor(easting / side * times).alias("x"), F.floor(northing / side * times).alias("y"))
+
+
+def _around(square: Column) -> Column:
+    """The squares of a 3 x 3 block."""
+    return F.array(*[F.struct(square["level"].alias("level"), (square["x"] + dx).alias("x"), (square["y"] + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+
+
+def _crowded(sites: DataFrame, radius: float, most: int) -> DataFrame:
+    """Squares of levels 3 to LEVELS + 2 around which a block of 3 x 3 holds at least most sites, each with the level two above."""
+    squares = F.array(*[_square(F.col("easting"), F.col("northing"), radius, k) for k in range(3, LEVELS + 3)])
+    counts = sites.where("easting IS NOT NULL AND northing IS NOT NULL").select(F.explode(squares).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.select(F.explode(_around(F.col("s"))).alias("_s"), "n").groupBy("_s").agg(F.sum("n").alias("n"))
+    return held.where(F.col("n") >= most).select("_s", (F.col("_s.level") - 2).alias("_level"))
+
+
+def _looked_around(points: DataFrame, sites: DataFrame, crowded: DataFrame, radius: float) -> DataFrame:
+    """range_join() but for pairs that are too far apart to count: where a point's block of squares is crowded, the block's diagonal is far enough to look.
+
+    A block at level k + 2 lies within 0.71 sides of a square at level k, so there points meet the sites of 3 x 3 squares, as they do at level 0 with the radius.
+    """
+    keys = points.columns
+    own = F.array(*[_square(F.col("easting"), F.col("northing"), radius, k) for k in range(3, LEVELS + 3)])
+    level = F.coalesce(F.max("_level"), F.lit(0)).alias("_level")
+    placed = points.withColumn("_s", F.explode_outer(own)).join(crowded, "_s", "left").groupBy(*keys).agg(level)
+    placed = placed.withColumn("_at", _square(F.col("easting"), F.col("northing"), radius, F.col("_level")))
+    # squares of the levels in use, so that sites are not dealt where nobody looks
+    used = crowded.select(F.struct(F.col("_level").alias("level"), F.floor(F.col("_s.x") / 4).alias("x"), F.floor(F.col("_s.y") / 4).alias("y")).alias("_at")).distinct()
+    named = sites.select([F.col(c).alias("s_" + c) for c in sites.columns]).where("s_easting IS NOT NULL AND s_northing IS NOT NULL")
+    dealt = lambda levels: named.withColumn("_at", F.explode(F.flatten(F.array(*[_around(_square(F.col("s_easting"), F.col("s_northing"), radius, k)) for k in levels]))))
+    near = dealt([0]).unionByName(dealt(range(1, LEVELS + 1)).join(used, "_at", "left_semi"))
+    # corners of a block are 2 sqrt(2) of its squares away at most
+    far = F.when(F.col("_level") == 0, F.lit(radius)).otherwise(radius / F.pow(F.lit(2.0), F.col("_level") + 2) * 2.8285)
+    met = placed.join(near, "_at").withColumn("distance", F.hypot(F.col("easting") - F.col("s_easting"), F.col("northing") - F.col("s_northing")))
+    return met.where((F.col("distance") <= far) & (F.col("distance") <= radius)).drop("_at", "_level")
 
 
 def neighbours(points: DataFrame, sites: DataFrame, radius: float = 10_000.0, most: int = 500) -> DataFrame:
     """For each point its nearest sites within radius, most of them, and all at the distance of the last one.
 
-    Where sites are dense a point doesn't meet them all: sites lie in adaptive squares, points meet the squares' boxes, and the squares that are surely
-    near enough to hold most sites tell how far to look. Only sites of squares up to there are ranked.
+    Where sites are crowded a point doesn't meet all in reach: a block of squares around it that holds most sites tells how far to look. Whether
+    sites are crowded anywhere is found from the sites alone while the plan is built. So what is ranked is some multiple of most a point, unless the sites
+    beyond a point's crowded block are far denser than in it.
     """
-    named = sites.select([F.col(c).alias("s_" + c) for c in sites.columns])
-    leafed = _in_leaves(named, radius, max(8, most // 8))
-    e, n = F.col("s_easting"), F.col("s_northing")
-    boxes = leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min(e).alias("e0"), F.max(e).alias("e9"), F.min(n).alias("n0"), F.max(n).alias("n9"))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    base = lambda c: F.floor(F.col(f"leaf.{c}") / F.pow(F.lit(2.0), "leaf.level"))
-    boxes = boxes.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"_cx": base("x") + F.col("_dx"), "_cy": base("y") + F.col("_dy")})
-    x, y = F.col("easting"), F.col("northing")
-    off = lambda v, a, b: F.greatest(F.lit(0.0), F.col(a) - v, v - F.col(b))
-    far = lambda v, a, b: F.greatest(v - F.col(a), F.col(b) - v)
-    met = points.withColumns({"_cx": _cell(x, radius), "_cy": _cell(y, radius)}).join(boxes, ["_cx", "_cy"])
-    met = met.withColumns({"lo": F.hypot(off(x, "e0", "e9"), off(y, "n0", "n9")), "hi": F.hypot(far(x, "e0", "e9"), far(y, "n0", "n9"))}).where(F.col("lo") <= radius)
-    keys = points.columns
-    listed = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "size", "leaf"))).alias("_b"))
-    none = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("hi"))
-    sure = F.aggregate("_b", none, lambda a, b: F.when(a["size"] >= most, a).otherwise(F.struct((a["size"] + b["size"]).alias("size"), b["hi"].alias("hi"))))
-    listed = listed.withColumn("_s", sure).withColumn("_r", F.when(F.col("_s.size") >= most, F.least(F.lit(radius), F.col("_s.hi"))).otherwise(radius))
-    # boxes' and sites' distances may differ in the last place
-    looked = listed.select(*keys, F.explode(F.filter("_b", lambda b: b["lo"] <= F.col("_r") * (1 + 1e-12))["leaf"]).alias("leaf"))
-    pairs = looked.join(leafed, "leaf").drop("leaf").withColumn("distance", F.hypot(x - e, y - n)).where(F.col("distance") <= radius)
-    by_distance = Window.partitionBy(*keys).orderBy("distance")
+    crowded = _crowded(sites, radius, most)
+    pairs = range_join(points, sites, radius) if crowded.isEmpty() else _looked_around(points, sites, crowded, radius)
+    by_distance = Window.partitionBy("point_id").orderBy("distance")
     return pairs.withColumn("_k", F.rank().over(by_distance)).where(F.col("_k") <= most).drop("_k")
 
 
