@@ -23,6 +23,8 @@ CAP = 3.0
 BROADCAST_SOURCES = 20_000
 SALTS = 32
 BINS = 4096
+#: Repeated rows up to which the table of their hashes (some 20 bytes a row) is broadcast; beyond it both sides are shuffled.
+BROADCAST_TWINS = 200_000
 TOLERANCE = 1e-10
 
 
@@ -106,13 +108,27 @@ def attach(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     if n_sources <= BROADCAST_SOURCES:
         return docs.join(F.broadcast(sources), "key")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    return docs.withColumn("salt", F.pmod(F.xxhash64("ident", "number"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, source and more, with ident, a hash of the three, and number, a row's place in docs."""
+    told = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "n").otherwise("t"), F.when(F.col("source").isNull(), "n").otherwise("s"))
+    return docs.select("doc_id", "text", "source", *more, F.monotonically_increasing_id().alias("number")).withColumn("ident", F.xxhash64(told, "text", "source"))
+
+
+def _apart(rows: DataFrame, twins: DataFrame, n_twins: int) -> DataFrame:
+    """rows with number 0 but for those that are there more than once: these keep their number, so that each draws for itself."""
+    if not n_twins:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    some = F.broadcast(twins) if n_twins <= BROADCAST_TWINS else twins
+    return rows.join(some, "ident", "left").withColumn("number", F.when(F.col("twin"), F.col("number")).otherwise(0)).drop("twin")
 
 
 def _draws(cap: float) -> dict[str, Column]:
     rate = F.exp(F.least(F.lit(math.log(cap)), F.greatest(F.lit(-700.0), F.col("lam") * F.col("size") / F.col("mean"))))
     rate = F.least(F.lit(cap), F.round(rate, 9))
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    luck = F.pmod(F.xxhash64("ident", "number", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
     return {"rate": rate, "whole": F.floor(rate), "lean": luck - (rate - F.floor(rate))}
 
 
@@ -120,18 +136,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     """docs plus size, source_size, target, rate, copies and taken (copies * size).
 
     Size is the number of words; a null or empty text has size 0 and rate 1. A null source is a source of its own, the
-    last one. Very long texts count whole. Repeated rows are documents of their own with equal draws. Ties need no order: the draw is a hash of doc_id
-    and all that lean below their source's threshold get the extra copy. An empty table gives an empty result. Columns of
+    last one. Very long texts count whole. Ties need no order: the draw is a hash of doc_id, text and source
+    and all that lean below their source's threshold get the extra copy. So rows of one doc_id, or without any, draw apart if their texts differ; rows equal in all three are
+    documents of their own that draw by their place in the input, so that reruns over the same files agree. An empty table gives an empty result. Columns of
     docs with the names of the six new ones are replaced, all others are kept.
     """
     made = ("size", "source_size", "target", "rate", "copies", "taken")
-    slim = stored(with_sizes(docs.select("doc_id", "text", "source")).select("doc_id", "source", "key", "size"), "sizes")
+    slim = stored(with_sizes(_numbered(docs)).select("ident", "number", "source", "key", "size"), "sizes")
+    twins = cut(slim.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1").select("ident", F.lit(True).alias("twin")))
+    n_twins = twins.limit(BROADCAST_TWINS + 1).count()
     counts = stored(slim.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "size-counts")
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
     aims = cut(targets(sources, weights, cap))
     n = aims.count()
     state = cut(tilts(counts.select("key", "size", "n"), aims, n, cap))
-    drawn = attach(slim.drop("source"), state, n).withColumns(_draws(cap))
+    drawn = attach(_apart(slim.drop("source"), twins, n_twins), state, n).withColumns(_draws(cap))
     # words by how far a document leans to its extra copy, in BINS bins a source; the threshold is the edge at which the sum comes nearest the target
     bins = drawn.groupBy("key", F.floor((F.col("lean") + 1) * (BINS / 2)).alias("bin")).agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
     run = Window.partitionBy("key").orderBy("bin")
@@ -139,7 +158,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     none = F.abs(F.col("sure") - F.col("target"))
     best = edges.groupBy("key").agg(F.min_by((F.col("bin") + 1) * (2.0 / BINS) - 1, F.struct(F.abs(F.col("sure") + F.col("upto") - F.col("target")), F.col("bin"))).alias("edge"), F.min(F.abs(F.col("sure") + F.col("upto") - F.col("target"))).alias("off"), F.min(none).alias("none"))
     final = cut(state.join(best, "key").select("key", F.col("total").alias("source_size"), "target", "lam", "mean", F.when(F.col("none") <= F.col("off"), -2.0).otherwise(F.col("edge")).alias("threshold")))
-    rows = with_sizes(docs.select("doc_id", "text", "source", whole_row(docs, *made).alias("row"))).select("doc_id", "key", "size", "row")
-    whole = attach(rows, final, n).withColumns(_draws(cap))
+    rows = with_sizes(_numbered(docs, whole_row(docs, *made).alias("row"))).select("ident", "number", "key", "size", "row")
+    whole = attach(_apart(rows, twins, n_twins), final, n).withColumns(_draws(cap))
     copies = F.when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.col("whole") + (F.col("lean") < F.col("threshold")).cast("int")).cast("long")
     return whole.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("row.*", *made)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_llm import EVENTS, _docs, _odd
+from test_llm import DOCS, EVENTS, _docs, _odd
 
 from geovelo.llm import chat, decontaminate, embedding, licenses, mixing, quality, queries, secretscan
 
@@ -160,3 +160,18 @@ def test_mixing_raises_if_rates_do_not_settle(spark):
     aims = mixing.targets(counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("total")))
     with pytest.raises(RuntimeError):
         mixing.tilts(counts.select("key", "size", "n"), aims, 2, max_rounds=1)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 3])
+def test_targets_are_met_whatever_the_ids_and_however_often_a_row_is_repeated(spark, monkeypatch, ids, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_TWINS", broadcast)
+    rows = [(ids(k), " ".join(["w"] * 10), "en", "ab"[k % 2], 0, "x", "x", "x", "x", "x") for k in range(1000)] + [(ids(k), f"v{k} " * (k % 5), "en", "c", 0, "x", "x", "x", "x", "x") for k in range(500)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5).persist()
+    got = mixing.mix(docs).select("source", "taken", "target", "doc_id", "size").collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10 and all(r.taken <= 3 * int(r["size"]) for r in own)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).select("source", "taken", "target", "doc_id", "size").collect()), key=str)
+    docs.unpersist()
