@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; where that is unset a local master takes a temporary folder and any other is an error."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="geovelo-"))
-    return df.checkpoint()
-
+from ..shared import cut
 
 #: Offsets of the cells that can hold sites within eps of a cell's, cells being a little narrower than eps / sqrt(2): all, and one of each opposite two.
 _AROUND = [(x, y) for x in range(-2, 3) for y in range(-2, 3)]
@@ -69,7 +58,7 @@ def _linked_cells(core: DataFrame, cells: DataFrame, side: float, eps: float) ->
     sided = cells.select("id", "x", "y", "low", whole.alias("box"))
     left = _spread(sided, _AHEAD).select(F.col("id").alias("_id"), "_x", "_y", F.col("low").alias("la"), F.col("box").alias("a"))
     met = left.join(sided, (F.col("_id") == F.col("id")) & (F.col("_x") == sided["x"]) & (F.col("_y") == sided["y"]))
-    state = _cut(_judged(met.select("id", "la", F.col("low").alias("lb"), "a", F.col("box").alias("b")), eps))
+    state = cut(_judged(met.select("id", "la", F.col("low").alias("lb"), "a", F.col("box").alias("b")), eps))
     links = [state.where("linked").select("la", "lb")]
     for level in range(1, _LEVELS):
         undecided = state.where("NOT linked")
@@ -87,7 +76,7 @@ def _linked_cells(core: DataFrame, cells: DataFrame, side: float, eps: float) ->
         judged = _judged(halves.select("id", "la", "lb", "a", "b"), eps)
         # one link decides for its two cells
         done = F.max("linked").over(Window.partitionBy("la", "lb"))
-        state = _cut(judged.withColumn("done", done).where("linked = done").drop("done"))
+        state = cut(judged.withColumn("done", done).where("linked = done").drop("done"))
         links.append(state.where("linked").select("la", "lb").distinct())
     else:  # boxes of one site each are decided long before
         raise RuntimeError(f"cells undecided after {_LEVELS} levels")
@@ -96,12 +85,12 @@ def _linked_cells(core: DataFrame, cells: DataFrame, side: float, eps: float) ->
 
 def _lowest(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     """(node, label): the least node that each one is connected with. Each round takes the least label around and then that label's own."""
-    both = _cut(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels, total = _cut(nodes.select("node", F.col("node").alias("label"))), None
+    both = cut(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels, total = cut(nodes.select("node", F.col("node").alias("label"))), None
     for _ in range(max_rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").unionAll(labels)
         near = around.groupBy("node").agg(F.min("label").alias("label"))
-        labels = _cut(near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label").select("node", F.least("label", "_next").alias("label")))
+        labels = cut(near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label").select("node", F.least("label", "_next").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
@@ -122,15 +111,15 @@ def dbscan(sites: DataFrame, id_column: str, min_group: int = 5, eps: float = 15
     side = eps / _NARROW
     cell = {"x": F.floor(F.col("easting") / side), "y": F.floor(F.col("northing") / side)}
     own = sites.where(F.col(id_column).isNotNull() & (F.col(id_column) != 255) & F.col("easting").isNotNull() & F.col("northing").isNotNull()).select("site_id", F.col(id_column).alias("id"), "easting", "northing").withColumns(cell)
-    counts = _cut(own.groupBy("id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(own.groupBy("id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     key = ["id", "x", "y"]
-    sparse = _cut(own.join(counts.where(F.col("n") < min_group).select(*key), key, "left_semi"))
+    sparse = cut(own.join(counts.where(F.col("n") < min_group).select(*key), key, "left_semi"))
     enough = _near(sparse, own, eps).groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select("site_id")
     full = own.join(counts.where(F.col("n") >= min_group).select(*key), key, "left_semi")
-    core = _cut(full.unionByName(sparse.join(enough, "site_id", "left_semi")))
+    core = cut(full.unionByName(sparse.join(enough, "site_id", "left_semi")))
     cells = _boxes(core)
     labels = _lowest(cells.select(F.col("low").alias("node")), _linked_cells(core, cells, side, eps), max_rounds)
-    named = _cut(core.groupBy(*key).agg(F.min("site_id").alias("low")).join(labels.withColumnRenamed("node", "low"), "low").drop("low"))
+    named = cut(core.groupBy(*key).agg(F.min("site_id").alias("low")).join(labels.withColumnRenamed("node", "low"), "low").drop("low"))
     of_core = core.join(named, key).select("site_id", *key, "easting", "northing", "label")
     edge = sparse.join(core, "site_id", "left_anti")
     reached = _near(edge, of_core, eps).groupBy("site_id").agg(F.min("label").alias("_label"))

@@ -73,14 +73,17 @@ def _valued(points: DataFrame, tables: dict[str, DataFrame], settings: Settings,
     return models.assign(out, tables["terrain"], "tid", "terrain") if "terrain" in tables else out
 
 
-def measured(sites: DataFrame, layers: Layers, settings: Settings = Settings()) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The sites with their categories and model values, and the category table of each model that is on. The sites are cached: models and corrections read them."""
+def measured(sites: DataFrame, layers: Layers, settings: Settings = Settings(), cached: list[DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The sites with their categories and model values, and the category table of each model that is on. The sites are cached: models and corrections read them. What is cached is added to cached, for the caller to release."""
     named = sites.withColumnRenamed("site_id", "point_id") if "site_id" in sites.columns else sites
     placed = located(named, layers, settings)
     placed = (placed.withColumnRenamed("point_id", "site_id") if "site_id" in sites.columns else placed).persist()
     tables = model_tables(placed, settings)
     has_coast = layers.coast is not None or "coast" in sites.columns
-    return _valued(placed, tables, settings, has_coast).persist(), tables
+    known = _valued(placed, tables, settings, has_coast).persist()
+    if cached is not None:
+        cached += [placed, known]
+    return known, tables
 
 
 def modelled(points: DataFrame, layers: Layers, tables: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:

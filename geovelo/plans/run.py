@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster, raster
 from ..operators.raster import Grid
 from ..sources import sites as sources
+from ..sources import staging, tiles
 from . import pipeline
 
 #: Category written where there is none.
@@ -30,12 +31,13 @@ class Locations:
 
 @dataclass(frozen=True)
 class Options:
-    """source: original or cpt; with cpt and a posterior model the update goes by clusters of sites."""
+    """source: original or cpt; with cpt and a posterior model the update goes by clusters of sites. tiles: rasters as GeoTIFF blocks, not as Parquet."""
 
     out: str
     files: sources.SiteFiles
     source: str = "original"
     overwrite: bool = False
+    tiles: bool = False
     locations: Locations | None = None
     grid: Grid = field(default_factory=lambda: Grid.over(1_060_050, 2_120_050, 4_730_050, 6_250_050, 100, 100))
     settings: pipeline.Settings = pipeline.Settings()
@@ -62,22 +64,47 @@ def _sites_table(known: DataFrame, models: list[str], settings: pipeline.Setting
     return graded.select("easting", "northing", "vs30", "uncertainty", "station", "q", *columns, *groups)
 
 
+def _manifest(spark: SparkSession, options: Options, layers: pipeline.Layers) -> dict:
+    """What a run goes by: its options, and the state of all files that it reads."""
+    told, tables = asdict(options), [layers.edges, layers.terrain, layers.slope, layers.coast]
+    read = staging.inputs(spark, *told["files"].values(), options.locations and options.locations.path, *[f for t in tables if t is not None for f in t.inputFiles()])
+    grids = [g and asdict(g) for g in (layers.terrain_grid, layers.slope_grid, layers.coast_grid)]
+    return {"options": {k: v for k, v in told.items() if k != "overwrite"}, "grids": grids, "inputs": read}
+
+
 def run(spark: SparkSession, options: Options, layers: pipeline.Layers) -> DataFrame:
-    """Writes measured_sites.csv, and vs30points.csv or one raster a model (geology, geology_mvn, .., combined, combined_mvn: row, col, vs30, stdv) under options.out; gives the estimates back."""
+    """Writes estimates (Parquet, all columns), measured_sites.csv, and vs30points.csv or one raster a model (geology, geology_mvn, .., combined, combined_mvn: vs30, stdv) under options.out; gives the estimates back.
+
+    The folder appears when all of it is done; one that holds something is an error before any work, unless overwrite. A run that ended early is taken up by the next one with
+    the same options and input files: outputs that were finished are not made again. Layers that don't come from files count by their grids alone.
+    """
+    staged = staging.Staged(spark, options.out, _manifest(spark, options, layers), options.overwrite)
     settings = replace(options.settings, clustered=options.settings.clustered or options.source == "cpt")
     sites = sources.load_vs(spark, options.files, options.source)
-    known, tables = pipeline.measured(sites, layers, settings)
-    models = list(tables)
-    place = options.locations
-    points = raster.pixels(spark, options.grid) if place is None else sources.locations(spark, place.path, place.lon, place.lat, place.sep, place.skip_rows)
-    out = pipeline.corrected(pipeline.modelled(points, layers, tables, settings), known, tables, settings)
-    sources.write_csv(_sites_table(known, models, settings), f"{options.out}/measured_sites.csv", options.overwrite)
-    if place is not None:
-        sources.write_csv(_points_table(out, models), f"{options.out}/vs30points.csv", options.overwrite)
-        return out
-    out = out.persist()
-    for name, prefix in [(m, f"{m}_") for m in models] + ([("combined", "")] if len(models) == 2 else []):
-        for infix in ("", "mvn_"):
-            band = out.select("row", "col", *[F.col(f"{prefix}{infix}{c}").alias(c) for c in _MODEL])
-            sources.write_raster(band, f"{options.out}/{name}{'_mvn' if infix else ''}", overwrite=options.overwrite)
-    return out
+    cached: list[DataFrame] = []
+    try:
+        known, tables = pipeline.measured(sites, layers, settings, cached)
+        models = list(tables)
+        place = options.locations
+        points = raster.pixels(spark, options.grid) if place is None else sources.locations(spark, place.path, place.lon, place.lat, place.sep, place.skip_rows)
+        out = pipeline.corrected(pipeline.modelled(points, layers, tables, settings), known, tables, settings)
+        path = staged.output("estimates", lambda p: out.write.mode("overwrite").parquet(p))
+        stored = spark.read.schema(out.schema).parquet(path)
+        staged.output("measured_sites.csv", lambda p: sources.write_csv(_sites_table(known, models, settings), p, True))
+        if place is not None:
+            staged.output("vs30points.csv", lambda p: sources.write_csv(_points_table(stored, models), p, True))
+        else:
+            write = _tiles_writer(options.grid) if options.tiles else lambda band, p: sources.write_raster(band, p, overwrite=True)
+            for name, prefix in [(m, f"{m}_") for m in models] + ([("combined", "")] if len(models) == 2 else []):
+                for infix in ("", "mvn_"):
+                    band = stored.select("row", "col", *[F.col(f"{prefix}{infix}{c}").alias(c) for c in _MODEL])
+                    staged.output(f"{name}{'_mvn' if infix else ''}", lambda p, band=band: write(band, p))
+    finally:
+        for table in cached:
+            table.unpersist()
+    staged.commit()
+    return spark.read.schema(out.schema).parquet(f"{options.out}/estimates")
+
+
+def _tiles_writer(grid: Grid):
+    return lambda band, path: tiles.write_tiles(band, grid, path, overwrite=True)

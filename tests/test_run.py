@@ -1,6 +1,7 @@
 """A whole run from text files to tables and rasters."""
 
 import glob
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,63 @@ def test_polygon_texts_agree(spark):
     same = polygons.edges(rows, polygons.geojson_rings(F.col("j"))).collect()
     assert sorted(r[2:] for r in told if r.gid == 1) == sorted(r[2:] for r in same if r.gid == 1) and len([r for r in told if r.gid == 1]) == 9
     assert {(r.gid, len([x for x in told if x.gid == r.gid])) for r in told} == {(1, 9), (4, 3)} and {r.gid for r in same} == {1, 2}
+
+
+def _grid_options(folder, **how):
+    grid = Grid.over(1_555_000, 1_575_000, 5_170_000, 5_190_000, 2000, 2000)
+    return run.Options(str(folder / "out"), _files(folder), source="cpt", grid=grid, settings=pipeline.Settings(terrain="off"), **how)
+
+
+def test_a_run_that_ends_early_leaves_nothing_and_is_taken_up(spark, tmp_path, monkeypatch):
+    from geovelo.sources import sites as sources
+
+    options, layers = _grid_options(tmp_path), _layers(spark, tmp_path)
+    written, write = [], sources.write_raster
+
+    def lost(band, path, **how):
+        written.append(path)
+        if len(written) == 2:
+            raise RuntimeError("lost")
+        write(band, path, **how)
+
+    monkeypatch.setattr(sources, "write_raster", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        run.run(spark, options, layers)
+    assert not (tmp_path / "out").exists()
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "out._staged" / "estimates").iterdir()}
+    out = run.run(spark, options, layers)
+    assert [p.rsplit("/", 1)[1] for p in written] == ["geology", "geology_mvn", "geology_mvn"] and out.count() == 100
+    assert {p.name: t for p, t in first.items()} == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "estimates").iterdir()}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["estimates", "geology", "geology_mvn", "measured_sites.csv"] and not (tmp_path / "out._staged").exists()
+    # refused at once, before a file is written
+    with pytest.raises(FileExistsError):
+        run.run(spark, options, layers)
+    assert len(written) == 3 and not (tmp_path / "out._staged").exists()
+
+
+def test_another_run_starts_anew_and_may_overwrite(spark, tmp_path, monkeypatch):
+    from geovelo.sources import sites as sources
+
+    options = _grid_options(tmp_path)
+    layers, write, over = _layers(spark, tmp_path), sources.write_csv, replace(options, overwrite=True)
+    run.run(spark, options, layers)
+    before = spark.read.parquet(str(tmp_path / "out" / "estimates")).orderBy("point_id").collect()
+    monkeypatch.setattr(sources, "write_csv", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run.run(spark, over, layers)
+    assert spark.read.parquet(str(tmp_path / "out" / "estimates")).orderBy("point_id").collect() == before
+    monkeypatch.setattr(sources, "write_csv", write)
+    with (tmp_path / "cpt.ssv").open("a") as f:
+        f.write("1560000 5175000 900\n")
+    again = run.run(spark, over, layers).orderBy("point_id").collect()
+    assert len(again) == len(before) and again != before
+
+
+def test_a_run_to_geotiff_blocks(spark, tmp_path):
+    from geovelo.sources import tiles
+
+    options = _grid_options(tmp_path, tiles=True)
+    out = run.run(spark, options, _layers(spark, tmp_path))
+    band = {(r.row, r.col): r.vs30 for r in tiles.read_tiles(spark, str(tmp_path / "out" / "geology_mvn")).collect()}
+    for r in out.collect():
+        assert (r.geology_mvn_vs30 is None) == ((r.row, r.col) not in band) and (r.geology_mvn_vs30 is None or band[r.row, r.col] == pytest.approx(r.geology_mvn_vs30, rel=1e-6))
