@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, cpt, kriging, models, profile, raster, spatial, spt
+from ..operators import checks, cluster, cpt, kriging, models, profile, raster, spatial, spt
 from ..operators.raster import Grid
 
 
@@ -133,3 +133,12 @@ def profile_vs30(truncated: DataFrame, keys: tuple[str, ...], vs30_correlations:
     """(keys, vs30_correlation, z, vsz, vs30, vs30_sd): every profile under every named Vs30 correlation."""
     each = profile.vsz(truncated, keys, layered).withColumn("vs30_correlation", F.explode(F.array(*[F.lit(x) for x in vs30_correlations])))
     return profile.vs30(each)
+
+
+def checked_cpt_vs30(soundings: DataFrame, names: list[str], vs30_correlations: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(results, errors): profile_vs30() of all soundings that can be used, and (cpt_id, vs_correlation, vs30_correlation, condition, message, code) of what can't. One bad sounding doesn't end the job."""
+    keys = ("cpt_id", "vs_correlation")
+    good, unusable = checks.cpt(soundings)
+    averages = profile.vsz(cpt_profiles(good, names), keys).withColumn("vs30_correlation", F.explode(F.array(*[F.lit(x) for x in vs30_correlations])))
+    deep, shallow = checks.vs30(averages, keys)
+    return profile.vs30(deep), unusable.unionByName(shallow, allowMissingColumns=True).select(*keys, "vs30_correlation", "condition", "message", "code")

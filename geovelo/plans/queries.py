@@ -5,6 +5,7 @@ Floating results are rounded the same way on both sides, since the engines' tran
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import spt_correlations as sc
 from ..functions import vs30_correlations as v30
 from ..functions.numeric import significant
-from ..operators import cluster, cpt, ensemble, kriging, models, profile, raster, spatial, spt
+from ..operators import checks, cluster, cpt, ensemble, kriging, models, profile, raster, spatial, spt
+from ..shared import shared_dir
 from ..sources import polygons as polygon_sources
 from ..sources import sites as site_sources
 from ..sources import soundings as sounding_sources
+from ..sources import tiles as tile_files
 from . import api, pipeline
 from . import fixtures as fx
 
@@ -968,3 +971,56 @@ def api_average(spark, sf):
 @query(ORACLE_SQL["weighted_vs30"])
 def api_vs30(spark, sf):
     return api.vs30(_named(spark, sf), _weights(spark, sf), ("cpt_id", "name", "vs_correlation"), ["boore_2004", "boore_2011"]).select(_r("vs30"), _r("vs30_sd"))
+
+
+# --- errors as rows ----------------------------------------------------------------------------------------------------
+
+#: Soundings of which some have a negative depth, no valid row, or 3 m only.
+_FAULTY = [fx.soundings_sql(1.0, 0.01).replace("snd AS", "snd0 AS", 1), "snd1 AS (SELECT * REPLACE (CASE WHEN cpt_id % 10 IN (3, 4) AND pos = 2 THEN -depth ELSE depth END AS depth, CASE WHEN cpt_id % 10 IN (4, 7) THEN 0 ELSE qc END AS qc) FROM snd0 WHERE NOT (cpt_id % 10 = 5 AND pos > 60))"]
+_USABLE = [*_FAULTY, "snd AS (SELECT * FROM snd1 WHERE cpt_id % 10 NOT IN (3, 4, 7))", *_cpt_profiles_sql(NATIVE)[1:], *TRUNCATED, *_vs30_sql(["boore_2004", "boore_2011"])]
+_TOLD = "'{0}' AS condition, '{1}' AS message, CAST({2} AS INTEGER) AS code"
+
+
+def _faulty(spark, sf) -> DataFrame:
+    k, rows = F.col("cpt_id") % 10, fx.soundings(spark, sf, 1.0, 0.01)
+    return rows.where(~((k == 5) & (F.col("pos") > 60))).withColumns({"depth": F.when(k.isin(3, 4) & (F.col("pos") == 2), -F.col("depth")).otherwise(F.col("depth")), "qc": F.when(k.isin(4, 7), 0.0).otherwise(F.col("qc"))})
+
+
+def _condition(name: str) -> str:
+    return _TOLD.format(name, *checks.CONDITIONS[name])
+
+
+@query(_with(*_USABLE) + f"SELECT cpt_id, vs_correlation, vs30_correlation, z, {_s('vs30', 'vs30')}, {_s('vs30_sd', 'vs30_sd')} FROM h WHERE z = 30 OR sigma IS NOT NULL")
+def checked_vs30(spark, sf):
+    """Vs30 of the soundings that can be used."""
+    good, _ = pipeline.checked_cpt_vs30(_faulty(spark, sf), NATIVE, ["boore_2004", "boore_2011"])
+    return good.select(*KEYS, "vs30_correlation", "z", _r("vs30"), _r("vs30_sd"))
+
+
+@query(_with(*_USABLE) + f"""SELECT DISTINCT cpt_id, NULL::VARCHAR AS vs_correlation, NULL::VARCHAR AS vs30_correlation, {_condition('NEGATIVE_DEPTH')} FROM snd1 WHERE cpt_id % 10 IN (3, 4) AND pos = 2
+  UNION ALL SELECT DISTINCT cpt_id, NULL, NULL, {_condition('NO_VALID_ROWS')} FROM snd1 WHERE cpt_id % 10 IN (4, 7) UNION ALL SELECT cpt_id, vs_correlation, vs30_correlation, {_condition('TOO_SHALLOW')} FROM h WHERE z <> 30 AND sigma IS NULL""")
+def checked_errors(spark, sf):
+    """What can't be used, by sounding and correlation."""
+    return pipeline.checked_cpt_vs30(_faulty(spark, sf), NATIVE, ["boore_2004", "boore_2011"])[1]
+
+
+_ODD_HOLES = "odd AS (SELECT * REPLACE (CASE WHEN spt_id % 6 = 1 AND pos = 1 THEN -1 ELSE depth END AS depth, CASE WHEN spt_id % 6 IN (2, 3) THEN 'Steam' WHEN spt_id % 6 = 4 THEN NULL ELSE hammer END AS hammer, CASE WHEN spt_id % 6 = 3 AND pos = 2 THEN 'Jelly' ELSE soil END AS soil) FROM bh)"
+
+
+@query(_with(fx.BOREHOLES_SQL, _ODD_HOLES) + f"""SELECT DISTINCT spt_id, {_condition('NEGATIVE_DEPTH')} FROM odd WHERE depth < 0 UNION ALL SELECT DISTINCT spt_id, {_condition('UNKNOWN_HAMMER')} FROM odd WHERE hammer = 'Steam'
+  UNION ALL SELECT DISTINCT spt_id, {_condition('UNKNOWN_SOIL')} FROM odd WHERE soil = 'Jelly'""")
+def spt_errors(spark, sf):
+    k, pos, rows = F.col("spt_id") % 6, F.col("pos"), fx.boreholes(spark, sf)
+    odd = rows.withColumns({"depth": F.when((k == 1) & (pos == 1), -1.0).otherwise(F.col("depth")), "hammer": F.when(k.isin(2, 3), "Steam").when(k == 4, None).otherwise(F.col("hammer")), "soil": F.when((k == 3) & (pos == 2), "Jelly").otherwise(F.col("soil"))})
+    return checks.spt(odd)[1]
+
+
+# --- rasters as files --------------------------------------------------------------------------------------------------
+
+
+@query(_with(fx.RASTER_SQL) + "SELECT row, col, value, value / 8 AS eighth FROM ras WHERE row BETWEEN 20 AND 70 AND col BETWEEN 10 AND 95")
+def raster_blocks(spark, sf):
+    """Two bands written as GeoTIFF blocks, and a window of them read back. The files are in the folder that driver and executors share."""
+    path = f"{shared_dir(spark).removeprefix('file://')}/blocks-{uuid.uuid4().hex}"
+    tile_files.write_tiles(fx.raster(spark, sf).withColumn("eighth", F.col("value") / 8), _G, path, block=32)
+    return tile_files.read_tiles(spark, path, ["value", "eighth"], 32, (20, 70), (10, 95))

@@ -24,33 +24,33 @@ def _place() -> list[Column]:
     return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
 
 
-def _numbered(rows: DataFrame, depth: str) -> DataFrame:
-    """pos in the order of the file's rows, and an error for negative depths."""
-    sound = F.when(F.col(depth) < 0, F.raise_error(F.lit("depths must not be negative"))).otherwise(F.col(depth))
+def _numbered(rows: DataFrame, depth: str, strict: bool) -> DataFrame:
+    """pos in the order of the file's rows, and, if strict, an error for negative depths; else they are left to operators.checks."""
+    sound = F.when(F.col(depth) < 0, F.raise_error(F.lit("depths must not be negative"))).otherwise(F.col(depth)) if strict else F.col(depth)
     return rows.withColumn("depth", sound).withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")))
 
 
-def read_cpt(spark: SparkSession, path: str, gwl: float = 1.0, nar: float = 0.8, kpa: bool = False) -> DataFrame:
+def read_cpt(spark: SparkSession, path: str, gwl: float = 1.0, nar: float = 0.8, kpa: bool = False, strict: bool = True) -> DataFrame:
     """(name, cpt_id, pos, depth, qc, fs, u, gwl, nar) of headed CSV files, columns by position. kpa brings qc, fs and u to MPa. cpt_id is a hash of the path."""
     rows = spark.read.option("header", True).option("enforceSchema", True).schema(schema.CPT_FILE).csv(path)
     unit = 1000.0 if kpa else 1.0
     named = rows.select(_stem().alias("name"), "depth", *[(F.col(c) / unit).alias(c) for c in ("qc", "fs", "u")], *_place())
-    return _numbered(named, "depth").select("name", F.xxhash64("path").alias("cpt_id"), "pos", "depth", "qc", "fs", "u", F.lit(gwl).alias("gwl"), F.lit(nar).alias("nar"))
+    return _numbered(named, "depth", strict).select("name", F.xxhash64("path").alias("cpt_id"), "pos", "depth", "qc", "fs", "u", F.lit(gwl).alias("gwl"), F.lit(nar).alias("nar"))
 
 
-def read_spt(spark: SparkSession, path: str, hammer: str | None = None, diameter: float = 150.0, energy_ratio: float | None = None, soil: str | None = None) -> DataFrame:
+def read_spt(spark: SparkSession, path: str, hammer: str | None = None, diameter: float = 150.0, energy_ratio: float | None = None, soil: str | None = None, strict: bool = True) -> DataFrame:
     """(name, spt_id, pos, depth, n, soil, hammer, diameter, energy_ratio) of headed CSV files with Depth, NValue and maybe Soil. A row's soil stands before the given one and that before Clay; no hammer is Auto."""
     raw = spark.read.option("header", True).csv(path)
     kind = F.col("Soil") if "Soil" in raw.columns else F.lit(None).cast("string")
     rows = raw.select(_stem().alias("name"), F.col("Depth").cast("double").alias("depth"), F.col("NValue").cast("double").alias("n"), F.coalesce(kind, F.lit(soil), F.lit("Clay")).alias("soil"), *_place())
-    return _numbered(rows, "depth").select("name", F.xxhash64("path").alias("spt_id"), "pos", "depth", "n", "soil", F.coalesce(F.lit(hammer), F.lit("Auto")).alias("hammer"), F.lit(float(diameter)).alias("diameter"), F.lit(energy_ratio).cast("double").alias("energy_ratio"))
+    return _numbered(rows, "depth", strict).select("name", F.xxhash64("path").alias("spt_id"), "pos", "depth", "n", "soil", F.coalesce(F.lit(hammer), F.lit("Auto")).alias("hammer"), F.lit(float(diameter)).alias("diameter"), F.lit(energy_ratio).cast("double").alias("energy_ratio"))
 
 
-def read_profile(spark: SparkSession, path: str, layered: bool = False) -> DataFrame:
+def read_profile(spark: SparkSession, path: str, layered: bool = False, strict: bool = True) -> DataFrame:
     """(name, pos, depth, vs, vs_sd, layered) of headed CSV files with Depth, Vs and Vs_SD."""
     raw = spark.read.option("header", True).csv(path)
     rows = raw.select(_stem().alias("name"), F.col("Depth").cast("double").alias("depth"), F.col("Vs").cast("double").alias("vs"), F.col("Vs_SD").cast("double").alias("vs_sd"), F.lit(layered).alias("layered"), *_place())
-    return _numbered(rows, "depth").select("name", "pos", "depth", "vs", "vs_sd", "layered")
+    return _numbered(rows, "depth", strict).select("name", "pos", "depth", "vs", "vs_sd", "layered")
 
 
 def _in_order(*columns: tuple[str, str]) -> list[Column]:
