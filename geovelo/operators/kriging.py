@@ -40,6 +40,10 @@ def conditioned(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray,
     Points are solved in batches of equally large systems: a point with fewer sites is filled up with ones on the diagonal
     and zeros elsewhere, which changes nothing. Sites at one place without uncertainty make the system singular, an error.
     """
+    step = max(1, BATCH // max(1, len(sites)))
+    if len(x) > step:  # distances of all points to all sites are held at once
+        parts = [conditioned(x[k : k + step], y[k : k + step], mean[k : k + step], sd[k : k + step], sites, length, noisy, reduction, most) for k in range(0, len(x), step)]
+        return np.concatenate([v for v, _ in parts]), np.concatenate([s for _, s in parts])
     pred, var = np.log(mean), sd**2 * np.exp(-SHORTEST / length)
     if not len(sites):
         return mean, np.sqrt(var)

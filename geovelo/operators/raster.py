@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +51,25 @@ def pixels(spark: SparkSession, grid: Grid) -> DataFrame:
     return cells.withColumns({"easting": grid.x0 + (F.col("col") + 0.5) * grid.dx, "northing": grid.y0 + (F.col("row") + 0.5) * grid.dy})
 
 
+def stacked(rasters: dict[str, DataFrame]) -> DataFrame:
+    """(row, col and one column a raster): rasters (row, col, value) of one grid side by side, null where one has no pixel."""
+    rows = reduce(DataFrame.unionAll, [r.select("row", "col", F.lit(k).alias("_k"), F.col("value").cast("double").alias("_v")) for k, r in enumerate(rasters.values())])
+    return rows.groupBy("row", "col").agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(name) for k, name in enumerate(rasters)])
+
+
 def lookup(points: DataFrame, raster: DataFrame, grid: Grid, name: str) -> DataFrame:
     """points plus the value of the pixel that they lie in, null outside the grid and where the raster has no pixel."""
+    return lookup_all(points, raster.select("row", "col", F.col("value").alias(name)), grid)
+
+
+def lookup_all(points: DataFrame, pixels: DataFrame, grid: Grid) -> DataFrame:
+    """points plus all other columns of pixels (row, col, ..) by the pixel that they lie in."""
     col, row = F.floor((F.col("easting") - grid.x0) / grid.dx), F.floor((F.col("northing") - grid.y0) / grid.dy)
     inside = (col >= 0) & (col < grid.nx) & (row >= 0) & (row < grid.ny)
     # rows outside get negative keys of many values: they meet no pixel, and not each other in one task either
     apart = -1 - F.pmod(F.xxhash64("easting", "northing", *[c for c in ("point_id", "site_id") if c in points.columns]), F.lit(4096))
     placed = points.withColumns({"_row": F.when(inside, row).otherwise(apart).cast("int"), "_col": F.when(inside, col).cast("int")}).fillna(-1, ["_col"])
-    cells = raster.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias(name))
-    return placed.join(cells, ["_row", "_col"], "left").drop("_row", "_col")
+    return placed.join(pixels.withColumnsRenamed({"row": "_row", "col": "_col"}), ["_row", "_col"], "left").drop("_row", "_col")
 
 
 def no_data(raster: DataFrame, value: float) -> DataFrame:

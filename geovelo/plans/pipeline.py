@@ -44,12 +44,15 @@ def located(points: DataFrame, layers: Layers, settings: Settings) -> DataFrame:
     out = points
     if "gid" not in out.columns:
         out = spatial.in_polygons(out, layers.edges, settings.cell)
-    if "tid" not in out.columns:
-        out = raster.lookup(out, layers.terrain.withColumn("value", F.col("value").cast("int")), layers.terrain_grid, "tid")
-    for name, table, grid in (("slope", layers.slope, layers.slope_grid), ("coast", layers.coast, layers.coast_grid)):
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast("double")) if table is None else raster.lookup(out, table, grid, name)
-    return out
+    rasters = [("tid", layers.terrain, layers.terrain_grid), ("slope", layers.slope, layers.slope_grid), ("coast", layers.coast, layers.coast_grid)]
+    wanted = [(name, table, grid) for name, table, grid in rasters if name not in out.columns]
+    # rasters of one grid are looked up together
+    for grid in dict.fromkeys(grid for _, table, grid in wanted if table is not None):
+        out = raster.lookup_all(out, raster.stacked({name: table for name, table, own in wanted if table is not None and own == grid}), grid)
+    for name, table, _ in wanted:
+        if table is None:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+    return out.withColumn("tid", F.col("tid").cast("int")) if any(name == "tid" for name, *_ in wanted) else out
 
 
 def model_tables(sites: DataFrame, settings: Settings) -> dict[str, DataFrame]:
