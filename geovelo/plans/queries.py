@@ -5,12 +5,14 @@ Floating results are rounded the same way on both sides, since the engines' tran
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection
 from ..functions import spt_correlations as sc
 from ..functions import vs30_correlations as v30
 from ..functions.numeric import significant
@@ -491,12 +493,56 @@ def coast_distance(spark, sf):
     return raster.coast_distance(fx.land(spark, sf), _G).select("row", "col", _r("distance", 3))
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, 166.5::DOUBLE + c_custkey % 1200 / 100.0::DOUBLE AS lon, -47::DOUBLE + c_custkey * 7 % 1300 / 100.0::DOUBLE AS lat FROM customer),
-k AS (SELECT 1 / 298.257222101::DOUBLE AS f), kk AS (SELECT f / (2 - f) AS n FROM k),
-a AS (SELECT id, sin(radians(lat)) AS s, radians(lon - 173) AS l, 2 * sqrt(n) / (1 + n) AS e, n FROM c, kk),
-b AS (SELECT id, l, n, sinh(atanh(s) - e * atanh(e * s)) AS t FROM a),
-d AS (SELECT id, n, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta, 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) * 0.9996::DOUBLE AS r, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM b)
-""" + f"SELECT id, {_s('1600000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta))', 'easting', 3)}, {_s('10000000 + r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta))', 'northing', 3)} FROM d")
+#: From c (id, lon, lat) to d, and eastings and northings from d.
+_NZTM = ("k AS (SELECT 1 / 298.257222101::DOUBLE AS f), kk AS (SELECT f / (2 - f) AS n FROM k)",
+         "a AS (SELECT id, sin(radians(lat)) AS s, radians(lon - 173) AS l, 2 * sqrt(n) / (1 + n) AS e, n FROM c, kk)", "b AS (SELECT id, l, n, sinh(atanh(s) - e * atanh(e * s)) AS t FROM a)",
+         "d AS (SELECT id, n, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta, 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) * 0.9996::DOUBLE AS r, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM b)")
+_ON_NZTM = f"SELECT id, {_s('1600000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta))', 'easting', 3)}, {_s('10000000 + r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta))', 'northing', 3)} FROM d"
+
+
+def _times(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+    """The product of two complex numbers as SQL."""
+    return f"(({a[0]}) * ({b[0]}) - ({a[1]}) * ({b[1]}))", f"(({a[0]}) * ({b[1]}) + ({a[1]}) * ({b[0]}))"
+
+
+def _powers(z: tuple[str, str], terms: list[complex]) -> tuple[str, str]:
+    """sum of terms[k] * z^(k + 1)."""
+    told = lambda c: (f"{c.real!r}::DOUBLE", f"{c.imag!r}::DOUBLE")
+    out = _times(z, told(terms[-1]))
+    for c in reversed(terms[:-1]):
+        out = _times((f"{out[0]} + {told(c)[0]}", f"{out[1]} + {told(c)[1]}"), z)
+    return out
+
+
+def _map_grid_sql() -> list[str]:
+    """c (id, lon, lat) from g (id, x, y) on the map grid: an inverse series, two Newton steps, and the move to the newer datum."""
+    pj, z, t = projection, ("zr", "zi"), ("tr", "ti")
+    guess = _powers(z, list(pj.NZMG_C))
+    top, low = _powers(t, [k * b for k, b in enumerate(pj.NZMG_B)]), _powers(t, [(k + 2) * b for k, b in enumerate(pj.NZMG_B[1:])])
+    steps = [f"g0 AS (SELECT id, (y - {pj.NZMG_N}::DOUBLE) / {pj.NZMG_A}::DOUBLE AS zr, (x - {pj.NZMG_E}::DOUBLE) / {pj.NZMG_A}::DOUBLE AS zi FROM g)", f"t0 AS (SELECT *, {guess[0]} AS tr, {guess[1]} AS ti FROM g0)"]
+    for k in range(2):
+        steps += [f"q{k} AS (SELECT *, {top[0]} + zr AS ur, {top[1]} + zi AS ui, {low[0]} + {pj.NZMG_B[0].real!r}::DOUBLE AS lr, {low[1]} AS li FROM t{k})", f"t{k + 1} AS (SELECT id, zr, zi, (ur * lr + ui * li) / (lr * lr + li * li) AS tr, (ui * lr - ur * li) / (lr * lr + li * li) AS ti FROM q{k})"]
+    latitude = " + ".join(f"{d!r}::DOUBLE * power(tr, {k})" for k, d in enumerate(pj.NZMG_D, 1))
+    e2, g2 = f"{pj.NZMG_FLAT * (2 - pj.NZMG_FLAT)!r}::DOUBLE", f"{pj.FLAT * (2 - pj.FLAT)!r}::DOUBLE"
+    dx, dy, dz, rx, ry, rz, m = [*pj.SHIFT[:3], *[math.radians(r / 3600) for r in pj.SHIFT[3:6]], 1 + pj.SHIFT[6] * 1e-6]
+    return [
+        *steps, f"o AS (SELECT id, radians({pj.LON0} + degrees(ti)) AS la, radians({pj.NZMG_LAT} + ({latitude}) * 1e5::DOUBLE / 3600) AS ph FROM t2)", f"v AS (SELECT *, {pj.NZMG_A}::DOUBLE / sqrt(1 - {e2} * sin(ph) * sin(ph)) AS v FROM o)",
+        f"p AS (SELECT id, v * cos(ph) * cos(la) AS x, v * cos(ph) * sin(la) AS y, v * (1 - {e2}) * sin(ph) AS z FROM v)",
+        f"s AS (SELECT id, {dx} + {m!r}::DOUBLE * (x - {rz!r}::DOUBLE * y + {ry!r}::DOUBLE * z) AS x, {dy} + {m!r}::DOUBLE * ({rz!r}::DOUBLE * x + y - {rx!r}::DOUBLE * z) AS y, {dz} + {m!r}::DOUBLE * (-({ry!r}::DOUBLE) * x + {rx!r}::DOUBLE * y + z) AS z FROM p)",
+        f"w AS (SELECT *, sqrt(x * x + y * y) AS p, {pj.A * (1 - pj.FLAT)!r}::DOUBLE AS b FROM s)", f"u AS (SELECT *, atan2(z * {pj.A}::DOUBLE, p * b) AS u FROM w)",
+        f"c AS (SELECT id, degrees(atan2(y, x)) AS lon, degrees(atan2(z + {g2} / (1 - {g2}) * b * power(sin(u), 3), p - {g2} * {pj.A}::DOUBLE * power(cos(u), 3))) AS lat FROM u)",
+    ]
+
+
+@query(_with("g AS (SELECT c_custkey AS id, CAST(2400000 + c_custkey * 7919 % 500000 AS DOUBLE) AS x, CAST(5500000 + c_custkey * 104729 % 1100000 AS DOUBLE) AS y FROM customer)", *_map_grid_sql(), *_NZTM) + _ON_NZTM)
+def project_map_grid(spark, sf):
+    """From the older map grid."""
+    k = F.col("c_custkey")
+    placed = fx.read(spark, sf, "customer").select(k.alias("id"), (2_400_000 + k * 7919 % 500_000).cast("double").alias("x"), (5_500_000 + k * 104729 % 1_100_000).cast("double").alias("y"))
+    return spatial.from_map_grid(placed, "x", "y").select("id", _r("easting", 3), _r("northing", 3))
+
+
+@query(_with("c AS (SELECT c_custkey AS id, 166.5::DOUBLE + c_custkey % 1200 / 100.0::DOUBLE AS lon, -47::DOUBLE + c_custkey * 7 % 1300 / 100.0::DOUBLE AS lat FROM customer)", *_NZTM) + _ON_NZTM)
 def project_nztm(spark, sf):
     k = F.col("c_custkey")
     placed = fx.read(spark, sf, "customer").select(k.alias("id"), (166.5 + k % 1200 / 100.0).alias("longitude"), (-47.0 + k * 7 % 1300 / 100.0).alias("latitude"))
