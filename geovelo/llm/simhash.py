@@ -29,6 +29,8 @@ SHINGLE = 3
 NEAR = {"size": 5, "similarity": 0.8, "radius": 24}
 #: Shingles from which SimHashes are compared; cells of the shingles' counts (1 MB as broadcast); nodes of a part of a tile, whose texts a task holds.
 PRINTED, CELLS, PER_SET_TILE = 32, 1 << 17, 1024
+#: Hubs of a node that tell which tile a pair belongs to; a value that no hub has.
+FEW, NO_HUB = 4, np.iinfo(np.int64).max
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
 PER_SHARD, MAX_SHARDS, SAMPLE = 8192, 4096, 64
 #: Residents, and as many queries, that one task compares at most, about; shards that hold more are cut into tiles.
@@ -356,17 +358,29 @@ def _asked(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield x, second if len(second) else first[first > x]
 
 
+def _owned(hub: np.int64, of: int, to: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Those of the positions to whose pair with of belongs to this hub: the smallest that both have among their few. A pair without such a hub belongs to all that it meets in."""
+    told = few[to]
+    common = np.where((told[:, :, None] == few[of][None, None, :]).any(axis=2) & (told != NO_HUB), told, NO_HUB).min(axis=1, initial=NO_HUB)
+    return to[(common == NO_HUB) | (common == hub)]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The rows (tile, side, node, n, fp, more) of each tile that may be similar to another one of it."""
+    """The rows (tile, side, node, n, fp, more) of each tile that may be similar to another one of it and belong there with it. Further columns: hub, few."""
     for rows in _runs(batches):
         n, one, two = rows.column("n").to_numpy(), *(rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
+        few = np.full((len(n), FEW), NO_HUB)
+        lists = rows.column("few").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        few[np.arange(FEW) < size[:, None]] = lists.flatten().to_numpy()
+        hub = rows.column("hub").to_numpy()
         keep = np.zeros(len(n), bool)
         for x, others in _asked(rows.column("side").to_numpy()):
-            near = _may_link(x, others, n, one, two, radius, similarity)
+            near = _owned(hub[x], x, _may_link(x, others, n, one, two, radius, similarity), few)
             keep[near] = True
             keep[x] |= len(near) > 0
         if keep.any():
-            yield from rows.filter(pa.array(keep)).to_batches()
+            yield from rows.filter(pa.array(keep)).drop_columns(["hub", "few"]).to_batches()
 
 
 def _alike(batches: Iterator[pa.RecordBatch], size: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -404,8 +418,9 @@ def _alike(batches: Iterator[pa.RecordBatch], size: int, radius: int, similarity
 
 
 def _dealt(postings: DataFrame, similarity: float) -> DataFrame:
-    """(tile, side, node): tiles of at most 2 * PER_SET_TILE nodes in which all nodes meet that share a shingle and are of like size. postings: node, n, shingle.
+    """(tile, side, node, hub, few): tiles of at most 2 * PER_SET_TILE nodes in which all nodes meet that share a shingle and are of like size. postings: node, n, shingle.
 
+    few: a node's FEW smallest hubs, by which a pair that meets in several tiles is told to belong to one.
     A shingle is named by the smallest set that has it, so near copies, which share many shingles, meet in a few tiles and not once a shingle, while a long text doesn't draw all
     that share anything with it into one tile. Names with many nodes are cut by size first: similar sets are in the same band of sizes or in neighbouring ones.
     """
@@ -421,7 +436,8 @@ def _dealt(postings: DataFrame, similarity: float) -> DataFrame:
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     other = cut.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("hub", "band", F.least("part", "other"), F.greatest("part", "other"))
-    return other.select(tile.alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node")
+    few = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, FEW).alias("few"))
+    return other.select(tile.alias("tile"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "hub").join(few, "node")
 
 
 def drop_similar(docs: DataFrame, similarity: float, size: int, radius: int) -> DataFrame:
@@ -443,11 +459,11 @@ def drop_similar(docs: DataFrame, similarity: float, size: int, radius: int) ->
     # sets of so few shingles are similar only if they are equal
     wide = nodes.where(F.col("n") > int(similarity / (1 - similarity) - 1e-6)) if similarity < 1 else nodes.where("false")
     tiles = _dealt(wide.select("node", "n", F.explode("prefix").alias("shingle")), similarity).join(wide.select("node", "n", "fp", "more"), "node")
-    slim = tiles.select("tile", "side", "node", "n", "fp", "more").repartition("tile").sortWithinPartitions("tile")
-    near = stored(slim.mapInArrow(lambda x: _candidates(x, radius, similarity), slim.schema), "near-nodes")
+    slim = tiles.select("tile", "side", "node", "n", "fp", "more", "hub", "few").repartition("tile").sortWithinPartitions("tile")
+    near = stored(slim.mapInArrow(lambda x: _candidates(x, radius, similarity), slim.drop("hub", "few").schema), "near-nodes")
     ends = stored(near.select(F.col("node").alias(row)).distinct(), "near-ends")
     texts = stored(each.select(row, "text").join(ends, row, "left_semi").select(F.col(row).alias("node"), packed("text").alias("packed")), "near-texts")
-    met = near.join(texts, "node").select(*slim.columns, "packed").repartition("tile").sortWithinPartitions("tile")
+    met = near.join(texts, "node").select(*near.columns, "packed").repartition("tile").sortWithinPartitions("tile")
     edges = met.mapInArrow(lambda x: _alike(x, size, radius, similarity), "a bigint, b bigint")
     kept = nodes.select("node", "best").join(components(edges), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
     kept = stored(kept.select(F.col("best.row").alias(row)), "kept-rows")
