@@ -26,11 +26,11 @@ from .common import pieces
 _CHUNK = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 _PRINTABLE = re.compile("[!-~]+")
 #: Characters of the chunks that a task remembers; beyond it starts anew, which costs time and changes nothing.
-REMEMBERED = 3_000_000
+REMEMBERED = 5_000_000
 #: Symbols in one index, unless a single word is longer.
-SYMBOLS = 2_000_000
+SYMBOLS = 1_500_000
 #: Rows, and characters, of texts that are looked at together for new chunks, unless a single text is longer.
-ROWS, CHARS = 2048, 8_000_000
+ROWS, CHARS = 4096, 10_000_000
 #: Bytes of a tokenizer file at most, since it goes to every task.
 FILE_BYTES = 64 << 20
 _BITS = 32
@@ -127,6 +127,7 @@ class Tokenizer:
     """A tokenizer file (JSON) of a BPE model whose words don't span white space. Normal forms, case and word borders come from the file's own rules."""
 
     def __init__(self, text: str):
+        import regex
         from tokenizers import Tokenizer as Rules
 
         told = _plain(text)
@@ -142,23 +143,30 @@ class Tokenizer:
         self.added = {t["content"]: np.int32(t["id"]).tobytes() for t in told["added_tokens"]}
         longest = sorted(self.added, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        # printable ASCII is normalized a character at a time, where the rules are of the kinds that do so
+        # printable ASCII is normalized a character at a time and cut by the file's pattern, where its rules are of the kinds that do so
         kinds = told.get("normalizer") or {"type": "Sequence", "normalizers": []}
         kinds = kinds.get("normalizers", [kinds])
         simple = all(k["type"] in ("NFC", "Lowercase") or (k["type"] == "Replace" and k["pattern"] == {"Regex": r"\s+"}) for k in kinds)
-        self._ascii = str.maketrans({chr(c): self._normalized(chr(c)) for c in range(33, 127)}) if simple else None
+        printable = "".join(map(chr, range(33, 127)))
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = [k["type"] for k in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and "Regex" in cuts[0]["pattern"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        self._ascii = regex.compile(cuts[0]["pattern"]["Regex"]).findall if simple and plain and "".join(map(self._normalized, printable)) == printable.lower() else None
         self._known: dict[str, bytes] = {}
         self._size = 0
 
     def _normalized(self, chunk: str) -> str:
         return self._normal.normalize_str(chunk) if self._normal else chunk
 
+    def _cut(self, chunk: str) -> list[str]:
+        normal = self._normalized(chunk)
+        return [w for w, _ in self._words.pre_tokenize_str(normal)] if self._words else [normal]
+
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that are not known yet; each word in them once."""
-        table, printable = self._ascii, _PRINTABLE.fullmatch
-        normal = [c.translate(table) if table and printable(c) else self._normalized(c) for c in chunks]
-        split, names = self._words.pre_tokenize_str if self._words else lambda x: [(x, None)], {}
-        of_chunk = [[names.setdefault(w, len(names)) for w, _ in split(c)] for c in normal]
+        printable, fast, slow = _PRINTABLE.fullmatch, self._ascii, self._cut
+        names: dict[str, int] = {}
+        number = names.setdefault
+        of_chunk = [[number(w, len(names)) for w in (fast(c.lower()) if fast and printable(c) else slow(c))] for c in chunks]
         ids = self._encoded(list(names))
         for chunk, own in zip(chunks, of_chunk):
             self._known[chunk] = ids[own[0]] if len(own) == 1 else b"".join([ids[k] for k in own])
@@ -294,12 +302,19 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
-def encode(docs: DataFrame, shared: Shared) -> DataFrame:
+def encode(docs: DataFrame, shared: Shared, packed: bool = False, decoded: bool = False) -> DataFrame:
     """(doc_id, ids), one row for each row of docs: the ids of the whole text without added tokens of the file's own, in the order of the text.
 
+    packed adds the ids as little-endian unsigned 32-bit integers, the form in which token files are written; decoded adds the text that the ids stand for.
     A null text is empty; empty and blank texts have no ids; texts of any length, also of one word, are encoded whole. Added tokens that stand in a text are
     their ids. Null and repeated doc_ids, repeated rows and an empty table make no difference; other columns are ignored.
     """
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if packed:
+        kind = kind.add("packed", T.BinaryType())
+    if decoded:
+        kind = kind.add("decoded", T.StringType())
+    names = kind.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.tokenizer
@@ -307,10 +322,13 @@ def encode(docs: DataFrame, shared: Shared) -> DataFrame:
             for part in _parts(batch):
                 found = tokenizer.encode(part.column(1).to_pylist())
                 offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-                flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                columns = [part.column(0), ids, *([pa.array(found, pa.binary())] if packed else [])]
+                del found
+                yield pa.RecordBatch.from_arrays([*columns, *([shared.vocabulary.decode(ids)] if decoded else [])], names)
+                del columns, ids
+                pa.default_memory_pool().release_unused()
 
-    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
@@ -323,9 +341,3 @@ def decoded(ids: Column, shared: Shared, skip_special_tokens: bool = False) -> C
         return pa.concat_arrays([decode(lists[at : at + 256], skip_special_tokens) for at in range(0, len(lists), 256)] or [pa.array([], pa.string())])
 
     return run(ids)
-
-
-@F.arrow_udf(T.BinaryType())
-def packed_ids(lists: pa.Array) -> pa.Array:
-    """Each list of ids as little-endian unsigned 32-bit integers, the form in which token files are written."""
-    return pa.array([x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else None for x in lists], pa.binary())

@@ -77,9 +77,8 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shared = bpe.Shared(spark, public_tokenizers.path("word_bpe_49k.json"))
-    told = bpe.encode(table(spark, sf_dir, "documents"), shared)
-    packed, text = bpe.packed_ids(F.col("ids")), bpe.decoded(F.col("ids"), shared)
-    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+    told = bpe.encode(table(spark, sf_dir, "documents"), shared, packed=True, decoded=True)
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
