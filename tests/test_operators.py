@@ -415,3 +415,21 @@ def test_few_steps_and_many_steps_settle_alike(spark, monkeypatch):
     assert got[0] == got[1] == got[2]
     with pytest.raises(Exception, match="did not settle"):
         cpt.soil_parameters(table, 1).collect()
+
+
+def test_points_at_one_place_are_solved_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sites = _random_sites(rng, 300, 12_000)
+    places = rng.uniform(0, 12_000, (9, 2))
+    at = rng.integers(0, 9, 400)
+    v, s = rng.choice([200.0, 300.0, 500.0], 400), rng.choice([0.3, 0.5], 400)
+    solved, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: solved.append(len(a)) or solve(a, b))
+    for shared, priors in ((kriging.SHARED, kriging.PRIORS), (10_000, 2)):  # sites of all places at once, or of fewer; all priors at once, or two
+        monkeypatch.setattr(kriging, "SHARED", shared)
+        monkeypatch.setattr(kriging, "PRIORS", priors)
+        solved.clear()
+        got = np.array(kriging.conditioned(*places[at].T, v, s, sites, 1407.0)).T
+        assert sum(solved) == (9 if priors > 2 else 27)
+        want = {(k, a, b): _mvn(*places[k], a, b, sites, 1407.0) for k, a, b in set(zip(at.tolist(), v.tolist(), s.tolist()))}
+        np.testing.assert_allclose(got, [want[key] for key in zip(at.tolist(), v.tolist(), s.tolist())], rtol=1e-7)
