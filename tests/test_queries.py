@@ -26,3 +26,14 @@ def test_query(spark, name):
         assert sorted(got.columns) == sorted(want.columns)
         columns = sorted(got.columns)
         assert _rows(got, columns) == _rows(want, columns)
+
+
+def test_shallow_boreholes_have_no_vs30(spark, tmp_path):
+    db = duckdb.connect()
+    short = "SELECT * FROM '{0}/lineitem.parquet' QUALIFY l_partkey % 3 > 0 OR row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) <= 6"
+    for t, sql in (("lineitem", short), ("part", "FROM '{0}/part.parquet'")):
+        db.execute(f"COPY ({sql.format(SF)}) TO '{tmp_path}/{t}.parquet'")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = QUERIES["borehole_pipeline"](spark, str(tmp_path)).toPandas(), db.execute(ORACLE_SQL["borehole_pipeline"]).df()
+    assert want["vs30"].isna().any() and want["vs30"].notna().any()
+    assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
