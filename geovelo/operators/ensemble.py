@@ -13,6 +13,8 @@ from .profile import layers
 STEP, SLACK = 0.005, 0.02
 #: Velocities are summed as offsets from this one, in m/s, so that little cancels in their variance.
 SHIFT = 300.0
+#: Weights up to which they go to every task (some 50 bytes each), so that profiles stay where their key put them.
+BROADCAST_WEIGHTS = 500_000
 
 
 def normalised(weights: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
@@ -34,13 +36,15 @@ def section_weights(sections: DataFrame, keys: DataFrame) -> DataFrame:
 def weighted(profiles: DataFrame, weights: DataFrame) -> DataFrame:
     """profiles plus weight, the product of the normalised weights of kinds 'profile', 'vs' and 'vs30' under name, vs_correlation and vs30_correlation.
 
-    A null correlation weighs 1; a key without a weight is an error. The weights are one row a name.
+    A null correlation weighs 1; a key without a weight is an error. The weights are one row a name. They are counted: up to BROADCAST_WEIGHTS go to every task, beyond that
+    profiles and weights meet by name.
     """
     out, product = profiles, F.lit(1.0)
     known = normalised(weights)
+    few = weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
     for kind, column in (("profile", "name"), ("vs", "vs_correlation"), ("vs30", "vs30_correlation")):
         own = known.where(F.col("kind") == kind).select(F.col("key").alias(column), F.col("weight").alias(f"_{kind}"))
-        out = out.join(own, column, "left")
+        out = out.join(F.broadcast(own) if few else own, column, "left")
         found = F.when(F.col(column).isNull(), 1.0).otherwise(F.col(f"_{kind}"))
         product = product * require(found.isNotNull(), found, f"a {kind} key has no weight")
     return out.withColumn("weight", product).drop("_profile", "_vs", "_vs30")

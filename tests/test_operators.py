@@ -433,3 +433,23 @@ def test_points_at_one_place_are_solved_once(monkeypatch):
         assert sum(solved) == (9 if priors > 2 else 27)
         want = {(k, a, b): _mvn(*places[k], a, b, sites, 1407.0) for k, a, b in set(zip(at.tolist(), v.tolist(), s.tolist()))}
         np.testing.assert_allclose(got, [want[key] for key in zip(at.tolist(), v.tolist(), s.tolist())], rtol=1e-7)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    from geovelo import shared
+    from geovelo.plans import fixtures
+
+    monkeypatch.setattr(shared, "ROWS", 600)
+    lines = fixtures.read(spark, "/root/testdata/sf0.001", "lineitem")
+    for table in (fixtures.soundings(spark, "/root/testdata/sf0.001"), cpt.profiles(cpt.valid(fixtures.soundings(spark, "/root/testdata/sf0.001", 1.0, 0.01)), ["mcgann_2015"])):
+        assert table.rdd.getNumPartitions() == -(-lines.count() // 600) > 4
+
+
+@pytest.mark.parametrize("most", [10, 1])
+def test_weights_by_broadcast_and_by_name(spark, monkeypatch, most):
+    monkeypatch.setattr(ensemble, "BROADCAST_WEIGHTS", most)
+    weights = spark.createDataFrame([("profile", "a", 0.3), ("profile", "b", 0.7)], "kind string, key string, weight double")
+    rows = spark.createDataFrame([("a", None, None), ("b", None, None)], "name string, vs_correlation string, vs30_correlation string")
+    out = ensemble.weighted(rows, weights)
+    assert {r.name: round(r.weight, 9) for r in out.collect()} == {"a": 0.3, "b": 0.7}
+    assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (most == 10)
