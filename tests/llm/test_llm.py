@@ -591,3 +591,14 @@ def test_other_columns_keep_their_names_and_values(spark):
         rows = done.collect()
         assert rows and set(docs.columns) <= set(done.columns)
         assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_kept_rows_by_bitmaps(spark):
+    from geovelo.llm import simhash
+
+    numbers = [0, 1, 7, 8, 32_767, 32_768, 65_535, 1 << 33, (1 << 33) + 5, (3 << 33) + 40_000]
+    each = spark.createDataFrame([(k, "x") for n in numbers for k in (n, n + 16)], "_row long, text string")
+    out = simhash._only(each, spark.createDataFrame([(n,) for n in numbers], "_row long"), "_row")
+    assert sorted(r._row for r in out.collect()) == sorted(numbers)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
