@@ -453,3 +453,17 @@ def test_weights_by_broadcast_and_by_name(spark, monkeypatch, most):
     out = ensemble.weighted(rows, weights)
     assert {r.name: round(r.weight, 9) for r in out.collect()} == {"a": 0.3, "b": 0.7}
     assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (most == 10)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_sites_by_search_and_by_joins(spark, monkeypatch, most):
+    rng = np.random.default_rng(8)
+    table = lambda name, n: spark.createDataFrame([(k, *map(float, rng.integers(0, 300, 2))) for k in range(n)] + [(9999, None, 1.0)], f"{name} long, easting double, northing double")
+    points, sites = table("point_id", 150).cache(), table("site_id", 300).cache()
+    told = []
+    for limit in (400_000, 10):
+        monkeypatch.setattr(spatial, "SEARCHED", limit)
+        near, one, every = spatial.neighbours(points, sites, 40.0, most), spatial.nearest(points, sites, 40.0), spatial.within(points, sites, 40.0)
+        assert ("Join" in near._jdf.queryExecution().optimizedPlan().toString()) == (limit == 10)
+        told.append([{(r.point_id, r.s_site_id, round(r.distance, 9)) for r in x.collect()} for x in (near, one, every)])
+    assert told[0] == told[1] and len(told[0][1]) == 150
