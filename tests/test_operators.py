@@ -404,6 +404,19 @@ def test_correction_in_turn_equals_the_solve(spark):
         kriging.correct_in_turn(points, sites, "geology", 100)
 
 
+def test_correction_in_turn_looks_at_a_place_once(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, *map(float, r)) for k, r in enumerate(_random_sites(rng, 60))]
+    sites = spark.createDataFrame(rows, "site_id long, easting double, northing double, vs30 double, uncertainty double, geology_vs30 double, geology_stdv double")
+    # few places, each with several priors, and ids that stand on several places
+    spots = [(k % 5, float(x), float(y), v, 0.4 + v / 1e4) for k, (x, y) in enumerate(rng.uniform(0, 30_000, (12, 2)).tolist()) for v in (200.0, 200.0, 300.0, 451.0)]
+    points = spark.createDataFrame(spots, "point_id long, easting double, northing double, geology_vs30 double, geology_stdv double")
+    told = lambda out: sorted(tuple(r) for r in out.collect())
+    got, want = told(kriging.correct_in_turn(points, sites, "geology", 6)), told(kriging.correct(points, sites, "geology", 6))
+    assert len(got) == len(spots)
+    assert np.allclose(np.array(got, float), np.array(want, float), rtol=1e-9)
+
+
 def test_few_steps_and_many_steps_settle_alike(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(1, k + 1, 0.1 * (k + 1), float(rng.uniform(0.01, 20)), float(rng.uniform(0.001, 0.2)), float(rng.uniform(0, 0.1)), 1.0, 0.8) for k in range(400)] + [(2, 1, None, 1.0, 0.1, 0.0, 1.0, 0.8)]
