@@ -448,6 +448,26 @@ def test_points_at_one_place_are_solved_once(monkeypatch):
         np.testing.assert_allclose(got, [want[key] for key in zip(at.tolist(), v.tolist(), s.tolist())], rtol=1e-7)
 
 
+@pytest.mark.parametrize("noisy", [True, False])
+def test_sites_that_all_places_use_are_eliminated_once(monkeypatch, noisy):
+    rng = np.random.default_rng(6)
+    sites = np.concatenate((_random_sites(rng, 200, 9_000), _random_sites(rng, 300, 30_000)))
+    if not noisy:
+        sites[:, 3] = 0.0
+    x, y = rng.uniform(4_000, 5_500, (2, 40))
+    v, s = rng.uniform(150, 700, 40), rng.uniform(0.2, 0.6, 40)
+    sizes, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: sizes.append(a.shape[-1]) or solve(a, b))
+    got = np.array(kriging.conditioned(x, y, v, s, sites, 1407.0)).T
+    least = min((np.hypot(sites[:, 0] - a, sites[:, 1] - b) <= kriging.REACH).sum() for a, b in zip(x, y))
+    assert least > 200 and max(sizes) < 100
+    np.testing.assert_allclose(got, [_mvn(*p, sites, 1407.0) for p in zip(x, y, v, s)], rtol=1e-7)
+    # sites around one corner only: the other places use none of them, so nothing is shared
+    far = np.array(kriging.conditioned(np.r_[x, 60_000.0], np.r_[y, 60_000.0], np.r_[v, 300.0], np.r_[s, 0.5], sites, 1407.0)).T
+    np.testing.assert_allclose(far[:40], got, rtol=1e-9)
+    assert far[40] == pytest.approx((300.0, 0.5 * math.exp(-0.05 / 1407)))
+
+
 def test_tasks_follow_the_rows(spark, monkeypatch):
     from geovelo import shared
     from geovelo.plans import fixtures
