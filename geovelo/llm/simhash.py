@@ -29,6 +29,8 @@ SHINGLE = 3
 NEAR = {"size": 5, "similarity": 0.8, "radius": 24}
 #: Shingles from which SimHashes are compared; cells of the shingles' counts (1 MB as broadcast); nodes of a part of a tile, whose texts a task holds.
 PRINTED, CELLS, PER_SET_TILE = 32, 1 << 17, 1024
+#: Nodes of a tile from which a vantage point divides them; nodes of which one is taken as that, and others by which it is chosen.
+LEAF, TRIED_HERE, LOOKED_AT = 8, 4, 64
 #: Hubs of a node that tell which tile a pair belongs to; a value that no hub has.
 FEW, NO_HUB = 4, np.iinfo(np.int64).max
 #: Distinct fingerprints for which one shard is planned, shards at most, sampled fingerprints a shard: the sample that reaches the driver is at most MAX_SHARDS * SAMPLE numbers.
@@ -386,37 +388,89 @@ def _candidates(batches: Iterator[pa.RecordBatch], radius: int, similarity: floa
 def _alike(batches: Iterator[pa.RecordBatch], size: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Edges (a, b): a forest over the pairs of each tile whose Jaccard similarity of shingles reaches similarity. Columns: tile, side, node, n, fp, more, packed.
 
-    The tile's first node is the vantage point: with exact Jaccard distances to it, pairs further apart than the triangle inequality allows are left out, and so are pairs that are connected already.
+    Each tile is searched by a vantage-point tree over exact Jaccard distances, in which pairs further apart than the triangle inequality allows don't meet.
     """
     for rows in _runs(batches):
         node, n, one, two = rows.column("node").to_numpy(), rows.column("n").to_numpy(), *(rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
         sets = [_shingles(x, size) for x in unpacked(rows.column("packed"))]
         flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
-        def similar(x: int, to: np.ndarray) -> np.ndarray:
+        def apart(x: int, to: np.ndarray) -> np.ndarray:
             length = n[to]  # of each one's shingles, how many x has
             starts = np.cumsum(length) - length
             told = flat[np.arange(length.sum()) + np.repeat(ends[to] - starts, length)]
             own = sets[x]
             held = own[np.minimum(np.searchsorted(own, told), len(own) - 1)] == told
             common = np.add.reduceat(held.astype(np.int64), starts)
-            return common / (n[x] + length - common)
-
-        far = 1 - similar(0, np.arange(len(node)))
-        label, found = np.arange(len(node)), []
-        for x, others in _asked(rows.column("side").to_numpy()):
-            others = others[(label[others] != label[x]) & (np.abs(far[others] - far[x]) <= 1 - similarity + 1e-9)]
-            others = _may_link(x, others, n, one, two, radius, similarity)
-            if len(others):
-                linked = others[similar(x, others) >= similarity - 1e-12]
-                for y in linked[np.unique(label[linked], return_index=True)[1]].tolist():
-                    found.append((node[x], node[y]))
-                    label[label == label[y]] = label[x]
-        if found:
-            ab = np.array(found, np.int64)
+            return 1 - common / (n[x] + length - common)
+
+        fits = lambda x, to: _may_link(x, to, n, one, two, radius, similarity)  # noqa: B023, E731
+        tree = Balls(apart, fits, len(node), 1 - similarity + 1e-12)
+        side = rows.column("side").to_numpy()
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        tree.search(first, second if len(second) else first, not len(second))
+        if tree.found:
+            ab = node[np.array(tree.found)]
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
 
+class Balls:
+    """Links of one tile by a vantage-point tree over a metric; found is a forest of pairs (positions) that connects what pairs within reach connect.
+
+    apart(x, to): exact distances. fits(x, to): those of to that may be within reach of x at all, by cheaper means.
+    """
+
+    def __init__(self, apart, fits, size: int, reach: float):
+        self.apart, self.fits, self.reach, self.label = apart, fits, reach, np.arange(size)
+        self.found: list[tuple[int, int]] = []
+
+    def search(self, home: np.ndarray, query: np.ndarray, alone: bool) -> None:
+        """Links each one of home with those of query within reach. alone: the tile is one part, so each pair has both of its ends in home somewhere and is compared from the smaller one.
+
+        A ball around a vantage point divides home; a query goes to each side that its own ball of reach touches. The ball is the one after which the fewest pairs meet;
+        where none leaves out a twentieth of them, the pairs are compared. The vantage point is compared with all that may be near it by that, and leaves.
+        """
+        todo = [(home, query)]
+        while todo:
+            home, query = todo.pop()
+            if not len(home) or not len(query) or (self.label[query] == self.label[home[0]]).all() and (self.label[home] == self.label[home[0]]).all():
+                continue
+            cut = self._ball(home, query) if len(home) > LEAF else None
+            if cut:
+                todo += cut
+                continue
+            for x in home.tolist():
+                others = query[(self.label[query] != self.label[x]) & ((query > x) | (not alone))]
+                others = self.fits(x, others)
+                if len(others):
+                    self._link(x, others[self.apart(x, others) <= self.reach])
+
+    def _ball(self, home: np.ndarray, query: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """(home, query) inside and outside of a ball around a vantage point, which is linked and left out; None if no ball pays. Of a few nodes the one that may be near most of some others is taken."""
+        some = query[:: -(-len(query) // LOOKED_AT)]
+        vantage = max(home[:: -(-len(home) // TRIED_HERE)].tolist(), key=lambda x: len(self.fits(x, some)))
+        both = np.union1d(home, query)
+        far = np.full(len(self.label), np.inf)
+        far[both] = self.apart(vantage, both)
+        near = query[(far[query] <= self.reach) & (query != vantage)]
+        self._link(vantage, self.fits(vantage, near))
+        home, query = home[home != vantage], query[query != vantage]
+        slack = self.reach + 1e-9  # for rounding
+        ball, asked = np.sort(far[home]), np.sort(far[query])
+        inside = np.searchsorted(ball, ball, "right")
+        pairs = inside * np.searchsorted(asked, ball + slack, "right") + (len(home) - inside) * (len(query) - np.searchsorted(asked, ball - slack, "left"))
+        if pairs.min() > 0.95 * len(home) * len(query):
+            return None
+        r = ball[pairs.argmin()]
+        return [(home[far[home] <= r], query[far[query] <= r + slack]), (home[far[home] > r], query[far[query] >= r - slack])]
+
+    def _link(self, x: int, linked: np.ndarray) -> None:
+        linked = linked[self.label[linked] != self.label[x]]
+        for y in linked[np.unique(self.label[linked], return_index=True)[1]].tolist():
+            self.found.append((x, y))
+            self.label[self.label == self.label[y]] = self.label[x]
+
+
 def _dealt(postings: DataFrame, similarity: float) -> DataFrame:
     """(tile, side, node, hub, few): tiles of at most 2 * PER_SET_TILE nodes in which all nodes meet that share a shingle and are of like size. postings: node, n, shingle.
 
@@ -455,7 +509,7 @@ def drop_similar(docs: DataFrame, similarity: float, size: int, radius: int) ->
     Two texts are linked if the Jaccard similarity of their sets of shingles of size lower-cased words reaches similarity. Texts with equal sets are one node, wordless
     ones among them. At 0.8 SimHashes differ in some 10 of 64 bits, at which a ball of random fingerprints can never be left out; so nodes are dealt to tiles by
     shingles of their prefixes, a fifth of each set, of which similar sets share at least one. Frequent shingles come last in the prefixes' order. In a tile both SimHashes
-    and sizes rule pairs out (sets of fewer than PRINTED shingles by size alone), then exact distances to a vantage point by the triangle inequality, then the whole texts' exact similarity. Null texts count as
+    and sizes rule pairs out (sets of fewer than PRINTED shingles by size alone), then a vantage-point tree over exact Jaccard distances by the triangle inequality, then the whole texts' exact similarity. Null texts count as
     empty; repeated rows are one node; very long texts are compared whole; an empty table gives an empty result.
     """
     row = unused(docs, "_row")

@@ -138,6 +138,38 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark, rng, monkeypatch, mo
     assert corpus_pipeline.near_dedup(spark, _docs(spark, []), SF).count() == 0
 
 
+@pytest.mark.parametrize("sides, most", [(1, 20_000), (2, 12_500)])
+def test_tiles_are_searched_by_a_tree_over_exact_distances(rng, monkeypatch, sides, most):
+    import pyarrow as pa
+    from zstandard import ZstdCompressor
+
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=20)) for _ in range(20)]
+    for k in range(12):
+        base = [f"k{k}w{rng.randrange(500)}" for _ in range(150)]
+        for _ in range(20):
+            words = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 5)):
+                words[at] = f"z{rng.randrange(9)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    zeros = np.zeros(simhash.CELLS)
+    rows = [simhash.sketch(x.encode(), 5, 0.8, zeros) for x in texts]
+    prints = [pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64)) for k in (0, 1)]
+    side = np.arange(len(texts)) % sides
+    tile = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), pa.array(side), pa.array(np.arange(len(texts)) + 1000), pa.array([r[2] for r in rows]), *prints, pa.array([ZstdCompressor().compress(x.encode()) for x in texts])], ["tile", "side", "node", "n", "fp", "more", "packed"])
+    asked, may = [], simhash._may_link
+    monkeypatch.setattr(simhash, "_may_link", lambda of, to, *more: asked.append(len(to)) or may(of, to, *more))
+    edges = [(r["a"] - 1000, r["b"] - 1000) for batch in simhash._alike(iter([tile]), 5, 24, 0.8) for r in batch.to_pylist()]
+    sets = [_five_words(x) for x in texts]
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(linked(a, b) for a, b in edges)
+    want = _groups(range(len(texts)), lambda a, b: (sides == 1 or side[a] != side[b]) and linked(a, b))
+    near = set(edges) | {(b, a) for a, b in edges}
+    assert _groups(range(len(texts)), lambda a, b: (a, b) in near) == want
+    assert len(edges) == len(texts) - len(set(want.values()))  # a forest
+    assert sum(asked) < most  # without the tree some 28,000, and 14,000 of two parts
+
+
 @pytest.mark.parametrize("most", [10_000, 150])
 def test_sharded_vantage_points_find_every_pair(most):
     draw = np.random.default_rng(2)
