@@ -65,10 +65,10 @@ def spt_midpoints(boreholes: DataFrame) -> DataFrame:
 
 def profile_midpoints(truncated: DataFrame, name: str, layered: bool | str = False) -> DataFrame:
     """(label, point, depth, vs, vs_below, vs_above) of truncated profiles as staggered lines with their sigma band."""
-    labelled = truncated.withColumn("label", ensemble.label(F.col(name).cast("string"), F.col("vs_correlation")))
-    vs_and_sd = labelled.withColumn("vs_sd", F.coalesce("vs_sd", F.lit(0.0)))
-    line = profile.layers(vs_and_sd, ("label",), "vs", layered)
-    order = Window.partitionBy("label").orderBy("pos")
+    keys = (name, "vs_correlation")  # not the label: rows dealt by the name are not shuffled again
+    vs_and_sd = truncated.withColumn("vs_sd", F.coalesce("vs_sd", F.lit(0.0)))
+    line = profile.layers(vs_and_sd, keys, "vs", layered).withColumn("label", ensemble.label(F.col(name).cast("string"), F.col("vs_correlation")))
+    order = Window.partitionBy(*keys).orderBy("pos")
     numbered = line.withColumn("_k", F.row_number().over(order) - 1)
     ends = F.array(F.struct((2 * F.col("_k")).alias("point"), F.col("z_top").alias("depth")), F.struct((2 * F.col("_k") + 1).alias("point"), F.col("z_bot").alias("depth")))
     return profile.sigma_band(numbered.withColumn("_e", F.explode(ends)).select("label", "_e.point", "_e.depth", "vs", "vs_sd")).drop("vs_sd")

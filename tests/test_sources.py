@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geovelo.plans import api, fixtures, pipeline
+from geovelo.plans.queries import QUERIES
 from geovelo.sources import sites, soundings
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +62,19 @@ def test_files_of_one_name_stay_apart_and_keep_their_order(spark, tmp_path):
     assert len(got) == 2 and sorted(got.values()) == [[(1, 0.04), (2, 0.02)], [(1, 1.0), (2, 2.0)]]
 
 
+@pytest.mark.parametrize("name", ["api_profile_midpoints"])
+def test_dealt_rows_are_not_shuffled_again(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_profiles_of_one_label_stay_apart(spark):
+    rows = [("a", "b_c", 1, 1.0, 100.0), ("a", "b_c", 2, 2.0, 200.0), ("a_b", "c", 1, 1.0, 300.0), ("a_b", "c", 2, 2.0, 400.0)]
+    cut = spark.createDataFrame(rows, "name string, vs_correlation string, pos int, depth double, vs double").withColumn("vs_sd", F.lit(None).cast("double"))
+    got = sorted((r.label, r.vs, r.point, r.depth) for r in api.profile_midpoints(cut, "name").collect())
+    assert got == [("a_b_c", vs, point, depth) for first in (100.0, 300.0) for vs, point, depth in ((first, 0, 0.0), (first, 1, 1.5), (first + 100, 2, 1.5), (first + 100, 3, 2.0))]
+
+
 def test_sinks_refuse_to_overwrite(spark, tmp_path):
     rows = spark.createDataFrame([(1, None), (2, 3.0)], "a int, b double")
     sites.write_csv(rows, str(tmp_path / "csv"))
