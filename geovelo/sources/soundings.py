@@ -59,9 +59,9 @@ def _in_order(*columns: tuple[str, str]) -> list[Column]:
     return [F.transform(rows, field(c)).alias(n) for c, n in columns]
 
 
-def cpt_to_json(soundings: DataFrame) -> DataFrame:
-    """(name, json), one row a sounding."""
-    one = soundings.groupBy("name").agg(*_in_order(("depth", "depth"), ("qc", "Qc"), ("fs", "Fs"), ("u", "u")), F.first("gwl").alias("gwl"), F.first("nar").alias("nar"))
+def cpt_to_json(soundings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, json), one row a sounding. by: more columns that tell soundings apart; rows that are dealt by one of them are not shuffled again."""
+    one = soundings.groupBy(*by, "name").agg(*_in_order(("depth", "depth"), ("qc", "Qc"), ("fs", "Fs"), ("u", "u")), F.first("gwl").alias("gwl"), F.first("nar").alias("nar"))
     return one.select("name", F.to_json(F.struct("name", "depth", "Qc", "Fs", "u", "gwl", "nar")).alias("json"))
 
 
@@ -72,10 +72,10 @@ def cpt_from_json(texts: DataFrame) -> DataFrame:
     return rows.select("name", F.xxhash64("name").alias("cpt_id"), (F.col("k") + 1).alias("pos"), "r.depth", F.col("r.Qc").alias("qc"), F.col("r.Fs").alias("fs"), "r.u", "gwl", "nar")
 
 
-def spt_to_json(boreholes: DataFrame) -> DataFrame:
-    """(name, json), one row a borehole; n60 is kept if there."""
+def spt_to_json(boreholes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, json), one row a borehole; n60 is kept if there. by as in cpt_to_json."""
     extra = [("n60", "N60")] if "n60" in boreholes.columns else []
-    one = boreholes.groupBy("name").agg(*_in_order(("depth", "depth"), ("n", "N"), ("soil", "soil_type"), *extra), F.first("hammer").alias("hammer_type"), F.first("diameter").alias("borehole_diameter"), F.first("energy_ratio").alias("energy_ratio"))
+    one = boreholes.groupBy(*by, "name").agg(*_in_order(("depth", "depth"), ("n", "N"), ("soil", "soil_type"), *extra), F.first("hammer").alias("hammer_type"), F.first("diameter").alias("borehole_diameter"), F.first("energy_ratio").alias("energy_ratio")).drop(*by)
     return one.select("name", F.to_json(F.struct(*one.columns)).alias("json"))
 
 
@@ -85,11 +85,11 @@ def spt_from_json(texts: DataFrame) -> DataFrame:
     return rows.select("name", F.xxhash64("name").alias("spt_id"), (F.col("k") + 1).alias("pos"), "r.depth", F.col("r.N").alias("n"), F.col("r.soil_type").alias("soil"), F.col("hammer_type").alias("hammer"), F.col("borehole_diameter").alias("diameter"), "energy_ratio", F.col("r.N60").alias("n60"))
 
 
-def profile_to_json(profiles: DataFrame) -> DataFrame:
-    """(name, json); layered is written as the words True and False, missing correlations as empty strings."""
+def profile_to_json(profiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, json); layered is written as the words True and False, missing correlations as empty strings. by as in cpt_to_json."""
     keys = ["name", "vs_correlation", "vs30_correlation"]
     rows = profiles.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in keys[1:]})
-    one = rows.groupBy(*keys).agg(*_in_order(("depth", "depth"), ("vs", "vs"), ("vs_sd", "vs_sd")), F.when(F.first("layered"), "True").otherwise("False").alias("layered"), F.max("depth").alias("max_depth"))
+    one = rows.groupBy(*by, *keys).agg(*_in_order(("depth", "depth"), ("vs", "vs"), ("vs_sd", "vs_sd")), F.when(F.first("layered"), "True").otherwise("False").alias("layered"), F.max("depth").alias("max_depth")).drop(*by)
     return one.select("name", F.to_json(F.struct(*one.columns)).alias("json"))
 
 

@@ -62,7 +62,7 @@ def test_files_of_one_name_stay_apart_and_keep_their_order(spark, tmp_path):
     assert len(got) == 2 and sorted(got.values()) == [[(1, 0.04), (2, 0.02)], [(1, 1.0), (2, 2.0)]]
 
 
-@pytest.mark.parametrize("name", ["api_profile_midpoints"])
+@pytest.mark.parametrize("name", ["api_profile_midpoints", "profile_json", "cpt_json", "spt_json"])
 def test_dealt_rows_are_not_shuffled_again(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
